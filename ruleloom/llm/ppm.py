@@ -39,6 +39,8 @@ class PPM:
             weights.append(np.repeat(np.asarray(count, np.float64), np.diff(np.append(starts, len(w)))))
         #: For each order: grams (context, byte), their counts by language; contexts, their n and t by language.
         self.tables = []
+        if not self.langs:
+            return
         for k in range(order + 1):
             cut = [self._cut(g[(g >> np.uint64(56)) >= k], k) for g in grams]
             keys = np.unique(np.concatenate(cut)) if cut else np.empty(0, np.uint64)
