@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,9 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage is cut and survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs that are over; it does when the objects that name them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fields(df: DataFrame, **columns: Column) -> DataFrame:
     """Only the named expressions; what else the frame has (clashing names too) is left behind."""
     return df.select(*[c.alias(n) for n, c in columns.items()])

@@ -57,8 +57,6 @@ class MinMax:
 
 def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, print (128-bit hash of the set), bands (array; null where the set is empty)."""
-    import pyarrow.types  # noqa: F401
-
     src = fields(docs, doc_id=docs["doc_id"].cast("long"), body=text_bytes(docs))
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
@@ -90,52 +88,88 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return src.join(ids, src.doc_id == ids.id, "left_semi").mapInArrow(cut, "id long, shingles array<long>")
 
 
-def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, spread: int = 3) -> DataFrame:
+def block_links(ids: np.ndarray, comp: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], band: int, cross: np.ndarray, percent: int) -> np.ndarray:
+    """Linked pairs (positions) among members of a bucket of this band that are in different components, share no earlier
+    band and lie across (cross: which side of the block a member is on; pairs of one side only if there is one side)."""
+    m = len(ids)
+    ask = (comp[:, None] != comp[None, :]) & (ids[:, None] < ids[None, :])
+    if cross.any() and not cross.all():
+        ask &= cross[:, None] != cross[None, :]
+    size = np.array([len(x) for x in sets], np.int64)
+    ask &= np.minimum.outer(size, size) * 100 >= np.maximum.outer(size, size) * percent
+    for k in range(band):
+        if not ask.any():
+            break
+        ask &= bands[:, k][:, None] != bands[:, k][None, :]
+    if not ask.any():
+        return np.empty((0, 2), np.int64)
+    distinct, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    who = np.repeat(np.arange(m), size)
+    often = n[at] > 1
+    column = np.cumsum(n > 1) - 1
+    who, at, width = who[often], column[at[often]], int((n > 1).sum())
+    common, order = np.zeros((m, m), np.float32), np.argsort(at, kind="stable")
+    who, at = who[order], at[order]
+    for c in range(0, width, 4096):
+        i, j = np.searchsorted(at, [c, c + 4096])
+        part = np.zeros((m, min(4096, width - c)), np.float32)
+        part[who[i:j], at[i:j] - c] = 1
+        common += part @ part.T
+    common = common.astype(np.int64)
+    return np.argwhere(ask & (100 * common >= percent * (size[:, None] + size[None, :] - common)))
+
+
+def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, chunk: int = 512) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of n-word shingles (64-bit hashes of
     lower-cased words); empty sets (null, empty or blank texts) link with nothing. Equal sets are one class, found by a
     128-bit hash, so copies cost one row. Classes that share a band are candidates: in each band the class of
-    smallest id is compared with the others (a star, not all pairs), then `spread` times a pseudo-random member of
-    each other component; what is still apart within a band is compared pair by pair, so no link between components is lost and
-    no bucket is capped. Ids must be unique for the result to be; rows with a null id link with nothing.
+    smallest id is compared with the others (a star). Members of a band that are still in different components are then
+    compared in blocks of `chunk` members: a block computes the intersections of its sets at once and gives out links
+    only, so no pairs are made as rows, no bucket is capped and no link between components is lost. Ids must be unique
+    for the result to be; rows with a null id link with nothing.
     """
     signed = written(_signed(docs, n, bands, rows), "signed")
     classes = signed.filter("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    classes = written(classes, "classes")
     banded = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    shared = shared.select(F.col("band").alias("band_"), F.col("key").alias("key_"))
-    member = banded.join(shared, (banded.band == shared.band_) & (banded.key == shared.key_)).select("id", F.xxhash64("band", "key").alias("key"))
+    shared = banded.groupBy("band", "key").agg(F.min("id").alias("hub"), F.max("id").alias("high")).filter("hub <> high")
+    shared = shared.select(F.col("band").alias("band_"), F.col("key").alias("key_"), "hub")
+    member = banded.join(shared, (banded.band == shared.band_) & (banded.key == shared.key_)).select("id", "band", "key", "hub")
     member = written(member, "members")
-    sets = written(_sets(docs, member.select("id").distinct(), n), "sets")
-    sets = sets.dropDuplicates(["id"])
-    links = tried = comp = None
-    for turn in range(spread + 2):
-        now = member.withColumn("comp", F.col("id")) if comp is None else member.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        apart = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-        now = now.join(apart.select("key"), "key", "left_semi")
-        if turn <= spread:
-            order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            hubs = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h"))
-            pairs = now.join(hubs.select("key", "h.*"), "key").filter("comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        else:
-            other = now.select("key", F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
-            pairs = now.join(other, "key").filter("comp <> hub_comp and id < hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn > spread or turn == 0 or now.isEmpty():
-                break
-            continue
-        one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-        ok = both.filter((F.size("x") + F.size("y") - F.col("common")) * percent <= F.col("common") * 100).select("a", "b")
-        ok = written(ok, "links")
-        links = ok if links is None else links.union(ok)
-        tried = pairs if tried is None else tried.union(pairs)
-        comp = written(components(links), "components")
+    sets = written(_sets(docs, member.select("id").distinct(), n).dropDuplicates(["id"]), "sets")
+    one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    star = member.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    both = star.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    links = both.filter((F.size("x") + F.size("y") - F.col("common")) * percent <= F.col("common") * 100).select("a", "b")
+    links = written(links, "links")
+    first = written(components(links), "components")
+    now = member.join(first, "id", "left").select("id", "band", "key", F.coalesce("component", "id").alias("comp"))
+    apart = now.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    apart = apart.filter("low <> high").select(F.col("band").alias("band_"), F.col("key").alias("key_"), "chunks")
+    rest = now.join(apart, (now.band == apart.band_) & (now.key == apart.key_)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rest = rest.select("id", "band", "key", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    content = sets.join(classes.select("id", "bands"), "id").select(F.col("id").alias("sid"), "shingles", "bands")
+    rest = rest.join(content, rest.id == content.sid).drop("sid")
+    link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(key, part):
+        ids = part.column("id").to_numpy()
+        offsets = np.cumsum([0, *(len(x) for x in (x.values for x in part.column("shingles").combine_chunks()))])
+        flat = part.column("shingles").combine_chunks().flatten().to_numpy()
+        sets_ = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        keys = part.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        i, j = key[2].as_py(), key[3].as_py()
+        cross = part.column("own").to_numpy() == i if i != j else np.ones(len(ids), bool)
+        found = block_links(ids, part.column("comp").to_numpy(), keys, sets_, key[0].as_py(), cross, percent)
+        return pa.Table.from_batches([batch(link_schema, ids[found[:, 0]], ids[found[:, 1]])])
+
+    more = written(rest.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+    comp = None
+    if not links.isEmpty() or not more.isEmpty():
+        comp = first if more.isEmpty() else written(components(links.union(more)), "components")
     out = signed.select("doc_id", "n_shingles", F.col("print"))
     reps = classes.select(F.col("print").alias("print_"), "id")
     if comp is not None:
