@@ -221,10 +221,10 @@ def accumulated(function: str, sql: str) -> None:
     def run(s, d):
         li = t(s, d, "lineitem")
         out = Forward(parse_rules(text), roots=("Order",), facts={"LineItem": (li, {"l_orderkey": "o_orderkey"})}).run(t(s, d, "orders"))
-        return out.select("o_orderkey", r(F.col("result").cast("double"), 1).alias("result"))
+        return out.select("o_orderkey", F.floor(F.col("result") * 10 + 0.5 + 1e-4).alias("result"))
 
     QUERIES[f"accumulate_{function}"] = run
-    SQL[f"accumulate_{function}"] = f"SELECT o_orderkey, round(CAST(coalesce({sql}, 0) AS DOUBLE), 1) AS result FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 20 GROUP BY o_orderkey"
+    SQL[f"accumulate_{function}"] = f"SELECT o_orderkey, CAST(floor(coalesce({sql}, 0) * 10 + 0.5 + 1e-4) AS BIGINT) AS result FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 20 GROUP BY o_orderkey"
 
 
 for _f, _q in (("sum", "sum(l_extendedprice)"), ("average", "avg(l_extendedprice)"), ("min", "min(l_extendedprice)"), ("max", "max(l_extendedprice)"), ("count", "count(l_extendedprice)")):
