@@ -34,14 +34,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage is cut and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
+    spark, schema = df.sparkSession, df.schema
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df  # with the caller's expression gone, nothing names the job's shuffle files
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of jobs that are over; it does when the objects that name them are collected."""
+    """Lets Spark drop the shuffle files of jobs that are over: it does once the objects that name them are collected.
+
+    A session names its last query until another one runs, so a query of one row goes first.
+    """
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

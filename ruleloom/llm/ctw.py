@@ -170,8 +170,9 @@ def _by_part(window: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _long_keys(hashes: np.ndarray, cut: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and key of each token's long context with the token: 44 bits of the hash of the SPAN words before it, 20 of
-    its own. The owner is taken from other bits of the context, so it has all that follows a context."""
+    """Owner and key of each token's long context with the token: 36 bits of the hash of the SPAN words before it, 16 of
+    its own. The owner is taken from other bits of the context, so it has all that follows a context, and with more
+    owners more bits tell contexts apart."""
     flat = np.concatenate(cut)
     size = np.fromiter(map(len, cut), np.int64, len(cut))
     at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
@@ -184,7 +185,7 @@ def _long_keys(hashes: np.ndarray, cut: list[np.ndarray], parts: int) -> tuple[n
         context = (context ^ before) * np.uint64(0x9E3779B97F4A7C15)
         context ^= context >> np.uint64(31)
     part = ((context >> np.uint64(48)) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.int64)
-    return part, (context << np.uint64(20)) | (own >> np.uint64(44))
+    return part, ((context & np.uint64((1 << 36) - 1)) << np.uint64(16)) | (own >> np.uint64(48))
 
 
 def _each_part(part: np.ndarray, parts: int):
@@ -203,6 +204,19 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(unpack(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def pack_pairs(pairs: np.ndarray) -> bytes:
+    """Pairs of floats as a table of the distinct ones and codes: few differ."""
+    table, code = np.unique(np.ascontiguousarray(pairs).view(np.uint64).ravel(), return_inverse=True)
+    code = code.astype(np.uint16 if len(table) <= 65536 else np.uint32)
+    return len(table).to_bytes(4, "little") + pack(np.concatenate([table.view(np.uint8), code.view(np.uint8)]))
+
+
+def unpack_pairs(b: bytes) -> np.ndarray:
+    n, raw = int.from_bytes(b[:4], "little"), unpack(b[4:], np.uint8)
+    code = raw[8 * n :].view(np.uint16 if n <= 65536 else np.uint32)
+    return raw[: 8 * n].view(np.float32).reshape(-1, 2)[code]
+
+
 def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
@@ -237,14 +251,14 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, block_bytes: in
         keys, cuts, place = ordered(np.append(hashes, END), parts)
         counts = np.zeros(len(keys), np.int64)
         np.add.at(counts, place, np.append(n, ends))
-        rows = [(0, p, block, pack(keys[a:b]), pack(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        rows = [(0, p, block, pack_sorted(keys[a:b]), pack(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         w, starts = windows([*distinct, b""], depth)
         weight = np.repeat(np.append(n, ends), np.diff(np.append(starts, len(w))))
         w, at = np.unique(w, return_inverse=True)
         count = np.bincount(at, weight, len(w)).astype(np.int64)
         order, cuts = _by_part(w, parts)
         w, count = w[order], count[order]
-        rows += [(1, p, block, pack(w[a:b]), pack(count[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        rows += [(1, p, block, pack_sorted(w[a:b]), pack(count[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         return pa.Table.from_batches([batch(ask_schema, *zip(*rows))])
 
     def ask_long(key, table):
@@ -266,15 +280,15 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, block_bytes: in
         counts = [unpack(x, np.uint32) for x in table.column("counts").to_pylist()]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         c = np.bincount(at, np.concatenate(counts), len(distinct))
-        context = distinct >> np.uint64(20)
+        context = distinct >> np.uint64(16)
         starts = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         size = np.diff(np.append(starts, len(c)))
         n, t = np.add.reduceat(c, starts), np.add.reduceat((c > 0).astype(np.float64), starts)
         whole = np.maximum(n + t, 1)
         hit, left = c / np.repeat(whole, size), np.repeat(np.where(n > 0, t / whole, 1.0), size)
-        both = np.stack([hit, left]).astype(np.float32)
+        both = np.stack([hit, left], 1).astype(np.float32)
         where = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
-        rows = [(2, key[0].as_py(), b, pack(both[:, w]), 0, 0) for b, w in zip(table.column("block").to_pylist(), where)]
+        rows = [(2, key[0].as_py(), b, pack_pairs(both[w]), 0, 0) for b, w in zip(table.column("block").to_pylist(), where)]
         return pa.Table.from_batches([batch(reply_schema, *zip(*rows))])
 
     asked = written(blocked.groupBy("block").applyInArrow(ask, "kind int, part int, block int, keys binary, counts binary"), "ctw-asked")
@@ -283,7 +297,7 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, block_bytes: in
     reply_ddl = "kind int, part int, block int, answer binary, n long, v long"
 
     def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        keys = [unpack(x, np.uint64) for x in table.column("keys").to_pylist()]
+        keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
         counts = [unpack(x, np.int64) for x in table.column("counts").to_pylist()]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
@@ -331,7 +345,7 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, block_bytes: in
         return pa.Table.from_batches([batch(reply_schema, *zip(*rows))])
 
     ask_ddl = "kind int, part int, block int, keys binary, counts binary"
-    long = blocked.groupBy("block").applyInArrow(ask_long, ask_ddl).groupBy("part").applyInArrow(count_long, reply_ddl)
+    long = written(blocked.groupBy("block").applyInArrow(ask_long, ask_ddl).groupBy("part").applyInArrow(count_long, reply_ddl), "ctw-long")
     answers = known.filter("block >= 0").unionByName(asked_windows.groupBy("part").applyInArrow(predicted, reply_ddl)).unionByName(long)
     answers = answers.select("block", "kind", "part", "answer")
     answers = answers.repartition(blocks, "block")
@@ -361,7 +375,7 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, block_bytes: in
         flat = np.concatenate(cut)
         token = of_word[flat]
         for (_, where), x in zip(_each_part(part_, parts), long_, strict=True):
-            hit, left = unpack(x, np.float32).reshape(2, -1)[:, np.unique(key_[where], return_inverse=True)[1]].astype(np.float64)
+            hit, left = unpack_pairs(x)[np.unique(key_[where], return_inverse=True)[1]].astype(np.float64).T
             token[where] = np.log10(hit + left * np.power(10.0, token[where]), where=hit > 0, out=token[where] + np.log10(left, where=left > 0, out=np.full(len(left), -300.0)))
         ends = np.cumsum([len(x) for x in cut])
         by_doc = np.add.reduceat(token, ends - [len(x) for x in cut])
