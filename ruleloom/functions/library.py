@@ -92,8 +92,6 @@ def add_days(d: Column, n: Column) -> Column:
 # -- collections
 
 
-
-
 def array_slice(a: Column, start: Column, end: Column | None = None) -> Column:
     stop = F.size(a) if end is None else F.least(end.cast("int"), F.size(a))
     return F.slice(a, start.cast("int") + 1, F.greatest(stop - start.cast("int"), F.lit(0)))
@@ -165,6 +163,17 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "startswith": F.startswith, "endswith": F.endswith, "lowercase": F.lower, "uppercase": F.upper, "trim": trim, "split": lambda s, d: F.split(s, d), "random": F.rand,
 }
 
+#: What functions mean where the first argument is an array, or a map.
+ARRAY_FUNCTIONS: dict[str, Callable[..., Column]] = {
+    "length": F.size, "len": F.size, "size": F.size, "contains": lambda a, v: F.coalesce(F.array_contains(a, v), F.lit(False)),
+    "first": lambda a: F.try_element_at(a, F.lit(1)), "last": lambda a: F.try_element_at(a, F.lit(-1)),
+    "isEmpty": lambda a: F.coalesce(F.size(a) == 0, F.lit(True)), "is_empty": lambda a: F.coalesce(F.size(a) == 0, F.lit(True)),
+}
+MAP_FUNCTIONS: dict[str, Callable[..., Column]] = {
+    "length": F.size, "len": F.size, "size": F.size, "contains": lambda m, k: F.coalesce(F.map_contains_key(m, k), F.lit(False)),
+    "isEmpty": ARRAY_FUNCTIONS["isEmpty"], "is_empty": ARRAY_FUNCTIONS["is_empty"],
+}
+
 #: Field actions Name(input, .., output): the column for the output.
 ACTIONS: dict[str, Callable[..., Column]] = {
     "ToUpperCase": F.upper, "ToLowerCase": F.lower, "StringLength": F.octet_length, "StringContains": F.contains, "StringTrim": trim, "StringReplace": F.replace,

@@ -102,6 +102,17 @@ def window_facts(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> D
 # -- analytics over a table of windows (one row each) or of events with their window. Windows are few against events.
 
 
+def across(df: DataFrame, field: str) -> DataFrame:
+    """windows, events, and total, least and largest of the windows' sums: one row over all windows."""
+    per = df.groupBy("window_start").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(field).cast("double")).alias("_s"))
+    return per.agg(F.count(F.lit(1)).alias("windows"), F.coalesce(F.sum("_n"), F.lit(0)).alias("events"), F.sum("_s").alias("total"), F.min("_s").alias("least"), F.max("_s").alias("largest"))
+
+
+def with_event_type(df: DataFrame, event_type: str) -> DataFrame:
+    """window_start of the windows that hold an event of a type."""
+    return df.filter(F.col("event_type") == event_type).select("window_start").distinct()
+
+
 def moving_average(df: DataFrame, field: str, n: int) -> DataFrame:
     """window_start, moving_average over the newest n windows: sum of values over number of events."""
     per = df.groupBy("window_start").agg(F.sum(F.col(field).cast("double")).alias("_s"), F.count(F.lit(1)).alias("_n"))

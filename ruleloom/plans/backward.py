@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import html
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -60,7 +61,7 @@ class Backward:
 
     def query(self, goal: str | object, depth: int = MAX_DEPTH, max_solutions: int | None = None) -> DataFrame:
         """All records with provable, proof (rules that fired for it) and missing (atoms of the goal that fail)."""
-        key = (goal, depth) if isinstance(goal, str) else None
+        key = (goal, depth, max_solutions) if isinstance(goal, str) else None
         if key in self.memo:
             return self.memo[key]
         parsed = parser.parse_goal(goal) if isinstance(goal, str) else goal
@@ -164,6 +165,19 @@ def explain(row, goal: str) -> str:
     return f"{goal} fails: {'; '.join(row['missing'])}"
 
 
+def export_proof(row, goal: str, form: str = "json") -> str:
+    """One record's proof as a document: "json", "markdown" or "html"."""
+    rules, missing = list(row["proof"]), list(row["missing"])
+    if form == "json":
+        return json.dumps({"goal": goal, "provable": row["provable"], "rules": rules, "missing": missing})
+    title, items = ("Proven by", rules or ["facts"]) if row["provable"] else ("Not proven, lacking", missing)
+    if form == "markdown":
+        return "\n".join([f"## `{goal}`", "", f"{title}:", "", *[f"{i}. {x}" for i, x in enumerate(items, 1)]])
+    if form == "html":
+        return f"<h2>{html.escape(goal)}</h2><p>{title}:</p><ol>{''.join(f'<li>{html.escape(x)}</li>' for x in items)}</ol>"
+    raise GoalError(f"no form {form!r}")
+
+
 def proof_edges(df: DataFrame, key: str, rules: list[ir.Rule]) -> DataFrame:
     """key, rule, premise, conclusion: the derivation of each provable record as edges."""
     table = [(r.name, p, w) for r in rules for p in sorted(ir.paths(r.when)) for w in sorted(writes(r))]

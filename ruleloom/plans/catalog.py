@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import fnmatch
+import json
+import random
 import re
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +43,13 @@ class KnowledgeBase:
     def enable(self, name: str, on: bool = True) -> None:
         self.rules[name].enabled = on
 
+    def get(self, name: str) -> ir.Rule | None:
+        return self.rules.get(name)
+
+    def clear(self) -> None:
+        self.rules.clear()
+        self.version += 1
+
     def by_salience(self) -> list[ir.Rule]:
         return sorted(self.rules.values(), key=lambda r: -r.salience)
 
@@ -117,6 +129,60 @@ class RuleTemplate:
     def bulk(self, many: list[dict]) -> list[ir.Rule]:
         return [r for v in many for r in self.build(**v)]
 
+    def to_json(self) -> str:
+        return json.dumps({"text": self.text, "defaults": self.defaults})
+
+    @classmethod
+    def from_json(cls, text: str) -> RuleTemplate:
+        return cls(**json.loads(text))
+
+
+@dataclass
+class Plugin:
+    """Functions for conditions and handlers for actions under a name and version."""
+
+    name: str
+    version: str = "1"
+    functions: dict[str, Callable] = field(default_factory=dict)
+    handlers: dict[str, Callable] = field(default_factory=dict)
+    needs: tuple[str, ...] = ()
+
+
+class Plugins:
+    """Loaded plugins; what they hold goes to Forward as `Forward(rules, **plugins.parts())`."""
+
+    def __init__(self, limit: int = 50):
+        self.limit, self.loaded = limit, {}
+
+    def load(self, plugin: Plugin) -> None:
+        if plugin.name in self.loaded:
+            raise CatalogError(f"plugin {plugin.name!r} is loaded")
+        if len(self.loaded) >= self.limit:
+            raise CatalogError(f"more than {self.limit} plugins")
+        if lacking := [n for n in plugin.needs if n not in self.loaded]:
+            raise CatalogError(f"plugin {plugin.name!r} needs {lacking}")
+        self.loaded[plugin.name] = plugin
+
+    def unload(self, name: str) -> None:
+        if name not in self.loaded:
+            raise CatalogError(f"no plugin {name!r}")
+        if users := [p.name for p in self.loaded.values() if name in p.needs]:
+            raise CatalogError(f"plugin {name!r} is needed by {users}")
+        del self.loaded[name]
+
+    def reload(self, plugin: Plugin) -> None:
+        """Takes the place of the plugin of the same name."""
+        if plugin.name not in self.loaded:
+            raise CatalogError(f"no plugin {plugin.name!r}")
+        self.loaded[plugin.name] = plugin
+
+    def parts(self) -> dict[str, dict[str, Callable]]:
+        out: dict = {"functions": {}, "handlers": {}}
+        for p in self.loaded.values():
+            out["functions"] |= p.functions
+            out["handlers"] |= p.handlers
+        return out
+
 
 def run_workflow(engine: Forward, df: DataFrame, steps: list[str], as_of: dt.datetime | None = None, max_cycles: int = 100) -> tuple[DataFrame, list[str]]:
     """Agenda groups one after the other, up to the first in which nothing fires; the table, and the steps that fired."""
@@ -143,6 +209,28 @@ def most_fired(audited: DataFrame, k: int) -> DataFrame:
     return rule_metrics(audited).orderBy(F.desc("fires"), "rule").limit(k)
 
 
+def recommendations(metrics: DataFrame, records: int) -> DataFrame:
+    """rule, advice for rules that never fire, that fire on every record, or that fire again and again on the same ones."""
+    share = F.col("records") / F.lit(max(records, 1))
+    advice = F.when(F.col("fires") == 0, "never fires").when(share >= 1, "fires on every record").when(F.col("fires") > 5 * F.col("records"), "fires repeatedly: is no-loop missing?")
+    return metrics.select("rule", advice.alias("advice")).filter("advice is not null")
+
+
+class CachedAggregates:
+    """Rows of small aggregates, kept on the driver for a time by name."""
+
+    def __init__(self, ttl_s: float, clock: Callable[[], float] = time.monotonic):
+        self.ttl, self.clock, self.held = ttl_s, clock, {}
+
+    def get(self, name: str, build: Callable[[], DataFrame]):
+        """The single row of build(), computed again once it is older than the time to live."""
+        at, row = self.held.get(name, (None, None))
+        if at is None or self.clock() - at >= self.ttl:
+            at, row = self.clock(), build().first()
+            self.held[name] = (at, row)
+        return row
+
+
 def dependency_report(rules: list[ir.Rule]) -> list[tuple[str, str, list[str]]]:
     """Pairs of rules of equal salience that touch each other's fields."""
     return [(a.name, b.name, sorted(c)) for i, a in enumerate(rules) for b in rules[i + 1 :] if a.salience == b.salience and (c := conflicts(a, b))]
@@ -178,6 +266,8 @@ STRATEGIES = {
 }
 
 
-def ordered(rules: list[ir.Rule], strategy: str = "salience") -> list[ir.Rule]:
-    """Activation order; a later rule is the more recent one."""
+def ordered(rules: list[ir.Rule], strategy: str = "salience", seed: int = 0) -> list[ir.Rule]:
+    """Activation order; a later rule is the more recent one. "random" shuffles rules of equal salience, alike for a seed."""
+    if strategy == "random":
+        return sorted(random.Random(seed).sample(rules, len(rules)), key=lambda r: -r.salience)
     return [r for _, r in sorted(enumerate(rules), key=lambda x: STRATEGIES[strategy](x[1], x[0]))]

@@ -87,7 +87,12 @@ def expression(x, scope: Scope) -> Column:
     if isinstance(x, ir.Call):
         if x.name not in scope.functions:
             raise BindError(f"no function {x.name!r}")
-        return scope.functions[x.name](*[expression(a, scope) for a in x.args])
+        call = scope.functions[x.name]
+        if x.args and call is library.FUNCTIONS.get(x.name):
+            kind = static_type(x.args[0], scope)
+            typed = library.ARRAY_FUNCTIONS if _is(kind, T.ArrayType) else library.MAP_FUNCTIONS if _is(kind, T.MapType) else {}
+            call = typed.get(x.name, call)
+        return call(*[expression(a, scope) for a in x.args])
     if isinstance(x, ir.Arith):
         a, b = expression(x.left, scope), expression(x.right, scope)
         kind = static_type(x, scope)
@@ -112,9 +117,21 @@ def wildcard(pattern: str) -> str:
     return "(?s)^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"
 
 
+def _alike(c: Column, kind: T.DataType | None, x, other: T.DataType | None) -> tuple[Column, T.DataType | None]:
+    if isinstance(x, ir.Call) and _is(other, T.StringType):
+        return c.cast("string"), T.StringType()
+    if isinstance(x, ir.Call) and _is(other, *NUMERIC):
+        return c.cast("string").try_cast("double"), T.DoubleType()
+    return c, kind
+
+
 def compare(op: str, left, right, scope: Scope) -> Column:
     a, b = expression(left, scope), expression(right, scope)
     ta, tb = static_type(left, scope), static_type(right, scope)
+    if op in ("==", "!="):
+        # A call's type is known to Catalyst only: it is compared as what the other side is.
+        a, ta = _alike(a, ta, left, tb)
+        b, tb = _alike(b, tb, right, ta)
     false = lambda c: F.coalesce(c, F.lit(False))
     null_left = isinstance(left, ir.Path) and scope.missing != "native"
     if op in ("==", "!="):

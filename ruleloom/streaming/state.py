@@ -31,6 +31,10 @@ class StateTable:
     def live(self, now: int) -> DataFrame:
         return self.df.filter(F.col("ttl_ms").isNull() | (F.col("created_ms") + F.col("ttl_ms") > now))
 
+    def get(self, keys: DataFrame, now: int) -> DataFrame:
+        """key, value of the asked keys (key) that are live."""
+        return self.live(now).join(keys.select("key").distinct(), "key", "left_semi").select("key", "value")
+
     def put(self, rows: DataFrame, now: int, ttl_ms: int | None = None) -> StateTable:
         new = rows.select("key", "value").withColumns({"created_ms": F.lit(now), "updated_ms": F.lit(now), "ttl_ms": F.lit(ttl_ms).cast("long")})
         return StateTable(self.df.join(new, "key", "left_anti").unionByName(new))
@@ -53,6 +57,15 @@ class StateTable:
     def checkpoint(self, path: str) -> None:
         self.df.write.mode("overwrite").parquet(path)
 
+    def snapshot(self, root: str, number: int, keep: int = 10) -> str:
+        """A numbered checkpoint under root; only the newest `keep` stay."""
+        path = f"{root.rstrip('/')}/checkpoint-{number:020d}"
+        self.checkpoint(path)
+        for old in snapshots(self.df.sparkSession, root)[:-keep]:
+            jpath = self.df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            jpath.getFileSystem(self.df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+        return path
+
     @classmethod
     def restore(cls, spark, path: str) -> StateTable:
         return cls(spark.read.schema(cls.DDL).parquet(path))
@@ -62,6 +75,13 @@ class StateTable:
         return self.df.agg(F.count(F.lit(1)).alias("entries"), F.count_if(over).alias("expired"))
 
 
+def snapshots(spark, root: str) -> list[str]:
+    """Numbered checkpoints under root, the oldest first."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/checkpoint-*")
+    found = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jpath)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 def stateful(df: DataFrame, key: str, process: Callable[[dict, dict], dict | None], output: str, ttl_ms: int | None = None) -> DataFrame:
     """process(state of the key, event) -> row or None, for each event of a stream in order of arrival within a batch.
 
