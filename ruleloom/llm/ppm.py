@@ -17,6 +17,8 @@ ORDER = 4
 #: Labelled bytes that the statistics are gathered from, all languages together: the bound of the sample.
 SAMPLE_BYTES = 8_000_000
 MAX_LANGS = 1000
+#: The sample is drawn by a hash of this many values, enough for shares far below one in a billion.
+DRAWS = 2**48
 MEMO = 250_000
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -111,7 +113,7 @@ def sample(labelled: DataFrame, budget: int) -> DataFrame:
         return rows.limit(0)
     share = budget / len(sizes)
     part = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, share / max(v, 1))))])
-    return rows.filter(F.pmod(F.xxhash64("body"), F.lit(1_000_000)) < F.element_at(part, F.col("lang")) * 1_000_000)
+    return rows.filter(F.pmod(F.xxhash64("body"), F.lit(DRAWS)) < F.element_at(part, F.col("lang")) * float(DRAWS))
 
 
 def train(labelled: DataFrame, order: int = ORDER, budget: int = SAMPLE_BYTES) -> PPM:
