@@ -58,6 +58,11 @@ def fields(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in columns.items()])
 
 
+def own(df: DataFrame) -> list[Column]:
+    """The frame's columns, bound to it: after a join they are told from equally named ones of the other side."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in df.columns]
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(df[column].cast("string"), F.lit("")).cast("binary")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fields, written
+from .common import fields, own, written
 
 #: Documents that one step of the reduction tree takes; also the fan-in of its inner nodes.
 FAN_IN = 1024
@@ -143,9 +143,7 @@ def mix(
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as mix() takes it; rows equal in id and text come alike."""
+    """The rows of docs, each as often as mix() takes it; rows equal in id and text come alike. Columns stay, whatever their names."""
     taken = mix(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.max("copies").alias("_copies"))
-    taken = taken.filter("_copies > 0")
-    keyed = docs.withColumn("_text_key", F.xxhash64(docs["text"]))
-    both = keyed.join(taken, keyed["doc_id"].eqNullSafe(taken["_id"]) & (keyed["_text_key"] == taken["_key"]))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = taken.filter("_copies > 0").select("_id", "_key", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64(docs["text"]) == taken["_key"])).select(*own(docs))
