@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import held_out, shared_path
+from ruleloom.llm.common import held_out, own, shared_path
 from ruleloom.llm.exact_dedup import exact_dedup
 from ruleloom.llm.minhash import near_dedup
 from ruleloom.llm.mixing import mixed
@@ -21,14 +21,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = identify(docs, docs.filter(~held_out(docs["doc_id"], 4))).filter("lang_pred <> 'und'")
     found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("lang_pred").alias("_lang"))
     both = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]))
-    return both.withColumn("lang", F.col("_lang")).select(*docs.columns)
+    return both.select(*[found["_lang"].alias(n) if n == "lang" else c for n, c in zip(docs.columns, own(docs))])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that of smallest id."""
     kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_text"] == kept["_sha"])).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (sha == kept["_sha"])).select(*own(docs)).dropDuplicates(["doc_id", "text"])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
