@@ -475,6 +475,28 @@ def test_pipeline_stages(spark, sf, docs):
     assert four.count() == three.count() and four.filter("not decodes").count() == 0
 
 
+def test_pipeline_clashing_columns(spark, odd, sf):
+    """Names that the stages use themselves, and one with a dot: every stage gives them back as they were."""
+    names = ["_id", "_lang", "_key", "_text", "_text_key", "_copy", "_copies", "_sha", "a.b"]
+    now = odd.dropDuplicates(["doc_id"]).withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, sf)
+        assert out.columns == now.columns, name
+        rows = out.collect()
+        assert all(r[n] == n + str(r.doc_id if r.doc_id is not None else "none") for r in rows for n in names), name
+        now = spark.createDataFrame(rows, now.schema)
+    assert {r.doc_id for r in rows} and {r.size for r in rows} == {"clash"}
+
+
+def test_ppm_sample_is_bounded(spark):
+    """A share far below one in a million of the text still bounds the sample."""
+    rows = spark.range(20_000).select(F.lit("en").alias("lang"), F.concat(F.lit("word"), F.col("id")).alias("text"))
+    whole = rows.agg(F.sum(F.length("text"))).first()[0]
+    assert ppm.sample(rows, whole).count() == 20_000
+    assert 0 < ppm.sample(rows, whole // 100).count() < 400
+    assert ppm.sample(rows, 0).count() == 0
+
+
 def test_registered():
     import __spark_entry__ as entry
 
