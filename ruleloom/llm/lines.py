@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import batch, fields, written
 
-MIN_CHARS = 20
+#: Empty lines (paragraph breaks) always stay; all others take part.
+MIN_CHARS = 1
 LAST = 2**63 - 1
 BASE = 0x9E3779B97F4A7C15
 
@@ -85,7 +86,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed, kept (the text of the lines that stay).
 
     A line goes if a line within one edit of it (a character inserted, deleted or replaced; or equal) comes earlier,
-    by doc_id, then place in the document; lines of fewer than min_chars characters always stay. Lines end at line feeds.
+    by doc_id, then place in the document; lines of fewer than min_chars characters (by default the empty ones) always stay.
+    Lines end at line feeds.
 
     Equal lines become one by a 128-bit hash. Lines that share half of their characters at the right place with another
     emit their deletion neighbourhoods as hashed keys; joined on equal keys, each line meets the earliest of its

@@ -447,6 +447,17 @@ def test_lines_match_brute_force(spark, docs, texts):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in lines.line_dedup(d, min_chars=2).collect()} == brute_lines(small, 2)
 
 
+def test_short_lines_take_part(spark):
+    """By default all lines but empty ones: a short line goes if it is repeated or one edit from an earlier one."""
+    rng = random.Random(8)
+    texts = {1: "Home\nLog in\n\n" + "x" * 20, 2: "Home\nLog on\n\n" + "x" * 19, 3: "a\n\nHomes\nab", 4: "b\nabc\n \n"}
+    texts |= {5 + i: "\n".join("".join(rng.choice("ab ") for _ in range(rng.randrange(6))) for _ in range(rng.randrange(1, 7))) for i in range(40)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in lines.line_dedup(d).collect()}
+    assert got == brute_lines(texts, 1)
+    assert [got[i] for i in (1, 2, 3, 4)] == [(4, 0, texts[1]), (4, 3, ""), (4, 2, "a\n"), (4, 3, "")]
+
+
 def test_lines_odd(odd, none):
     assert len(lines.line_dedup(odd).collect()) == len(ODD) and lines.line_dedup(none).count() == 0
 
