@@ -43,9 +43,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids, score of each document taken, and whether its ids decode to its text."""
+    """doc_id, n_pieces, ids, score of each document taken, ids and score of its second best segmentation (null: none), and
+    whether both decode to its text."""
     out = encode(docs, n_best=2)
-    return out.select("doc_id", F.size("ids").alias("n_pieces"), "ids", F.element_at("scores", 1).alias("score"), "decodes")
+    return out.select("doc_id", F.size("ids").alias("n_pieces"), "ids", F.element_at("scores", 1).alias("score"), F.try_element_at("alternatives", F.lit(1)).alias("ids_2"), F.try_element_at("scores", F.lit(2)).alias("score_2"), "decodes")
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("near-dedup", near), ("mixing", mixing), ("encoding", pieces)]

@@ -208,12 +208,12 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
-def merge_losses(lists: list[list[float]], n: int) -> list[float]:
-    """The n smallest sums of one loss from each list; each list starts at 0 and ascends."""
+def merge_losses(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n smallest sums of one loss from each list, and the places picked; each list starts at 0 and ascends."""
     queue, seen, out = [(0.0, (0,) * len(lists))], set(), []
     while queue and len(out) < n:
         total, picks = heapq.heappop(queue)
-        out.append(total)
+        out.append((total, picks))
         for k, p in enumerate(picks):
             if p + 1 < len(lists[k]) and (nxt := (*picks[:k], p + 1, *picks[k + 1 :])) not in seen:
                 seen.add(nxt)
@@ -259,13 +259,24 @@ class Encoder:
         self.used += int(size.sum())
         self.score[a:b], self.loss[a:b] = score, loss
 
-    def _losses(self, chunk: int) -> list[float]:
+    def _alternatives(self, chunk: int) -> tuple[list[float], list[np.ndarray]]:
+        """Losses and ids of a chunk's n best segmentations; the first is the Viterbi path, also where others equal it."""
         if chunk not in self.alternatives:
-            self.alternatives[chunk] = [x for x, _ in self.lattice.n_best(self.names[chunk], self.n)]
+            best = self.flat[self.start[chunk] : self.start[chunk] + self.count[chunk]].copy()
+            losses, ids = [0.0], [best]
+            for loss, path in self.lattice.n_best(self.names[chunk], self.n):
+                found = np.array([y for x in path for y in (self.lattice.as_bytes(x) if x < 0 else (x,))], np.int32)
+                if len(ids) < self.n and not np.array_equal(found, best):
+                    losses.append(max(loss, 0.0)), ids.append(found)
+            self.alternatives[chunk] = losses, ids
         return self.alternatives[chunk]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list[float]]]:
         """Best ids and the scores of the n best segmentations of each text."""
+        return [(ids[0], scores) for ids, scores in self.n_best(texts)]
+
+    def n_best(self, texts: list[str]) -> list[tuple[list[np.ndarray], list[float]]]:
+        """Ids and scores of the n best segmentations of each text, best first."""
         if len(self.memo) > MEMO:
             self.reset()
         split, get = self.lattice.split, self.memo.__getitem__
@@ -274,18 +285,26 @@ class Encoder:
         out = []
         for chunks in cut:
             if not len(chunks):
-                out.append((np.empty(0, np.int32), [0.0]))
+                out.append(([np.empty(0, np.int32)], [0.0]))
                 continue
             count = self.count[chunks]
             ends = np.cumsum(count)
             where = np.arange(ends[-1]) + np.repeat(self.start[chunks] - (ends - count), count)
-            top, scores = float(self.score[chunks].sum()), []
+            best = self.flat[where]
+            top, ids, scores = float(self.score[chunks].sum()), [best], []
             if self.n > 1:
                 loss = self.loss[chunks]
                 few = np.argpartition(loss, self.n - 2)[: self.n - 1] if len(loss) >= self.n else np.arange(len(loss))
-                lists = [self._losses(int(c)) for c in chunks[few[np.isfinite(loss[few])]]]
-                scores = merge_losses(lists, self.n)[1:]
-            out.append((self.flat[where], [top, *(top - x for x in scores)]))
+                few = np.sort(few[np.isfinite(loss[few])])
+                lists = [self._alternatives(int(c)) for c in chunks[few]]
+                for less, picks in merge_losses([x for x, _ in lists], self.n)[1:]:
+                    parts, at = [], 0
+                    for k, (_, other), p in zip(few.tolist(), lists, picks):
+                        if p:
+                            parts += [best[at : ends[k] - count[k]], other[p]]
+                            at = ends[k]
+                    ids.append(np.concatenate([*parts, best[at:]])), scores.append(top - less)
+            out.append((ids, [top, *scores]))
         return out
 
 
@@ -295,10 +314,10 @@ def decode_ids(ids, table: list[bytes]) -> bytes:
 
 
 def encode(docs: DataFrame, n_best: int = 3, model: str = MODEL) -> DataFrame:
-    """doc_id, ids (best segmentation), scores (of the n best, descending; fewer where there are fewer), decodes.
+    """doc_id, ids (best segmentation), alternatives (ids of the 2nd to n-th best), scores (of all, descending), decodes.
 
-    Whole texts are segmented; decodes tells whether decoding the ids gives the text back (a text's own space marks
-    become blanks). Null and empty texts have no ids and the score 0. Rows keep their number and order within
+    There are fewer where a text has fewer segmentations. Whole texts are segmented; decodes tells whether decoding the
+    ids of each gives the text back (a text's own space marks become blanks). Null and empty texts have no ids and the score 0. Rows keep their number and order within
     partitions; repeated rows are encoded alike and other columns are ignored. No shuffle; a task holds a batch of
     texts and a memo of bounded size.
     """
@@ -312,16 +331,24 @@ def encode(docs: DataFrame, n_best: int = 3, model: str = MODEL) -> DataFrame:
             for at in range(0, len(b), 256):
                 c = b.slice(at, 256)
                 texts = c.column(1).to_pylist()
-                done = coder.encode(texts)
-                offsets = np.cumsum([0, *(len(i) for i, _ in done)])
-                ids = np.concatenate([i for i, _ in done]) if done else np.empty(0, np.int32)
-                right = [decode_ids(i.tolist(), table) == t.replace(SPACE, " ").encode() for (i, _), t in zip(done, texts)]
+                done = coder.n_best(texts)
+                right = []
+                for (ranks, _), t in zip(done, texts):
+                    body = t.replace(SPACE, " ").encode()
+                    right.append(all(decode_ids(i.tolist(), table) == body for i in ranks))
+                best, others = [ranks[0] for ranks, _ in done], [i for ranks, _ in done for i in ranks[1:]]
+                by_doc = pa.array(np.cumsum([0, *(len(ranks) - 1 for ranks, _ in done)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array([s for _, s in done], pa.list_(pa.float64())), pa.array(right)],
-                    names=["doc_id", "ids", "scores", "decodes"],
+                    [c.column(0), _lists(best), pa.ListArray.from_arrays(by_doc, _lists(others)), pa.array([s for _, s in done], pa.list_(pa.float64())), pa.array(right)],
+                    names=["doc_id", "ids", "alternatives", "scores", "decodes"],
                 )
 
-    return src.mapInArrow(run, f"doc_id {kind}, ids array<int>, scores array<double>, decodes boolean")
+    return src.mapInArrow(run, f"doc_id {kind}, ids array<int>, alternatives array<array<int>>, scores array<double>, decodes boolean")
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

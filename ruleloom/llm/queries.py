@@ -54,9 +54,11 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
     out = encode(_table(spark, sf_dir, "documents"), n_best=3)
+    other = [F.try_element_at("alternatives", F.lit(i)) for i in (1, 2)]
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.element_at("scores", 1).alias("score"),
         F.try_element_at("scores", F.lit(2)).alias("score_2"), F.try_element_at("scores", F.lit(3)).alias("score_3"), "decodes",
+        *[F.when(x.isNotNull(), F.xxhash64(x)).alias(f"ids_hash_{i}") for i, x in enumerate(other, 2)],
     )
 
 

@@ -322,6 +322,31 @@ def test_n_best_matches_enumeration():
     assert coder.encode([long])[0][0].tolist() == list(best)
 
 
+def test_n_best_gives_the_segmentations():
+    """Ids of each rank: distinct, of the score told, and all decode to the text."""
+    coder = pieces.Encoder(pieces.MODEL, 4)
+    lat = coder.lattice
+    # The line feed is no piece: one byte at the score of unknown ones.
+    value = lambda ids: sum(lat.unknown if i in lat.byte_id.values() else lat.scores[i] for i in ids)
+    texts = ["hello ab", "a", " the  t", "the the", "x" * 9, "one two three four five\nsix", "the the", ""]
+    for t, (ids, scores) in zip(texts, coder.n_best(texts)):
+        assert len(ids) == len(scores) == len({tuple(i.tolist()) for i in ids}) and scores == sorted(scores, reverse=True)
+        assert all(pieces.decode_ids(i.tolist(), lat.bytes) == t.encode() for i in ids) and np.allclose([value(i) for i in ids], scores)
+    assert len(coder.n_best(["the the"])[0][0]) == 4
+    ids, scores = coder.n_best(["ñ☃ x\ny"])[0]
+    assert len(ids) == len(scores) > 1 and all(pieces.decode_ids(i.tolist(), lat.bytes) == "ñ☃ x\ny".encode() for i in ids)
+
+
+def test_encode_gives_the_alternatives(spark, odd):
+    for r in pieces.encode(odd, n_best=3).collect():
+        assert len(r.alternatives) + 1 == len(r.scores) and r.ids not in r.alternatives and r.decodes
+    d = spark.createDataFrame([(1, "hello there"), (2, "")], "doc_id long, text string")
+    coder = pieces.Encoder(pieces.MODEL, 2)
+    one, two = corpus_pipeline.pieces(spark, d, "").orderBy("doc_id").collect()
+    ids, scores = coder.n_best(["hello there"])[0]
+    assert (one.ids, one.ids_2) == tuple(i.tolist() for i in ids) and np.allclose([one.score, one.score_2], scores) and two.ids_2 is None
+
+
 def test_encode_odd(odd, none, docs):
     rows = pieces.encode(odd).collect()
     assert len(rows) == len(ODD) and all(r.decodes for r in rows) and all(r.ids == [] for r in rows if r.doc_id in (1, 2))
