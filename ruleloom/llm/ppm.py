@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, fields, text_bytes, words
+from .common import batch, fields, text_bytes, words, written
 from .wordbytes import WordIds, windows
 
 ORDER = 4
@@ -19,6 +19,12 @@ SAMPLE_BYTES = 8_000_000
 MAX_LANGS = 1000
 #: The sample is drawn by a hash of this many values, enough for shares far below one in a billion.
 DRAWS = 2**48
+#: Bytes from one place where a text may be cut to the next; less where a language's share is small.
+SEGMENT = 1024
+#: What is drawn before the sample is cut to its bound, in parts of the bound.
+SPARE = 2
+STEPS = 1000
+BLANKS = re.compile(rb"[\t-\r ]")
 MEMO = 250_000
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -103,17 +109,85 @@ class PPM:
         return np.where(done, bits, bits + np.log2(np.maximum(256 - out_t, 1)))
 
 
+def segment(body: bytes, k: int, size: int) -> bytes:
+    """The k-th segment of a text: cut at the first blank from k * size on, or right there if a whole segment has none."""
+
+    def place(p: int) -> int:
+        found = BLANKS.search(body, p, p + size) if p else None
+        return found.start() if found else min(p, len(body))
+
+    return body[place(k * size) : place((k + 1) * size)]
+
+
+def draws(text_hash: int, n: int) -> np.ndarray:
+    """Numbers under DRAWS of the segments of a text; equal texts have the same."""
+    x = np.uint64(text_hash & (2**64 - 1)) ^ (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for mul in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(mul)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(16)).astype(np.int64)
+
+
 def sample(labelled: DataFrame, budget: int) -> DataFrame:
-    """lang, body: all of a language's documents, or as many by a hash of the text as have its share of the budget."""
+    """lang, draw, body, n: segments of each language's distinct texts and how many rows have them.
+
+    All of a language if its distinct texts have no more bytes than its share of the budget; else as many segments as
+    fit in the share, those of the least draws (by hash of the text and the segment's place), one with a word at least.
+    """
     rows = fields(labelled, lang=labelled["lang"].cast("string"), body=text_bytes(labelled)).filter("lang is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.length("body"))).limit(MAX_LANGS + 1).collect()}
+    rows = rows.withColumn("h", F.xxhash64("body"))
+    distinct = rows.groupBy("lang", "h").agg(F.max(F.length("body")).alias("size"))
+    sizes = {r[0]: r[1] for r in distinct.groupBy("lang").agg(F.sum("size")).limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    if not sizes:
-        return rows.limit(0)
-    share = budget / len(sizes)
-    part = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, share / max(v, 1))))])
-    return rows.filter(F.pmod(F.xxhash64("body"), F.lit(DRAWS)) < F.element_at(part, F.col("lang")) * float(DRAWS))
+    share = budget // max(len(sizes), 1)
+    ddl = "lang string, draw long, body binary, n long"
+    schema = pa.schema([("lang", pa.string()), ("draw", pa.int64()), ("body", pa.binary()), ("n", pa.int64())])
+    if not share:
+        return labelled.sparkSession.createDataFrame([], ddl)
+    # A segment has less than twice the step between its places.
+    step = max(1, min(SEGMENT, share // 2))
+    below = {k: DRAWS if v <= share else int(DRAWS * min(1.0, SPARE * share / v)) for k, v in sizes.items()}
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int] = {}
+        least: dict[str, tuple] = {}
+        for b in batches:
+            for lang, body, h in zip(*(c.to_pylist() for c in b.columns)):
+                d = draws(h, -(-len(body) // step))
+                for k in np.flatnonzero(d < below[lang]).tolist():
+                    if not (part := segment(body, k, step)).isspace() and part:
+                        key = lang, int(d[k]), part
+                        seen[key] = seen.get(key, 0) + 1
+                # The least draw of all is kept whatever the rate.
+                low = least.get(lang, (DRAWS,))[0]
+                for k in sorted(np.flatnonzero((d >= below[lang]) & (d <= low)).tolist(), key=d.__getitem__):
+                    if not (part := segment(body, k, step)).isspace() and part:
+                        now = int(d[k])
+                        same = now == low and least[lang][1] == part
+                        if now < low or same:
+                            least[lang] = now, part, least[lang][2] + 1 if same else 1
+                        break
+        out = [(*key, n) for key, n in seen.items()] + [(lang, *x) for lang, x in least.items()]
+        for at in range(0, len(out), 4096):
+            yield batch(schema, *zip(*out[at : at + 4096]))
+
+    drawn = rows.mapInArrow(draw, ddl).groupBy("lang", "draw", "body").agg(F.sum("n").alias("n"))
+    drawn = written(drawn, "language-sample")
+    rate = F.element_at(F.create_map(*[x for k, v in below.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
+    stepped = drawn.withColumn("rate", rate).groupBy("lang", F.expr(f"draw * {STEPS} div rate").alias("step")).agg(F.sum(F.length("body")).alias("size"), F.min("draw").alias("least"))
+    # Draws under `upto` stay: the steps that fit in the share, and the least draw of all.
+    upto: dict[str, int] = {}
+    used: dict[str, int] = {}
+    for lang, at, size, first in sorted(stepped.collect()):
+        used[lang] = used.get(lang, 0) + size
+        if lang not in upto:
+            upto[lang] = first + 1
+        if at < STEPS and used[lang] <= share:
+            upto[lang] = max(upto[lang], -(-below[lang] * (at + 1) // STEPS))
+    if not upto:
+        return drawn
+    bound = F.element_at(F.create_map(*[x for k, v in upto.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
+    return drawn.filter(F.col("draw") < bound)
 
 
 def train(labelled: DataFrame, order: int = ORDER, budget: int = SAMPLE_BYTES) -> PPM:
@@ -123,14 +197,14 @@ def train(labelled: DataFrame, order: int = ORDER, budget: int = SAMPLE_BYTES) -
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         for b in batches:
-            for lang, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for lang, body, n in zip(*(c.to_pylist() for c in b.columns)):
                 of = seen.setdefault(lang, {})
                 for w in words(body):
-                    of[w] = of.get(w, 0) + 1
+                    of[w] = of.get(w, 0) + n
         for lang, of in seen.items():
             yield batch(schema, [lang] * len(of), list(of), list(of.values()))
 
-    counted = sample(labelled, budget).mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n"))
+    counted = sample(labelled, budget).select("lang", "body", "n").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n"))
     counts: dict[str, tuple[list, list]] = {}
     for lang, word, n in counted.toLocalIterator():
         of = counts.setdefault(lang, ([], []))

@@ -533,6 +533,25 @@ def test_ppm_sample_is_bounded(spark):
     assert ppm.sample(rows, 0).count() == 0
 
 
+def test_ppm_sample_of_long_and_copied_texts(spark):
+    """No language vanishes, however few its texts, and copies do not break the bound."""
+    rng = random.Random(6)
+    noise = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n // 6))
+    rows = [("long", noise("abcd", 200_000)) for _ in range(2)] + [("hot", noise("efgh", 30_000))] * 200 + [("few", "pq rs")] * 50
+    rows += [("many", noise("ijkl", 300)) for _ in range(2000)] + [("one", "z" * 50_000)] + [("blank", " " * 5_000 + "w" + " " * 5_000), ("blank", "  ")]
+    d = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    for budget in (60_000, 12_000):
+        size, copies = collections.Counter(), {}
+        for r in ppm.sample(d, budget).collect():
+            size[r.lang] += len(r.body)
+            copies.setdefault(r.lang, set()).add(r.n)
+        assert set(size) == {"long", "hot", "few", "many", "one", "blank"} and max(size.values()) <= budget // 6
+        assert copies["hot"] == {200} and copies["few"] == {50} and copies["long"] == {1} and size["many"] > budget // 12
+    assert ppm.train(d, budget=12_000).langs == sorted(size)
+    body = rows[0][1].encode()
+    assert b"".join(ppm.segment(body, k, 100) for k in range(-(-len(body) // 100))) == body
+
+
 def test_registered():
     import __spark_entry__ as entry
 
