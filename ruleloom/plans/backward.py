@@ -144,18 +144,24 @@ def without(bindings: DataFrame, refuted: DataFrame) -> DataFrame:
     return bindings.join(refuted, [c for c in refuted.columns if c in bindings.columns], "left_anti")
 
 
-def reachable(edges: DataFrame, source: str, target: str, max_depth: int = 100) -> DataFrame:
-    """source, target, depth: transitive closure, each pair at its least depth; only new pairs are extended each round."""
+def reachable(edges: DataFrame, source: str, target: str, max_depth: int | None = None) -> DataFrame:
+    """source, target, depth: transitive closure, each pair at its least depth; only new pairs are extended each round.
+
+    Rounds go on until no new pair appears; where pairs lie deeper than a given max_depth, that is an error.
+    """
     base = edges.select(F.col(source).alias("source"), F.col(target).alias("target")).distinct()
     seen = fresh = checkpointed(base.withColumn("depth", F.lit(1)))
-    for depth in range(2, max_depth + 1):
+    depth = 1
+    while True:
+        depth += 1
         step = fresh.select("source", F.col("target").alias("via")).join(base.select(F.col("source").alias("via"), F.col("target")), "via")
         step = step.select("source", "target").distinct().join(seen, ["source", "target"], "left_anti")
         fresh = checkpointed(step.withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
-            break
+            return seen
+        if max_depth is not None and depth > max_depth:
+            raise GoalError(f"pairs lie deeper than {max_depth}")
         seen = seen.unionByName(fresh)
-    return seen
 
 
 def explain(row, goal: str) -> str:

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ruleloom.errors import BindError, CatalogError, ParseError
+from ruleloom.errors import BindError, CatalogError, GoalError, ParseError
 from ruleloom.functions import aggregates, library
 from ruleloom.lang import ir, printer
 from ruleloom.lang.parser import parse_condition, parse_program, parse_rules
@@ -296,3 +296,12 @@ def test_snapshots_and_windows_across(spark, tmp_path):
     df = spark.createDataFrame([(0, "x", 1.0), (0, "y", 2.0), (5, "x", None)], "window_start long, event_type string, v double")
     assert tuple(windows.across(df, "v").first()) == (2, 3, 3.0, 3.0, 3.0) and tuple(windows.across(df.limit(0), "v").first()) == (0, 0, None, None, None)
     assert {r.window_start for r in windows.with_event_type(df, "y").collect()} == {0}
+
+
+def test_reachable_is_whole_or_says_so(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)] + [(5, 4)], "a long, b long").coalesce(1)
+    got = {(r.source, r.target): r.depth for r in backward.reachable(chain, "a", "b").collect()}
+    assert got == {(i, j): j - i for i in range(6) for j in range(i + 1, 6)} | {(5, 4): 1, (4, 4): 2, (5, 5): 2}
+    assert backward.reachable(chain, "a", "b", max_depth=5).count() == len(got)
+    with pytest.raises(GoalError):
+        backward.reachable(chain, "a", "b", max_depth=4)
