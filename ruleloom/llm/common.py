@@ -77,6 +77,11 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def in_order(rows: pa.Table) -> pa.Table:
+    """Rows of a block by (doc_id, body): Spark gives them in any order, another one when a block is made again."""
+    return rows.sort_by([("doc_id", "ascending"), ("body", "ascending")])
+
+
 def held_out(doc_id: Column, modulus: int) -> Column:
     """Remainder of crc32 of the id's text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == 2

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, fields, text_bytes, written
+from .common import batch, fields, in_order, text_bytes, written
 from .exchange import n_blocks, ordered, pack, unpack
 
 BLOCK_BYTES = 12_000_000
 SLICE = 1 << 19
-#: An anchor found in more different contexts than this is settled by fingerprints of its windows, which spread over
-#: owners, instead of by sorting its contexts, which meet in one owner. Both give the same spans.
+#: A gram with more contexts than this is split by all further bytes of its windows, so that its contexts do not meet in
+#: one owner: each block sends one entry for each distinct window, as a 64-bit hash. The spans are the same.
 HOT = 2048
 
 
@@ -262,15 +262,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same document or another.
     Texts are taken as whole UTF-8 bytes (null: empty), matches stay within documents, what goes is judged on the input.
 
-    1. Every window of `length` bytes has an anchor; blocks of documents send anchors with a hash of all that windows
-       around them can hold. Their owners tell anchors that occur once (their windows cannot repeat), that always occur in the same
-       surroundings (all their windows repeat), and mixed ones.
-    2. Blocks sort the suffixes at mixed anchors and send front-coded runs to owners by gram; a loser tree merges them
-       and the shared prefixes settle how far each is covered. Mixed anchors in very many surroundings send
-       fingerprints of their windows instead, one entry per block and distinct window.
+    1. Every window of `length` bytes has an anchor. Blocks of documents send the hashes of their anchors' grams; owners
+       tell grams that occur once (their windows cannot repeat) from those that occur again.
+    2. Blocks sort the suffixes at anchors whose gram occurs again and send front-coded runs to owners by gram; a loser
+       tree merges them and the shared prefixes settle how far each is covered. Grams in very many contexts are split by
+       the rest of their windows' bytes instead: one entry per block and distinct window, spread over all owners.
     3. Blocks cover their documents.
-    Grams, surroundings and fingerprints are 64-bit hashes; the sorted suffixes are compared byte by byte. Rows that
-    repeat a text cover each other; an empty table gives no rows; other columns are ignored.
+    Blocks are laid out by (doc_id, text), so a block that is made again, from rows in another order, is the same block.
+    Grams and windows of split grams are 64-bit hashes; the sorted suffixes are compared byte by byte. Rows that
+    repeat a text (and id) cover each other; an empty table gives no rows; other columns are ignored.
     """
     gram = length // 2
     src = fields(docs, doc_id=docs["doc_id"].cast("long"), body=text_bytes(docs))
@@ -283,57 +283,52 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
         return pa.Table.from_batches([batch(row, *(zip(*rows) if rows else [[]] * len(row)))])
 
     def ask(key, docs_):
-        block = Block(docs_.column("body").to_pylist(), length)
+        block = Block(in_order(docs_).column("body").to_pylist(), length)
         at, g = block.anchors()
         keys, cuts, place = ordered(g, parts)
-        w = block.contexts(at)
-        # One context stands for a gram; a gram in several contexts within the block says so.
-        first, same = np.zeros(len(keys), np.uint64), np.ones(len(keys), bool)
-        first[place] = w
-        same[place[first[place] != w]] = False
         count = np.bincount(place, minlength=len(keys))
-        several = np.zeros(len(keys), np.int64)
-        if not same.all():
-            mixed = np.flatnonzero(~same[place])
-            pairs = np.unique(np.stack([place[mixed].astype(np.uint64), w[mixed]]), axis=1)[0].astype(np.int64)
-            several = np.bincount(pairs, minlength=len(keys))
-        code = np.where(count == 1, 0, np.where(same, 1, np.minimum(several, 2**31))).astype(np.uint32)
-        return table([(0, p, key[0].as_py(), pack(np.concatenate([keys[i:j], first[i:j]])), pack(code[i:j]), 0) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i])
+        # 0: once in this block; else in how many different contexts.
+        code = np.zeros(len(keys), np.uint64)
+        again = np.flatnonzero(count[place] > 1)
+        if len(again):
+            of, around = place[again], block.contexts(at[again])
+            by = np.lexsort((around, of))
+            of, around = of[by], around[by]
+            fresh = np.append(True, (of[1:] != of[:-1]) | (around[1:] != around[:-1]))
+            code = np.bincount(of[fresh], minlength=len(keys))
+        code = np.minimum(code, 2**31).astype(np.uint32)
+        return table([(0, p, key[0].as_py(), pack(keys[i:j]), pack(code[i:j]), 0) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i])
 
     def judge(key, asked):
-        """For each gram asked: 0 once, 1 always alike, 2 mixed, 3 mixed in very many surroundings."""
-        both = [unpack(x, np.uint64).reshape(2, -1) for x in asked.column("a").to_pylist()]
+        """For each gram asked: 0 once, 1 again, 2 again and in very many contexts."""
+        grams = [unpack(x, np.uint64) for x in asked.column("a").to_pylist()]
         code = np.concatenate([unpack(x, np.uint32) for x in asked.column("b").to_pylist()]).astype(np.int64)
-        keys, at, n = np.unique(np.concatenate([x[0] for x in both]), return_inverse=True, return_counts=True)
-        w = np.concatenate([x[1] for x in both])
-        first = np.zeros(len(keys), np.uint64)
-        first[at] = w
-        differ = (np.bincount(at, first[at] != w, len(keys)) > 0) | (np.bincount(at, code > 1, len(keys)) > 0)
+        keys, at, n = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
         again = (n > 1) | (np.bincount(at, code > 0, len(keys)) > 0)
         around = np.bincount(at, np.maximum(code, 1), len(keys))
-        verdict = np.where(~again, 0, np.where(~differ, 1, np.where(around > hot, 3, 2))).astype(np.uint8)
-        where = np.split(at, np.cumsum([x.shape[1] for x in both])[:-1])
+        verdict = (again + (again & (around > hot))).astype(np.uint8)
+        where = np.split(at, np.cumsum([len(x) for x in grams])[:-1])
         return table([(0, key[0].as_py(), b, pack(verdict[x]), b"", 0) for b, x in zip(asked.column("block").to_pylist(), where)])
 
     verdicts = written(blocked.groupBy("block").applyInArrow(ask, ddl).groupBy("part").applyInArrow(judge, ddl), "suffix-verdicts")
 
     def sort(key, docs_, replies):
-        """Runs for owners (1), window fingerprints for owners (2), and what the block must remember (9)."""
+        """Runs for owners (1), windows of split grams (2), and what the block must remember (9)."""
         me = key[0].as_py()
-        block = Block(docs_.column("body").to_pylist(), length)
+        block = Block(in_order(docs_).column("body").to_pylist(), length)
         at, g = block.anchors()
         keys, cuts, place = ordered(g, parts)
         got = dict(zip(replies.column("part").to_pylist(), replies.column("a").to_pylist()))
         verdict = np.concatenate([unpack(got[p], np.uint8) for p in sorted(got)] or [np.empty(0, np.uint8)])[place]
-        rows = [(9, 0, me, pack(at[verdict == 1]), b"alike", 0)]
-        mixed = np.flatnonzero(verdict == 2)
-        part = np.searchsorted(cuts, place[mixed], side="right") - 1
+        rows = []
+        repeated = np.flatnonzero(verdict == 1)
+        part = np.searchsorted(cuts, place[repeated], side="right") - 1
         by = np.argsort(part, kind="stable")
-        mixed, part = mixed[by], part[by]
+        repeated, part = repeated[by], part[by]
         edges = np.searchsorted(part, np.arange(parts + 1))
         kept = []
         for p in np.unique(part).tolist():
-            a = at[mixed[edges[p] : edges[p + 1]]]
+            a = at[repeated[edges[p] : edges[p + 1]]]
             before, after = block.reach(a)
             right, left = block.right(a, after), block.left(a, before)
             whole = np.concatenate([right, left, before[:, None].astype("<u2").view(np.uint8), after[:, None].astype("<u2").view(np.uint8)], 1)
@@ -346,7 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
             rows.append((1, p, me, front_code(right[first]), pack(meta), len(first)))
             kept.append((p, a, back[same]))
         rows += [(9, p, me, pack(a), pack(s.astype(np.int32)), 1) for p, a, s in kept]
-        very = at[verdict == 3]
+        very = at[verdict == 2]
         if len(very):
             starts, h = block.windows(very)
             keys, cuts, place = ordered(h, parts)
@@ -387,6 +382,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
     kept_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def cover(key, docs_, replies):
+        docs_ = in_order(docs_)
         bodies = docs_.column("body").to_pylist()
         block = Block(bodies, length)
         rows = replies.to_pylist()
@@ -397,10 +393,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
             if r["kind"] != 9:
                 continue
             at = unpack(r["a"], np.int64)
-            if r["n"] == 0:
-                before, after = block.reach(at) if len(at) else (at, at)
-                lo.append(at - before), hi.append(at + after)
-            elif r["n"] == 1:
+            if r["n"] == 1:
                 l, h = unpack(of_run[r["part"]], np.int16).reshape(2, -1)[:, unpack(r["b"], np.int32)].astype(np.int64)
                 lo.append(at[l >= 0] - l[l >= 0]), hi.append(at[l >= 0] + h[l >= 0])
             else:

@@ -183,6 +183,25 @@ def test_repeats_of_planted_passages(spark, hot):
     assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) for i in range(len(texts))] == want
 
 
+def restless(df):
+    """The same rows, in another order each time they are asked for: what shuffles, retries and lost executors do."""
+
+    def permute(batches):
+        import pyarrow as pa
+
+        for t in [pa.Table.from_batches(list(batches))] if (batches := list(batches)) else []:
+            yield from t.take(np.random.default_rng().permutation(len(t))).to_batches()
+
+    return df.mapInArrow(permute, df.schema)
+
+
+def test_repeats_do_not_depend_on_order(docs, texts):
+    want = dict(zip(sorted(texts), brute_repeats([texts[i] for i in sorted(texts)])))
+    for hot in (2048, 2):
+        got = suffix.remove_repeats(restless(docs), block_bytes=150_000, hot=hot).collect()
+        assert len(got) == len(want) and all(want[r.doc_id] == (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got)
+
+
 def test_repeats_odd(odd, none):
     assert suffix.remove_repeats(odd).count() == len(ODD)
     assert suffix.remove_repeats(none).count() == 0
