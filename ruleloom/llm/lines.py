@@ -16,6 +16,7 @@ from .common import batch, fields, written
 MIN_CHARS = 1
 LAST = 2**63 - 1
 BASE = 0x9E3779B97F4A7C15
+INVERSE = np.uint64(pow(BASE, -1, 2**64))
 
 
 def _hashes(s: str) -> tuple[int, int]:
@@ -37,6 +38,16 @@ def half_keys(line: str) -> list[int]:
     return out
 
 
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> np.ndarray:
+    """The first n powers of BASE; the table doubles where it is too short."""
+    while len(_POWERS[0]) < n:
+        _POWERS[0] = np.concatenate([_POWERS[0], _POWERS[0] * np.uint64(pow(BASE, len(_POWERS[0]), 2**64))])
+    return _POWERS[0][:n]
+
+
 def neighbourhood(line: str, mask: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed keys of the variants of a line with at most one deletion, and their roles.
 
@@ -48,14 +59,10 @@ def neighbourhood(line: str, mask: int) -> tuple[np.ndarray, np.ndarray]:
     c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     c = (c + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     c ^= c >> np.uint64(32)
-    power = [1]
-    for _ in range(n):
-        power.append(power[-1] * BASE & (2**64 - 1))
-    power = np.array(power, np.uint64)
-    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * power[:n])])
+    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * _powers(n))])
     after = before[-1] - before[1:]
     # The characters after a deleted one move up a place.
-    gone = before[:-1] + after * np.uint64(pow(BASE, -1, 2**64))
+    gone = before[:-1] + after * INVERSE
     whole = before[-1]
     keys, roles = [], []
     for i, m in enumerate((n, n, n - 1, n - 1)):
@@ -78,8 +85,10 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
 
-def _key(docs: DataFrame) -> Column:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc (null ids last), key (of id and text: rows that share an id are told apart by their text), text."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return fields(docs, doc=F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), key=F.xxhash64(docs["doc_id"].cast("long"), text), text=text)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -92,44 +101,48 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Equal lines become one by a 128-bit hash. Lines that share half of their characters at the right place with another
     emit their deletion neighbourhoods as hashed keys; joined on equal keys, each line meets the earliest of its
     neighbours; edit distances of those are verified. Groups are reduced to their earliest line by partial minima: no
-    pairs within a group are made and none is capped. Null texts count as empty, null ids come last and together, rows
-    that share an id count as one place each line; an empty table gives no rows.
+    pairs within a group are made and none is capped. Null texts count as empty. Rows with a null id come last. Rows
+    that share an id (or have none) are documents of their own if their texts differ, in the order of a hash of the
+    text; rows equal in id and text count as one document, and all come back as it does. An empty table gives no rows.
     """
-    src = fields(docs, doc=_key(docs), text=F.coalesce(docs["text"].cast("string"), F.lit("")))
-    schema = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    src = _rows(docs)
+    schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("halves", pa.list_(pa.int64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 512):
                 rows = []
-                for doc, text in zip(*(c.to_pylist() for c in b.slice(at, 512).columns)):
-                    rows += [(doc, i, *_hashes(x), half_keys(x)) for i, x in enumerate(text.split("\n")) if len(x) >= min_chars]
+                for doc, key, text in zip(*(c.to_pylist() for c in b.slice(at, 512).columns)):
+                    rows += [(doc, key, i, *_hashes(x), half_keys(x)) for i, x in enumerate(text.split("\n")) if len(x) >= min_chars]
                 if rows:
                     yield batch(schema, *zip(*rows))
 
-    lines = written(src.mapInArrow(cut, "doc long, line int, h1 long, h2 long, keys array<long>"), "lines")
-    place = F.struct("doc", "line")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("keys").alias("keys"))
+    lines = written(src.mapInArrow(cut, "doc long, key long, line int, h1 long, h2 long, halves array<long>"), "lines")
+    place = F.struct("doc", "key", "line")
+    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves"))
     distinct = written(distinct, "distinct-lines")
-    keyed = distinct.select("h1", "h2", "first", F.posexplode("keys").alias("i", "key"))
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select(F.col("key").alias("shared_key"))
-    masks = keyed.join(shared, keyed.key == shared.shared_key).groupBy("h1", "h2", "first").agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << x) for x in range(4)]), F.col("i") + 1)).alias("mask"))
-    wanted = masks.groupBy(F.col("first.doc").alias("of")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "mask")).alias("wanted"))
-    found_schema = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("mask", pa.int32()), ("text", pa.string())])
+    halved = distinct.select("h1", "h2", F.posexplode("halves").alias("i", "half"))
+    shared = halved.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select(F.col("half").alias("shared_half"))
+    masks = halved.join(shared, halved.half == shared.shared_half).groupBy("h1", "h2").agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << x) for x in range(4)]), F.col("i") + 1)).alias("mask"))
+    masks = masks.select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), "mask")
+    masked = distinct.select("h1", "h2", "first").join(masks, (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2")))
+    wanted = masked.groupBy(F.col("first.doc").alias("of"), F.col("first.key").alias("of_key")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "mask")).alias("wanted"))
+    found_schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("mask", pa.int32()), ("text", pa.string())])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 256):
                 rows = []
-                for doc, text, want in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
+                for doc, key, text, want in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
                     parts = text.split("\n")
-                    rows += [(doc, w["line"], w["mask"], parts[w["line"]]) for w in want if w["line"] < len(parts)]
+                    rows += [(doc, key, w["line"], w["mask"], parts[w["line"]]) for w in want]
                 if rows:
                     yield batch(found_schema, *zip(*rows))
 
-    found = src.join(wanted, src.doc == wanted.of).select("doc", "text", "wanted").mapInArrow(fetch, "doc long, line int, mask int, text string")
-    found = written(found.dropDuplicates(["doc", "line"]), "candidate-lines")
-    variant_schema = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("role", pa.int8()), ("key", pa.int64())])
+    found = src.join(wanted, (src.doc == wanted.of) & (src.key == wanted.of_key)).select("doc", "key", "text", "wanted")
+    found = found.mapInArrow(fetch, "doc long, key long, line int, mask int, text string")
+    found = written(found.dropDuplicates(["doc", "key", "line"]), "candidate-lines")
+    variant_schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("role", pa.int8()), ("variant", pa.int64())])
 
     def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,23 +152,22 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 if not done:
                     continue
                 size = [len(k) for k, _ in done]
-                yield batch(variant_schema, np.repeat(c.column("doc").to_numpy(), size), np.repeat(c.column("line").to_numpy(), size), np.concatenate([r for _, r in done]), np.concatenate([k for k, _ in done]))
+                yield batch(variant_schema, *[np.repeat(c.column(x).to_numpy(), size) for x in ("doc", "key", "line")], np.concatenate([r for _, r in done]), np.concatenate([k for k, _ in done]))
 
-    variants = found.mapInArrow(vary, "doc long, line int, role tinyint, key long")
+    variants = found.mapInArrow(vary, "doc long, key long, line int, role tinyint, variant long")
     least = lambda role: F.min(F.when(F.col("role") == role, place))
-    groups = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), least(0).alias("of_0"), least(1).alias("of_1"), least(2).alias("of_2"))
-    groups = groups.filter("n > 1 and (of_0 is not null or (of_1 is not null and of_2 is not null))").withColumnRenamed("key", "group_key")
-    met = variants.join(groups, variants.key == groups.group_key)
+    groups = variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), least(0).alias("of_0"), least(1).alias("of_1"), least(2).alias("of_2"))
+    groups = groups.filter("n > 1 and (of_0 is not null or (of_1 is not null and of_2 is not null))").withColumnRenamed("variant", "group_key")
+    met = variants.join(groups, variants.variant == groups.group_key)
     other = F.when(F.col("role") == 0, F.col("of_0")).when(F.col("role") == 1, F.col("of_2")).otherwise(F.col("of_1"))
-    pairs = met.select("doc", "line", other.alias("other")).filter(F.col("other") < place).distinct()
-    one = found.select(F.col("doc").alias("d1"), F.col("line").alias("l1"), F.col("text").alias("x"))
-    two = found.select(F.col("doc").alias("d2"), F.col("line").alias("l2"), F.col("text").alias("y"))
-    pairs = pairs.join(one, (F.col("doc") == F.col("d1")) & (F.col("line") == F.col("l1"))).join(two, (F.col("other.doc") == F.col("d2")) & (F.col("other.line") == F.col("l2")))
-    near = pairs.filter(F.levenshtein("x", "y", 1) >= 0).groupBy("doc", "line").agg(F.min("other").alias("near"))
-    ahead = distinct.select("h1", "h2", "first").join(near, (F.col("first.doc") == F.col("doc")) & (F.col("first.line") == F.col("line")), "left")
+    pairs = met.select(place.alias("mine"), other.alias("other")).filter(F.col("other") < F.col("mine")).distinct()
+    one, two = found.select(place.alias("at_1"), F.col("text").alias("x")), found.select(place.alias("at_2"), F.col("text").alias("y"))
+    pairs = pairs.join(one, F.col("mine") == F.col("at_1")).join(two, F.col("other") == F.col("at_2"))
+    near = pairs.filter(F.levenshtein("x", "y", 1) >= 0).groupBy("mine").agg(F.min("other").alias("near"))
+    ahead = distinct.select("h1", "h2", "first").join(near, F.col("first") == F.col("mine"), "left")
     ahead = ahead.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.coalesce("near", "first").alias("ahead"))
     gone = lines.join(ahead, (lines.h1 == ahead.a1) & (lines.h2 == ahead.a2)).filter(F.col("ahead") < place)
-    gone = gone.groupBy(F.col("doc").alias("of")).agg(F.collect_set("line").alias("gone"))
+    gone = gone.groupBy(F.col("doc").alias("of"), F.col("key").alias("of_key")).agg(F.collect_set("line").alias("gone"))
     out_schema = pa.schema([("doc", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,5 +180,5 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     rows.append((doc, len(parts), len(parts) - len(stay), "\n".join(stay)))
                 yield batch(out_schema, *(zip(*rows) if rows else [[]] * 4))
 
-    out = src.join(gone, src.doc == gone.of, "left").select("doc", "text", "gone").mapInArrow(rebuild, "doc long, n_lines long, n_removed long, kept string")
+    out = src.join(gone, (src.doc == gone.of) & (src.key == gone.of_key), "left").select("doc", "text", "gone").mapInArrow(rebuild, "doc long, n_lines long, n_removed long, kept string")
     return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_lines", "n_removed", "kept")
