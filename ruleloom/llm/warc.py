@@ -20,6 +20,8 @@ from .common import batch, fields, shared_path
 CHUNK = 1 << 20
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 100
+#: Runs of records are read by so many tasks at most; with more, a task reads several.
+MAX_TASKS = 20_000
 #: Zlib level of the archives: they are read once, so speed counts.
 LEVEL = 1
 
@@ -40,16 +42,17 @@ def record(kind: str, record_id: str, uri: str, payload: bytes, digest: str, len
 
 
 def inflated(source: BinaryIO) -> Iterator[bytes]:
-    """Bytes of a gzip stream of one or more members, a chunk at a time, in one pass."""
+    """Bytes of a gzip stream of one or more members, in one pass; no chunk exceeds CHUNK bytes, however well it was packed."""
     unzip = zlib.decompressobj(31)
     while data := source.read(CHUNK):
         while data:
-            yield unzip.decompress(data)
-            data = unzip.unused_data
+            if out := unzip.decompress(data, CHUNK):
+                yield out
+            data = unzip.unconsumed_tail or unzip.unused_data
             if unzip.eof:
                 unzip = zlib.decompressobj(31)
-    if tail := unzip.flush():
-        yield tail
+    while not unzip.eof and (out := unzip.decompress(b"", CHUNK)):
+        yield out
 
 
 class Records:
@@ -163,8 +166,8 @@ def write_archives(pages: DataFrame, folder: str, prefix: str = "part") -> DataF
     return pages.mapInArrow(write, "archive string, n_records long")
 
 
-def read_archives(archives: DataFrame, split: int = 4096) -> DataFrame:
-    """Records of the archives in column archive, found through their indexes.
+def read_archives(archives: DataFrame, split: int = 1024) -> DataFrame:
+    """Records of the archives of a table (archive, n_records), found through their indexes.
 
     record_id, record_type, payload_bytes and payload_digest of the full payload, refers_to, url, payload (the block).
     Work is dealt out in runs of up to `split` records, so a large archive is read by many tasks. The payload of a
@@ -222,7 +225,9 @@ def read_archives(archives: DataFrame, split: int = 4096) -> DataFrame:
                 if rows:
                     yield batch(out, *zip(*rows))
 
-    dealt = archives.mapInArrow(runs, "archive string, offset long, length long, n long").repartition(F.col("archive"), F.col("offset"))
+    # A run is a few numbers here but up to `split` records there, so their tasks are counted, not merged by size.
+    tasks = max(1, archives.agg(F.sum(F.ceil(F.col("n_records") / split))).first()[0] or 1)
+    dealt = archives.select("archive").mapInArrow(runs, "archive string, offset long, length long, n long").repartition(min(tasks, MAX_TASKS), "archive", "offset")
     return dealt.mapInArrow(read, "record_id string, record_type string, payload_bytes long, payload_digest string, refers_to string, url string, payload binary")
 
 
@@ -230,14 +235,17 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, html (UTF-8, null: empty), digest, record_type, refers_to.
 
     Of pages with equal payloads of at least 100 bytes the smallest page_id is the response, the others revisit it.
-    The smallest ids come from partial minima per digest; the join back can be split where one payload is very common.
+    The smallest ids come from partial minima per digest; the join back, on page_id and digest, can be split where one
+    payload is very common. Rows that share a page_id are judged each by its own payload: with other payloads they are
+    pages of their own, and all rows equal to the response are responses. Rows without page_id are responses.
     """
     html = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary")
     rows = fields(pages, page_id=pages["page_id"].cast("long"), url=pages["url"].cast("string"), html=html).withColumn("digest", F.sha2("html", 256))
     ids = rows.filter((F.length("html") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", "digest")
     first = ids.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first_id"))
-    again = ids.join(first, ids.digest == first.d).filter("page_id <> first_id").select(F.col("page_id").alias("again_id"), F.col("first_id").alias("refers_to")).distinct()
-    rows = rows.join(again, rows.page_id == again.again_id, "left").drop("again_id")
+    again = ids.join(first, ids.digest == first.d).filter("page_id <> first_id")
+    again = again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again"), F.col("first_id").alias("refers_to")).distinct()
+    rows = rows.join(again, (rows.page_id == again.again_id) & (rows.digest == again.again), "left").drop("again_id", "again")
     return rows.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
