@@ -142,6 +142,23 @@ def test_warc_pages(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_repeated_ids_keep_their_payloads(spark):
+    one, two = "h" * 200, "another payload " * 20
+    rows = [(3, "u", one), (5, "u", one), (5, "u", two), (5, "u", two), (7, "u", two), (9, "u", one), (9, "u", one), (None, "u", two)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = [(3, sha(one), "response", None), (5, sha(one), "revisit", 3), (5, sha(two), "response", None), (5, sha(two), "response", None)]
+    want += [(7, sha(two), "revisit", 5), (9, sha(one), "revisit", 3), (9, sha(one), "revisit", 3), (None, sha(two), "response", None)]
+    got = collections.Counter((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_pages(d).collect())
+    assert got == collections.Counter(want)
+
+
+def test_warc_inflates_in_bounded_chunks():
+    packed = gzip.compress(b"\0" * 20_000_000) + gzip.compress(b"tail")
+    chunks = list(warc.inflated(io.BytesIO(packed)))
+    assert max(map(len, chunks)) <= warc.CHUNK and b"".join(chunks) == b"\0" * 20_000_000 + b"tail"
+
+
 # -- suffixes ----------------------------------------------------------------------------------------------------------
 
 
@@ -422,6 +439,27 @@ def test_near_dedup_chains_and_odd(spark, odd, none):
     assert minhash.near_dedup(none).count() == 0
 
 
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(40)]
+    near = " ".join([*base[:39], "other"])
+    rows = [(4, " ".join(base)), (None, " ".join(base)), (5, near), (5, "quite another text of few words"), (6, "quite another text of few words"), (None, near), (7, "alone")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"class": F.lit(1), "band": F.lit(2), "id": F.lit(3)})
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_dedup(d, n=4).collect())
+    assert got == collections.Counter([(4, 4, True), (None, None, True), (None, None, True), (5, 4, False), (5, 5, True), (6, 5, False), (7, 7, True)])
+
+
+def test_near_dedup_of_one_hot_bucket(spark):
+    """Many unlike members of one band, and links among them that no star finds: blocks of 16 settle them."""
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(60)]
+    texts = {i: " ".join([*shared, *(f"t{rng.randrange(10**6)}" for _ in range(30 + i % 7))]) for i in range(120)}
+    texts |= {200 + i: texts[i] + f" x{i}" for i in range(0, 120, 5)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components(texts, 4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_dedup(d, n=4, chunk=16).collect()} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_dedup(d, n=4, bands=200, rows=1, chunk=16).collect()} == want
+
+
 def test_min_max_estimates_similarity():
     h = minhash.MinMax(200, 5)
     rng = np.random.default_rng(5)
@@ -502,6 +540,18 @@ def test_short_lines_take_part(spark):
     assert [got[i] for i in (1, 2, 3, 4)] == [(4, 0, texts[1]), (4, 3, ""), (4, 2, "a\n"), (4, 3, "")]
 
 
+def test_lines_of_null_and_repeated_ids(spark):
+    """Nothing but near repeats goes: documents without an id, or that share one, are told apart by their texts."""
+    line = "the line that many rows have in common"
+    rows = [(1, line), (None, line), (None, "another text\nof its own"), (None, line + "\nwhat stays"), (7, "a line of the seventh"), (7, line), (7, "a line of the seventh"), (8, "A line of the seventh\nand more of it")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "line": F.lit(2)})
+    got = collections.Counter((r.doc_id, r.n_removed, r.kept) for r in lines.line_dedup(restless(d)).collect())
+    assert got == collections.Counter([
+        (1, 0, line), (None, 1, ""), (None, 0, "another text\nof its own"), (None, 1, "what stays"), (7, 0, "a line of the seventh"), (7, 1, ""),
+        (7, 0, "a line of the seventh"), (8, 1, "and more of it"),
+    ])
+
+
 def test_lines_odd(odd, none):
     assert len(lines.line_dedup(odd).collect()) == len(ODD) and lines.line_dedup(none).count() == 0
 
