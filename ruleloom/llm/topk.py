@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -13,14 +11,17 @@ from pyspark.sql import functions as F
 from .common import batch, fields
 
 DIMS = 16
+#: Cells of queries and candidates that are tasks of their own; with more cells, a task has several.
+MAX_TASKS = 20_000
 
 
-def search_block(queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, own: np.ndarray, k: int, dims: int = DIMS) -> list[np.ndarray]:
-    """For each query the positions of its k best of a block, by (score down, id up).
+def search_block(queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray, dims: int = DIMS) -> list[np.ndarray]:
+    """For each query the positions of its k best of a block, by (score down, id up); those below its floor may be left out.
 
     columns holds the block dimension by dimension. Scores accumulate a block of dimensions at a time; after each, a
     candidate whose partial score plus the product of the remaining norms (the most that remaining mass can add) is
-    below the k-th best lower bound (partial less that product) is dropped, and the surviving columns are compacted.
+    below the k-th best lower bound (partial less that product), or below the floor that earlier blocks have set, is
+    dropped, and the surviving columns are compacted.
     """
     n_dim, n = columns.shape
     if n == 0:
@@ -40,9 +41,9 @@ def search_block(queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, own:
                 left = rest_q[i, at] * (rest_x[at] if alive is None else rest_x[at, alive]) * (1 + 1e-9) + 1e-6
             else:
                 left = 0.0
-            if len(part) > k:
+            if len(part) > k or floor[i] > -np.inf:
                 low = part - left
-                bound = np.partition(low, len(low) - k)[len(low) - k]
+                bound = max(floor[i], np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf)
                 keep = np.flatnonzero(part + left >= bound)
                 if len(keep) < 0.7 * len(part) or at == n_dim:
                     part, alive = part[keep], keep if alive is None else alive[keep]
@@ -63,70 +64,102 @@ def scaled(embedding: Column) -> Column:
     return F.when(fit & (F.size(x) > 0), F.transform(x, lambda v: F.floor(v * 64).cast("long")))
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 20, block: int = 8192, query_block: int = 2048) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products with other rows.
-
-    vectors: (vec_id long, v array<long>). queries: which rows are queries; all rows with an id are candidates but the
-    query's own. Rows are packed into blocks of equal dimension; each block of queries meets each block of candidates
-    once (queries in blocks against all rows), and only k rows for each query leave such a meeting. Rows without
-    vector or id take no part, vectors of other lengths are not compared, ties go to the smaller id; rows that repeat
-    an id are candidates each.
-    """
-    rows = fields(vectors, vec_id=vectors["vec_id"].cast("long"), v=vectors["v"], dim=F.size(vectors["v"])).filter("vec_id is not null and v is not null")
-    rows = rows.withColumn("is_query", F.coalesce(queries, F.lit(False)))
-    counts = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("nq"))
-    counts = counts.select(F.col("dim").alias("d"), F.ceil(F.col("n") / block).alias("blocks"), F.ceil(F.col("nq") / query_block).alias("query_blocks"))
-    rows = rows.join(counts, rows.dim == counts.d).drop("d")
-    name = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
-    cand = rows.select("vec_id", "v", "dim", F.col("query_blocks"), name.alias("b"))
-    asks = rows.filter("is_query").select("vec_id", "v", "dim", F.lit(None).cast("long").alias("query_blocks"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("query_blocks")).alias("b"))
-    packed_schema = "dim int, b long, query_blocks long, ids binary, values binary, wide boolean"
+def _packed(rows: DataFrame, name: Column) -> DataFrame:
+    """dim, b, ids, prints, values (dimension by dimension), wide: the rows (vec_id, v, dim, print) of each block."""
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("vec_id", kind="stable")
+        part = part.sort_values(["vec_id", "print"], kind="stable")
         values = np.stack(part["v"].to_numpy()).astype(np.int64)
         small = bool(np.abs(values).max(initial=0) < 2**15)
         return pd.DataFrame(
-            {"dim": [int(key[0])], "b": [int(key[1])], "query_blocks": [part["query_blocks"].iloc[0]], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()],
+            {"dim": [int(key[0])], "b": [int(key[1])], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "prints": [part["print"].to_numpy(np.int64).tobytes()],
              "values": [values.T.astype(np.int16 if small else np.int64).tobytes()], "wide": [not small]}
         )
 
-    cand = cand.groupBy("dim", "b").applyInPandas(pack, packed_schema).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
-    cand = cand.filter("query_blocks > 0")
-    asks = asks.groupBy("dim", "b").applyInPandas(pack, packed_schema)
-    asks = asks.select(F.col("dim").alias("qdim"), F.col("b").alias("qb_"), F.col("ids").alias("qids"), F.col("values").alias("qvalues"), F.col("wide").alias("qwide"))
-    meet = cand.join(asks, (cand.dim == asks.qdim) & (cand.qb == asks.qb_)).select("dim", "ids", "values", "wide", "qids", "qvalues", "qwide")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                read = lambda x, wide: np.frombuffer(x, np.int64 if wide else np.int16).reshape(r["dim"], -1)
-                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
-                cols, qs = read(r["values"], r["wide"]).astype(np.float64), read(r["qvalues"], r["qwide"]).T.astype(np.float64)
-                where = np.searchsorted(ids, qids)
-                where[where == len(ids)] = 0
-                own = np.where(ids[where] == qids, where, -1)
-                exact = np.abs(cols).max(initial=0) * np.abs(qs).max(initial=0) * r["dim"] < 2**52
-                if not exact or (len(ids) > 1 and (np.diff(ids) == 0).any()):
-                    yield from _plain(schema, qids, qs.astype(np.int64), ids, cols.astype(np.int64), k)
-                    continue
-                if r["dim"] * float(np.abs(cols).max(initial=0)) * float(np.abs(qs).max(initial=0)) < 2**23:
-                    cols, qs = cols.astype(np.float32), qs.astype(np.float32)
-                best = search_block(qs, ids, cols, own, k)
-                flat, reps = np.concatenate(best), np.repeat(np.arange(len(qids)), [len(x) for x in best])
-                score = np.einsum("ij,ij->j", cols[:, flat].astype(np.float64), qs[reps].T.astype(np.float64)).astype(np.int64)
-                yield batch(schema, qids[reps], ids[flat], score)
-
-    def _plain(schema, qids, qs, ids, cols, k):
-        """Whole integer products where doubles could round or ids repeat."""
-        for q, v in zip(qids, qs):
-            s = v @ cols
-            s, i = s[ids != q], ids[ids != q]
-            top = np.lexsort((i, -s))[:k]
-            yield batch(schema, np.full(len(top), q), i[top], s[top])
+    return rows.select("vec_id", "v", "dim", "print", name.alias("b")).groupBy("dim", "b").applyInPandas(pack, "dim int, b long, ids binary, prints binary, values binary, wide boolean")
 
-    best = meet.mapInArrow(search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 20, block: int = 8192, query_block: int = 8192, group: int = 16) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products with other rows.
+
+    vectors: (vec_id long, v array<long>). queries: which rows are queries; all rows with an id are candidates but those
+    of the query's id. Rows are packed into blocks of equal dimension. Blocks of queries and groups of candidate blocks
+    meet in a grid: each cell is a task that takes its candidate blocks one after the other, keeps the k best of each
+    query as the floor for the next, and gives out at most k rows for each query; these partial tops are cut again
+    before and after they meet. A cell holds one block of queries and one group of candidates, whatever the table's size.
+
+    Rows without vector or id take no part, vectors of other lengths are not compared, ties go to the smaller id. Rows
+    that repeat an id are candidates each. Query rows equal in id and vector are one query; those of one id with
+    different vectors are queries each, ranked apart. No queries or an empty table give no rows.
+    """
+    rows = fields(vectors, vec_id=vectors["vec_id"].cast("long"), v=vectors["v"], dim=F.size(vectors["v"])).withColumn("is_query", F.coalesce(queries, F.lit(False)))
+    rows = rows.filter("vec_id is not null and v is not null").withColumn("print", F.xxhash64("v"))
+    counts = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / (block * group)).alias("groups"), F.ceil(F.count_if("is_query") / query_block).alias("query_blocks"))
+    cells = counts.agg(F.sum(F.col("groups") * F.col("query_blocks"))).first()[0] or 1
+    counts = counts.withColumnRenamed("dim", "d")
+
+    def blocks(part: DataFrame, count: str, per: int, *salt: Column) -> DataFrame:
+        dealt = part.join(counts, part.dim == counts.d)
+        return _packed(dealt, F.pmod(F.xxhash64("vec_id", "print", *salt), F.col(count) * per))
+
+    def spread(packed: DataFrame, count: str, column: str) -> DataFrame:
+        """Each block once for every block or group that it meets."""
+        both = packed.join(counts, packed.dim == counts.d)
+        return both.filter(f"{count} > 0").withColumn(column, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
+
+    cand = spread(blocks(rows, "groups", group), "query_blocks", "qb").withColumn("g", F.floor(F.col("b") / group))
+    asks = blocks(rows.filter("is_query").dropDuplicates(["vec_id", "print"]), "query_blocks", 1, F.lit(1))
+    asks = spread(asks, "groups", "g").withColumnRenamed("b", "qb")
+    grid, n = ["dim", "qb", "g"], min(cells, MAX_TASKS)
+    cand, asks = (x.select(*grid, "ids", "prints", "values", "wide").repartition(n, *grid) for x in (cand, asks))
+    schema = pa.schema([("query_id", pa.int64()), ("print", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def read(r: dict) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["values"], np.int64 if r["wide"] else np.int16).reshape(r["dim"], -1)
+
+    def search(key, blocks_: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(asked) or not len(blocks_):
+            return schema.empty_table()
+        ask = asked.to_pylist()[0]
+        qids, qs = read(ask)
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(qids)
+        floor = np.full(len(qids), -np.inf)
+        for r in sorted(blocks_.to_pylist(), key=lambda r: r["ids"]):
+            for i, (ids, score) in enumerate(_search_one(qids, qs, *read(r), k, floor)):
+                ids, score = np.concatenate([best[i][0], ids]), np.concatenate([best[i][1], score])
+                top = np.lexsort((ids, -score))[:k]
+                best[i] = ids[top], score[top]
+                if len(top) == k:
+                    floor[i] = score[top[-1]]
+        size = [len(ids) for ids, _ in best]
+        prints = np.frombuffer(ask["prints"], np.int64)
+        return pa.Table.from_batches([batch(schema, np.repeat(qids, size), np.repeat(prints, size), np.concatenate([x for x, _ in best]), np.concatenate([x for _, x in best]))])
+
+    best = cand.groupBy(*grid).cogroup(asks.groupBy(*grid)).applyInArrow(search, "query_id long, print long, vec_id long, score long")
+    w = Window.partitionBy("query_id", "print").orderBy(F.col("score").desc(), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _search_one(qids: np.ndarray, qs: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """ids and scores of each query's k best of one block."""
+    dim = len(columns)
+    peak = float(np.abs(columns.astype(np.float64)).max(initial=0)) * float(np.abs(qs.astype(np.float64)).max(initial=0)) * dim
+    if peak >= 2**52 or (len(ids) > 1 and (np.diff(ids) == 0).any()):
+        # Whole integer products where doubles could round, or where ids repeat.
+        out, whole = [], columns.astype(np.int64)
+        for q, v in zip(qids, qs.T.astype(np.int64)):
+            s = v @ whole
+            s, i = s[ids != q], ids[ids != q]
+            top = np.lexsort((i, -s))[:k]
+            out.append((i[top], s[top]))
+        return out
+    where = np.searchsorted(ids, qids)
+    where[where == len(ids)] = 0
+    kind = np.float32 if peak < 2**23 else np.float64
+    cols, asks = columns.astype(kind), qs.T.astype(kind)
+    found = search_block(asks, ids, cols, np.where(ids[where] == qids, where, -1), k, floor)
+    flat, reps = np.concatenate(found), np.repeat(np.arange(len(qids)), [len(x) for x in found])
+    score = np.einsum("ij,ij->j", cols[:, flat].astype(np.float64), asks[reps].T.astype(np.float64)).astype(np.int64)
+    ends = np.cumsum([len(x) for x in found])[:-1]
+    return list(zip(np.split(ids[flat], ends), np.split(score, ends)))

@@ -320,7 +320,7 @@ def test_top_k_matches_brute_force(spark, block):
     rows = [(i, [float(x) for x in rng.normal(size=37).round(1)]) for i in range(200)] + [(300, [0.5] * 37), (301, [0.5] * 37), (302, None), (303, [None] * 37), (304, [float("nan")] * 37), (305, []), (None, [1.0] * 37), (306, [1e9] * 37), (320, [1.0, 2.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("b", F.lit(1))
     got = collections.defaultdict(list)
-    for r in topk.top_k(d.select("vec_id", topk.scaled(d["embedding"]).alias("v"), "b"), F.col("vec_id") % 20 == 0, k=7, block=block, query_block=3).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(d.select("vec_id", topk.scaled(d["embedding"]).alias("v"), "b"), F.col("vec_id") % 20 == 0, k=7, block=block, query_block=3, group=2).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     fit = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
     for q in (i for i in fit if i % 20 == 0):
@@ -329,6 +329,20 @@ def test_top_k_matches_brute_force(spark, block):
     assert topk.top_k(d.limit(0).select("vec_id", topk.scaled(d["embedding"]).alias("v")), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    """A repeated query is asked once, one id with two vectors is two queries; repeated candidates count each."""
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0, 2.0])] * 2 + [(i, [float(x) for x in rng.integers(-9, 9, 2)]) for i in range(1, 20)] + [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (7, [3.0, 3.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block, query_block, group in ((8192, 8192, 16), (4, 1, 2)):
+        got = collections.Counter(map(tuple, topk.top_k(d.select("vec_id", topk.scaled(d["embedding"]).alias("v")), F.col("vec_id") % 20 == 0, 6, block, query_block, group).collect()))
+        want = collections.Counter()
+        for q, v in {(i, tuple(v)) for i, v in rows if i % 20 == 0}:
+            s = sorted((-int(sum(64 * a * 64 * b for a, b in zip(v, w))), i) for i, w in rows if i != q)[:6]
+            want.update((q, rank, i, -x) for rank, (x, i) in enumerate(s, 1))
+        assert got == want
+
+
 # -- pieces ------------------------------------------------------------------------------------------------------------
 
 
