@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fields, own, written
@@ -98,23 +98,25 @@ def mix(
     A document's expected copies are its source's target over the source's size, in [0, most]; the whole part is
     given, the rest is rounded pivotally: within nodes of about `fan_in` documents of a source (chosen by a hash, so
     a hot source has many nodes), then the residuals of `fan_in` nodes together, and so on up to one node per source.
-    Draws come from a seed and the node's name: reruns agree. Null and empty texts have size 0 and take 0 words;
-    a null source is a source of its own, last; an empty table gives no rows; rows that repeat an id are rounded each
-    on its own. text_key is a hash of the text, to tell such rows apart.
+    Rows equal in id, text and source are rounded as one, by the words of all, and share its copies as evenly as may be: so
+    a group of any size is one row of a node. Draws come from a seed and the node's name: reruns agree. Null and empty
+    texts have size 0 and take 0 words; a null source is a source of its own, last; an empty table gives no rows; rows
+    of one id with different texts are rounded each on its own. text_key is a hash of the text, to tell such rows apart.
     """
     spark = docs.sparkSession
     sizes = fields(docs, doc_id=docs["doc_id"], source=docs["source"].cast("string"), size=word_count(docs["text"]), text_key=F.xxhash64(docs["text"]))
     sizes = written(sizes, "mix-sizes")
     sources = written(source_targets(sizes, weights, share, most), "mix-sources")
     n_sources, largest = sources.agg(F.count(F.lit(1)), F.max("n_docs")).first()
+    sizes = sizes.groupBy("doc_id", "text_key", "source", "size").agg(F.count(F.lit(1)).alias("equal"))
     if n_sources <= BROADCAST_ROWS:
         sources = F.broadcast(sources)
     per = sources.withColumnRenamed("source", "of")
     rows = sizes.join(per, sizes.source.eqNullSafe(per.of)).drop("of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     nodes = F.ceil(F.col("n_docs") / fan_in)
-    rows = rows.withColumn("rate", rate).select(
-        "doc_id", "text_key", "source", "size", "source_size", "target",
+    rows = rows.withColumn("rate", rate * F.col("equal")).select(
+        "doc_id", "text_key", "source", "size", "source_size", "target", "equal",
         F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"),
         F.pmod(F.xxhash64("doc_id", "text_key", F.lit(seed)), nodes).cast("long").alias("node"), nodes.cast("long").alias("nodes"),
     )
@@ -138,12 +140,37 @@ def mix(
         rows = written(settled.filter("open").drop("open"), "mix-open") if level else settled.filter("open").drop("open")
         rows = rows.withColumns({"node": F.floor(F.col("node") / fan_in), "nodes": F.ceil(F.col("nodes") / fan_in)})
         level += 1
-    copies = (F.col("whole") + F.round("p")).cast("int")
-    return done.select("doc_id", "text_key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    copies = (F.col("whole") + F.round("p")).cast("long")
+    # The n-th of equal rows gets what is left over after an even split, while it lasts.
+    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("equal"))).alias("nth")
+    done = done.select("doc_id", "text_key", "source", "size", "source_size", "target", "equal", copies.alias("all"), nth)
+    each = (F.floor(F.col("all") / F.col("equal")) + F.when(F.col("nth") <= F.col("all") % F.col("equal"), 1).otherwise(0)).cast("int")
+    return done.select("doc_id", "text_key", "source", "size", "source_size", "target", each.alias("copies"), (each * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as mix() takes it; rows equal in id and text come alike. Columns stay, whatever their names."""
-    taken = mix(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.max("copies").alias("_copies"))
-    taken = taken.filter("_copies > 0").select("_id", "_key", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64(docs["text"]) == taken["_key"])).select(*own(docs))
+    """The rows of docs, each as often as mix() takes it. Columns stay, whatever their names.
+
+    Rows equal in id, text and source stand for one another: one of them comes as often as mix() takes them all.
+    """
+    source, key = docs["source"].cast("string"), F.xxhash64(docs["text"])
+    taken = mix(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("source").alias("_source"))
+    taken = taken.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0")
+    taken = written(taken, "mix-taken")
+    once = taken.filter("_rows = 1")
+    out = _repeated(docs, once, key, source)
+    if taken.filter("_rows > 1").isEmpty():
+        return out
+    many = taken.filter("_rows > 1")
+    # First one row of each group (the keys are told apart from the table's own columns by their places), then its copies.
+    keys = docs.select(F.struct(*own(docs)).alias("row"), docs["doc_id"].alias("id"), key.alias("text"), source.alias("source"))
+    keys = keys.join(many, keys["id"].eqNullSafe(many["_id"]) & (keys["text"] == many["_text"]) & keys["source"].eqNullSafe(many["_source"]))
+    keys = keys.groupBy("id", "text", "source").agg(F.first("row").alias("row"), F.first("_copies").alias("_copies"))
+    keys = keys.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return out.unionAll(keys.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
+
+
+def _repeated(docs: DataFrame, taken: DataFrame, key: Column, source: Column) -> DataFrame:
+    copies = taken.select("_id", "_text", "_source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
+    same = docs["doc_id"].eqNullSafe(copies["_id"]) & (key == copies["_text"]) & source.eqNullSafe(copies["_source"])
+    return docs.join(copies, same).select(*own(docs))

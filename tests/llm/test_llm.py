@@ -110,6 +110,23 @@ def test_mix_odd(odd, none):
     assert set(mixing.mixed(odd).columns) == set(odd.columns)
 
 
+def test_mix_of_equal_rows(spark):
+    """Equal rows are taken as often as the mix says, neither more nor less, and sources stay near their targets."""
+    rows = [(1, "one two three four", "en", "hot", i) for i in range(90)] + [(None, "five six", "en", None, 0)] * 7 + [(i, "w " * (i % 9 + 1), "en", "cold", 0) for i in range(50, 90)] + [(1, "another", "en", "hot", 0)]
+    d = spark.createDataFrame(rows, DDL).withColumn("a.b", F.lit(1))
+    for share in (0.35, 1.5):
+        mix = mixing.mix(d, share=share).collect()
+        assert len(mix) == len(rows) and all(r.taken <= 2 * r["size"] for r in mix)
+        copies, taken, target = collections.Counter(), collections.Counter(), {}
+        for r in mix:
+            copies[r.doc_id, r.source, r["size"]] += r.copies
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+        assert all(abs(taken[s] - target[s]) <= 9 for s in target)
+        out = collections.Counter((r.doc_id, r.source, len(words(r.text))) for r in mixing.mixed(d, share=share).collect())
+        assert out == +copies
+
+
 # -- WARC --------------------------------------------------------------------------------------------------------------
 
 
