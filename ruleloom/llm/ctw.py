@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 
 from .common import batch, fields, held_out, text_bytes, words, written
 from .exchange import n_blocks, ordered, owner, pack, unpack
-from .wordbytes import windows
+from .wordbytes import WordIds
 
-DEPTH = 5
+#: Bytes of context; with the byte coded a window fills 64 bits.
+DEPTH = 7
+#: Subtrees below contexts of so many bytes are weighed as a whole, by one owner each.
+CUT = 3
 BLOCK_BYTES = 12_000_000
-#: Words before a word that its deepest context spans.
-SPAN = 3
-#: Blocks to one owner of keys.
-FAN = 1
 HALF = log(0.5)
-START = np.uint64(0x2545F4914F6CDD1D)
 END = np.uint64(0x5851F42D4C957F2D)
+#: Closes a text and stands before it; no word holds it.
+EDGE = b"\n"
 
 
 def _lgamma_half(n: np.ndarray) -> np.ndarray:
@@ -55,144 +55,183 @@ def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma_half(zeros) + _lgamma_half(ones) - _lfact(zeros + ones)
 
 
-def _prefixes(symbol: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each of the eight binary decisions: its node within the byte (1 to 255) and the bit."""
-    s = symbol.astype(np.uint64)
-    return [((np.uint64(1) << np.uint64(i)) | (s >> np.uint64(8 - i)), (s >> np.uint64(7 - i)) & np.uint64(1)) for i in range(8)]
-
-
-class Level:
-    """Nodes of one depth: key (context << 8 | node within the byte), zeros, ones, sum of its children's log weights."""
-
-    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray | None = None):
-        self.keys, self.zeros, self.ones = keys, zeros, ones
-        self.children = np.zeros(len(keys)) if children is None else children
-        self.parent_of_any = np.zeros(len(keys), bool) if children is None else children < 0
-
-    def weigh(self) -> np.ndarray:
-        """Log weighted probability: half the node's own estimate, half its children's product; leaves have no half."""
-        own = kt(self.zeros, self.ones)
-        both = np.logaddexp(HALF + own, HALF + self.children)
-        self.weighted = np.where(self.parent_of_any, both, own)
-        self.stay = np.where(self.parent_of_any, np.exp(HALF + own - both), 1.0)
-        return self.weighted
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, at, -1)
-
-
-def _mask(d: int) -> np.uint64:
-    return np.uint64((1 << 8 * d) - 1)
-
-
-def levels(window: np.ndarray, count: np.ndarray, depth: int, least: int) -> list[Level | None]:
-    """The tree's levels least..depth of windows with their counts; counts are of training bytes only, over 0."""
-    length, context = window >> np.uint64(56), (window & _mask(7)) >> np.uint64(8)
-    bits = _prefixes(window & np.uint64(255))
-    tree: list[Level | None] = [None] * (depth + 1)
-    for d in range(depth, least - 1, -1):
-        has = length >= d
-        base = (context[has] & _mask(d)) << np.uint64(8)
-        w = count[has].astype(np.float64)
-        keys = np.concatenate([base | p[has] for p, _ in bits])
-        bit = np.concatenate([b[has] for _, b in bits]).astype(np.float64)
-        n = np.tile(w, 8)
-        distinct, at = np.unique(keys, return_inverse=True)
-        ones = np.bincount(at, n * bit, len(distinct))
-        level = tree[d] = Level(distinct, np.bincount(at, n, len(distinct)) - ones, ones)
-        if d < depth and len(tree[d + 1].keys):
-            _add_children(level, tree[d + 1], d)
-        level.weigh()
-    return tree
-
-
-def _add_children(level: Level, below: Level, d: int) -> None:
-    parent = (((below.keys >> np.uint64(8)) & _mask(d)) << np.uint64(8)) | (below.keys & np.uint64(255))
-    at = np.searchsorted(level.keys, parent)
-    level.children += np.bincount(at, below.weighted, len(level.keys))
-    level.parent_of_any[at] = True
-
-
-def predict(tree: list[Level | None], window: np.ndarray) -> np.ndarray:
-    """log10 probability of each window's byte: at each of eight binary nodes the depths' KT estimates are mixed by the
-    weights that training left, from the root to the deepest context that training has seen."""
-    length, context = window >> np.uint64(56), (window & _mask(7)) >> np.uint64(8)
-    total = np.zeros(len(window))
-    for node, bit in _prefixes(window & np.uint64(255)):
-        p, share = np.zeros(len(window)), np.ones(len(window))
-        alive = np.ones(len(window), bool)
-        last = np.full(len(window), 0.5)
-        for d, level in enumerate(tree):
-            x = level.find(((context & _mask(d)) << np.uint64(8)) | node)
-            seen = alive & (x >= 0) & (length >= d)
-            # Where training never came this deep, what is left goes to the estimate one depth up.
-            p, share = np.where(alive & ~seen, p + share * last, p), np.where(alive & ~seen, 0.0, share)
-            alive = seen
-            if not alive.any():
-                break
-            if not len(level.keys):
-                continue
-            z, o, stay = level.zeros[x], level.ones[x], level.stay[x]
-            last = np.where(alive, (np.where(bit == 1, o, z) + 0.5) / (z + o + 1), last)
-            p = np.where(alive, p + share * stay * last, p)
-            share = np.where(alive, share * (1 - stay), share)
-        p = np.where(alive, p + share * last, p)
-        total += np.log10(p)
-    return total
-
-
-def _keys(bodies: list[bytes]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """Distinct words of a block, their 64-bit hashes, and each document's words as positions."""
-    from .wordbytes import WordIds
+def weigh(zeros: np.ndarray, ones: np.ndarray, children: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Log weighted probabilities of nodes and the share of their own estimate in them.
 
+    Half is the node's own estimate, half its children's product (their sum of logs); leaves (None) have no half.
+    """
+    own = kt(zeros, ones)
+    if children is None:
+        return own, np.ones(len(own))
+    both = np.logaddexp(HALF + own, HALF + children)
+    return both, np.exp(HALF + own - both)
+
+
+class State:
+    """What the nodes of a path, from the root down, have settled of a decision: probability of a one so far, the share
+    still open, and the deepest estimate that training has seen."""
+
+    def __init__(self, one: np.ndarray, share: np.ndarray, last: np.ndarray):
+        self.one, self.share, self.last = one, share, last
+
+    @classmethod
+    def start(cls, n: int) -> State:
+        return cls(np.zeros(n), np.ones(n), np.full(n, 0.5))
+
+    def at(self, parents: np.ndarray) -> State:
+        return State(self.one[parents], self.share[parents], self.last[parents])
+
+    def step(self, zeros: np.ndarray, ones: np.ndarray, stay: np.ndarray) -> State:
+        """One depth further. Where training never came, all that is open goes to the last estimate."""
+        n = zeros + ones
+        seen, estimate = n > 0, (ones + 0.5) / (n + 1)
+        part = np.where(seen, stay, 1.0)
+        last = np.where(seen, estimate, self.last)
+        return State(self.one + self.share * part * last, self.share * (1 - part), last)
+
+    def end(self) -> np.ndarray:
+        return self.one + self.share * self.last
+
+
+class Tree:
+    """Levels `low` to `depth` of the context tree over windows.
+
+    A window is an integer: the bytes of its context, nearest first, then the byte coded. Windows are sorted, each with
+    how often training has it (also never). Level d has a symbol for each context of d bytes and byte, and for each of
+    the eight decisions of a byte the nodes are runs of symbols that share context and leading bits.
+    """
+
+    def __init__(self, window: np.ndarray, count: np.ndarray, depth: int, low: int):
+        self.depth, self.low = depth, low
+        self.symbols, self.up, self.count = {depth: window}, {}, {depth: count}
+        for d in range(depth - 1, low - 1, -1):
+            below = self.symbols[d + 1]
+            self.symbols[d], self.up[d + 1] = np.unique(below >> np.uint64(16) << np.uint64(8) | below & np.uint64(255), return_inverse=True)
+            self.count[d] = np.bincount(self.up[d + 1], self.count[d + 1], len(self.symbols[d])).astype(np.int64)
+
+    def _runs(self, d: int, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the nodes of decision i at level d, their first symbols, and each symbol's node."""
+        key = self.symbols[d] >> np.uint64(8 - i)
+        new = np.append(np.ones(min(len(key), 1), bool), key[1:] != key[:-1])
+        first = np.flatnonzero(new)
+        return key[first], first, np.cumsum(new) - 1
+
+    def decide(self, i: int, above=None):
+        """Without `above`: keys (context << 8 | node within the byte), zeros, ones and log weights of the nodes of decision
+        i at the lowest level. With `above`, the State of those nodes' parents: log10 probability of each window's bit."""
+        runs = {d: self._runs(d, i) for d in range(self.low, self.depth + 1)}
+        zeros, ones, stay, weighted, children = {}, {}, {}, None, None
+        for d in range(self.depth, self.low - 1, -1):
+            _, first, _ = runs[d]
+            bit = (self.symbols[d] >> np.uint64(7 - i) & np.uint64(1)).astype(np.int64)
+            ones[d] = np.add.reduceat(self.count[d] * bit, first)
+            zeros[d] = np.add.reduceat(self.count[d], first) - ones[d]
+            weighted, stay[d] = weigh(zeros[d], ones[d], children)
+            if d > self.low:
+                children = np.bincount(self._parents(runs, d), weighted, len(runs[d - 1][1]))
+        if above is None:
+            key = runs[self.low][0]
+            low = np.uint64((1 << i) - 1)
+            return key >> np.uint64(i) << np.uint64(8) | np.uint64(1 << i) | key & low, zeros[self.low], ones[self.low], weighted
+        state = above
+        for d in range(self.low, self.depth + 1):
+            state = (state.at(self._parents(runs, d)) if d > self.low else state).step(zeros[d], ones[d], stay[d])
+        one = state.end()[runs[self.depth][2]]
+        return np.log10(np.where(self.symbols[self.depth] >> np.uint64(7 - i) & np.uint64(1), one, 1 - one))
+
+    def _parents(self, runs: dict, d: int) -> np.ndarray:
+        """Node one level up of each node of level d."""
+        return runs[d - 1][2][self.up[d][runs[d][1]]]
+
+    def summary(self) -> tuple[np.ndarray, ...]:
+        """Keys, zeros, ones and log weights of the lowest level's nodes, decision after decision."""
+        return tuple(map(np.concatenate, zip(*(self.decide(i) for i in range(8))))) if len(self.symbols[self.depth]) else (np.empty(0, np.uint64), *[np.empty(0)] * 3)
+
+    def predict(self, above: State) -> np.ndarray:
+        """log10 probability of each window's byte, given the State above each node of summary(), in that order."""
+        total, at = np.zeros(len(self.symbols[self.depth])), 0
+        for i in range(8 if len(total) else 0):
+            n = len(self._runs(self.low, i)[0])
+            total += self.decide(i, above.at(np.arange(at, at + n)))
+            at += n
+        return total
+
+
+class Nodes:
+    """Nodes of one level put together from what their children tell (keys context << 8 | node, zeros, ones, log weights)."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray):
+        parent = keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(255)
+        self.keys, self.child = np.unique(parent, return_inverse=True)
+        self.zeros, self.ones, children = (np.bincount(self.child, x, len(self.keys)) for x in (zeros, ones, weighted))
+        self.weighted, self.stay = weigh(self.zeros, self.ones, children)
+
+    def told(self) -> tuple[np.ndarray, ...]:
+        return self.keys, self.zeros, self.ones, self.weighted
+
+    def below(self, state: State) -> State:
+        """State after these nodes, for each child, given the State above them."""
+        return state.step(self.zeros, self.ones, self.stay).at(self.child)
+
+
+def tokens(bodies: list[bytes]) -> tuple[list[bytes], list[np.ndarray], bytes]:
+    """Distinct words, each text's words as positions in them, and all texts as coded: EDGE repeated, the words with a
+    blank between two, EDGE."""
     ids = WordIds()
-    get = ids.__getitem__
-    cut = [np.fromiter(map(get, words(b)), np.int64) for b in bodies]
-    distinct = list(ids)
-    return distinct, np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)), cut
-
-
-def _root_parts(window: np.ndarray, parts: int) -> np.ndarray:
-    """Owner of a window: by its two nearest context bytes, so each owner has whole subtrees from depth 2 on."""
-    near = (window >> np.uint64(8)) & np.uint64(0xFFFF)
-    short = (window >> np.uint64(56)) < 2
-    return owner(np.where(short, near & np.uint64(0xFF), near) + np.uint64(1), parts)
-
-
-def _by_part(window: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    part = _root_parts(window, parts)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
-
-
-def _long_keys(hashes: np.ndarray, cut: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and key of each token's long context with the token: 36 bits of the hash of the SPAN words before it, 16 of
-    its own. The owner is taken from other bits of the context, so it has all that follows a context, and with more
-    owners more bits tell contexts apart."""
-    flat = np.concatenate(cut)
-    size = np.fromiter(map(len, cut), np.int64, len(cut))
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    own = hashes[flat]
-    context = np.zeros(len(flat), np.uint64)
-    for d in range(SPAN, 0, -1):
-        before = np.full(len(flat), START)
-        before[d:] = own[:-d]
-        before[at < d] = START
-        context = (context ^ before) * np.uint64(0x9E3779B97F4A7C15)
-        context ^= context >> np.uint64(31)
-    part = ((context >> np.uint64(48)) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.int64)
-    return part, ((context & np.uint64((1 << 36) - 1)) << np.uint64(16)) | (own >> np.uint64(48))
-
-
-def _each_part(part: np.ndarray, parts: int):
-    """Owner and positions of its tokens."""
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    return ((p, order[a:b]) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a)
+    get, cut, coded = ids.__getitem__, [], []
+    for b in bodies:
+        w = words(b)
+        cut.append(np.fromiter(map(get, w), np.int64, len(w)))
+        coded.append(EDGE * DEPTH + b" ".join(w) + EDGE)
+    return list(ids), cut, b"".join(coded)
+
+
+class Windows:
+    """Distinct windows of a block's coded bytes.
+
+    Bytes are not sorted one by one: equal words after equal contexts have the same windows, so only distinct pairs of
+    context and word are taken apart.
+    """
+
+    def __init__(self, distinct: list[bytes], cut: list[np.ndarray], coded: bytes, depth: int):
+        raw = np.frombuffer(coded, np.uint8)
+        n_words = np.fromiter(map(len, cut), np.int64, len(cut))
+        # Each token is a word and what closes it; a text without words has one, of no bytes.
+        n_tokens = np.maximum(n_words, 1)
+        self.first = np.cumsum(n_tokens) - n_tokens
+        word = np.concatenate([c if len(c) else np.array([len(distinct)]) for c in cut]) if cut else np.empty(0, np.int64)
+        size = np.append(np.fromiter(map(len, distinct), np.int64, len(distinct)), 0)[word] + 1
+        closes = np.zeros(len(word), bool)
+        closes[self.first[1:] - 1] = True
+        closes[-1:] = True
+        of = np.repeat(np.arange(len(cut)), n_tokens)
+        start = np.cumsum(size) - size + DEPTH * (of + 1)
+        self.n_bytes = np.add.reduceat(size, self.first) if len(cut) else size
+        context = np.zeros(len(word), np.uint64)
+        for d in range(1, depth + 1):
+            context |= raw[start - d].astype(np.uint64) << np.uint64(8 * (depth - d))
+        context = np.unique(context, return_inverse=True)[1]
+        pair = (context * (len(distinct) + 1) + word) * 2 + closes
+        _, index, self.pair = np.unique(pair, return_index=True, return_inverse=True)
+        length = size[index]
+        self.pair_start = np.cumsum(length) - length
+        at = np.arange(length.sum()) + np.repeat(start[index] - self.pair_start, length)
+        window = raw[at].astype(np.uint64)
+        for d in range(1, depth + 1):
+            window |= raw[at - d].astype(np.uint64) << np.uint64(8 * (depth + 1 - d))
+        self.window, self.at = np.unique(window, return_inverse=True)
+        self.of, self.length = of, length
+
+    def counts(self, learn: np.ndarray) -> np.ndarray:
+        """How often the texts marked have each window."""
+        pairs = np.bincount(self.pair, learn[self.of], len(self.length))
+        return np.bincount(self.at, np.repeat(pairs, self.length), len(self.window)).astype(np.int64)
+
+    def by_text(self, value: np.ndarray) -> np.ndarray:
+        """Sum of a value of windows over the bytes of each text."""
+        if not len(self.first):
+            return np.empty(0)
+        return np.add.reduceat(np.add.reduceat(value[self.at], self.pair_start)[self.pair], self.first)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -204,182 +243,179 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(unpack(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def pack_pairs(pairs: np.ndarray) -> bytes:
-    """Pairs of floats as a table of the distinct ones and codes: few differ."""
-    table, code = np.unique(np.ascontiguousarray(pairs).view(np.uint64).ravel(), return_inverse=True)
-    code = code.astype(np.uint16 if len(table) <= 65536 else np.uint32)
-    return len(table).to_bytes(4, "little") + pack(np.concatenate([table.view(np.uint8), code.view(np.uint8)]))
+def _split(parts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by part, keeping it within parts, and where each part starts."""
+    order = np.argsort(parts, kind="stable")
+    return order, np.searchsorted(parts[order], np.arange(n + 1))
+
+
+MESSAGE = pa.schema([("kind", pa.int32()), ("to", pa.int32()), ("sender", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+MESSAGE_DDL = "kind int, to int, sender int, keys binary, numbers binary, n long, v long"
+
+
+def _messages(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([batch(MESSAGE, *(zip(*rows) if rows else [[]] * len(MESSAGE)))])
+
 
+def _sent(table: pa.Table) -> list[dict]:
+    """Messages in the order of their senders, whatever the order they came in."""
+    return table.sort_by("sender").to_pylist()
 
-def unpack_pairs(b: bytes) -> np.ndarray:
-    n, raw = int.from_bytes(b[:4], "little"), unpack(b[4:], np.uint8)
-    code = raw[8 * n :].view(np.uint16 if n <= 65536 else np.uint32)
-    return raw[: 8 * n].view(np.float32).reshape(-1, 2)[code]
+
+def _merged(sent: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys of messages, their numbers added up, and where each message's keys are among them."""
+    keys = [unpack_sorted(r["keys"]) for r in sent]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, at, np.concatenate([unpack(r["numbers"], np.int64) for r in sent]))
+    return distinct, total, np.split(at, np.cumsum([len(k) for k in keys])[:-1])
 
 
 def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
-    A text is coded as its words and one end, a word as its lower-cased bytes and a closing blank; the context of a
-    byte is what precedes it within the word, up to `depth` bytes. Each byte is eight binary decisions; each decision
-    has a node at every depth, and a context tree weights their KT estimates. Above the tree stands one deeper context,
-    the three words before: a word that followed them in training c of n times, among t different ones, has the share
-    c / (n + t), and t / (n + t) goes to what the tree gives the word (all of it if the three were not seen); so the
-    whole stays a distribution, and text that repeats across documents costs little. Statistics come from all documents that
-    are not held out and are frozen; score is the log10 probability of the text, bits_per_byte its code length over
-    the bytes coded. Nothing is broadcast but the tree's depths 0 and 1 (at most 65,536 nodes). Blocks of documents
-    send each distinct word and window once; counts are exact. Null and empty texts are one end; a null id counts as
-    an empty one where documents are split; rows that repeat are scored and counted each; an empty table gives none.
+    A text is coded as its words, lower-cased, with a blank between two, and an end; the context of a byte is the `depth`
+    bytes (at most 7) before it, across words. Each byte is eight binary decisions; each decision has a node at every
+    depth, and the context tree weights their KT estimates. Statistics come from all documents that are not held out
+    and are frozen; score is the log10 probability of the text, bits_per_byte its code length over the bytes coded.
+
+    1. Blocks of documents send their distinct windows (context and byte) with counts, by a hash of the window; there
+       the blocks' counts are added up, so what goes on is one entry a distinct window, however common.
+    2. Owners of contexts of CUT bytes weigh the subtrees below them; owners of the nearest byte weigh the levels above;
+       the root's 255 nodes are summed up by the driver.
+    3. Mixtures go down the same way: to the owners, to the holders of windows, to the blocks that asked.
+    Nothing that grows with the corpus is broadcast or collected. Counts are exact. Null and empty texts are one end; a
+    null id counts as an empty one where documents are split; rows that repeat are scored and counted each; an empty
+    table gives none.
     """
-    spark = docs.sparkSession
+    if not CUT <= depth <= DEPTH:
+        raise ValueError(f"depth is from {CUT} to {DEPTH}")
     src = fields(docs, doc_id=docs["doc_id"].cast("long"), body=text_bytes(docs), held_out=held_out(docs["doc_id"], modulus))
     blocks = n_blocks(src, F.length("body"), block_bytes)
-    parts = max(4, -(-blocks // FAN))
+    parts = max(4, blocks)
     blocked = src.withColumn("block", F.pmod(F.xxhash64("doc_id", "body"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
-    ask_schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-
     def ask(key, table):
-        block = key[0].as_py()
-        bodies, held = table.column("body").to_pylist(), np.array(table.column("held_out").to_pylist(), bool)
-        distinct, hashes, cut = _keys(bodies)
-        n = np.zeros(len(distinct), np.int64)
-        for c, h in zip(cut, held):
-            if not h:
-                np.add.at(n, c, 1) if len(c) < 2000 else np.add(n, np.bincount(c, minlength=len(n)), out=n)
-        ends = int((~held).sum())
+        me = key[0].as_py()
+        distinct, cut, coded = tokens(table.column("body").to_pylist())
+        learn = ~np.array(table.column("held_out").to_pylist(), bool)
+        n = np.bincount(np.concatenate(cut), np.repeat(learn, [len(c) for c in cut]), len(distinct)).astype(np.int64)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
         keys, cuts, place = ordered(np.append(hashes, END), parts)
         counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, place, np.append(n, ends))
-        rows = [(0, p, block, pack_sorted(keys[a:b]), pack(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-        w, starts = windows([*distinct, b""], depth)
-        weight = np.repeat(np.append(n, ends), np.diff(np.append(starts, len(w))))
-        w, at = np.unique(w, return_inverse=True)
-        count = np.bincount(at, weight, len(w)).astype(np.int64)
-        order, cuts = _by_part(w, parts)
-        w, count = w[order], count[order]
-        rows += [(1, p, block, pack_sorted(w[a:b]), pack(count[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-        return pa.Table.from_batches([batch(ask_schema, *zip(*rows))])
-
-    def ask_long(key, table):
-        bodies, held = table.column("body").to_pylist(), np.array(table.column("held_out").to_pylist(), bool)
-        distinct, hashes, cut = _keys(bodies)
-        cut = [np.append(c, len(distinct)) for c in cut]
-        part, long = _long_keys(np.append(hashes, END), cut, parts)
-        learn = np.repeat(~held, [len(c) for c in cut])
-        rows = []
-        for p, where in _each_part(part, parts):
-            keys, at = np.unique(long[where], return_inverse=True)
-            counts = np.bincount(at, learn[where], len(keys))
-            rows.append((2, p, key[0].as_py(), pack_sorted(keys), pack(counts.astype(np.uint32))))
-        return pa.Table.from_batches([batch(ask_schema, *zip(*rows))])
-
-    def count_long(key, table):
-        """For each key asked: share of the word, and share left to the tree."""
-        keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-        counts = [unpack(x, np.uint32) for x in table.column("counts").to_pylist()]
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.bincount(at, np.concatenate(counts), len(distinct))
-        context = distinct >> np.uint64(16)
-        starts = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-        size = np.diff(np.append(starts, len(c)))
-        n, t = np.add.reduceat(c, starts), np.add.reduceat((c > 0).astype(np.float64), starts)
-        whole = np.maximum(n + t, 1)
-        hit, left = c / np.repeat(whole, size), np.repeat(np.where(n > 0, t / whole, 1.0), size)
-        both = np.stack([hit, left], 1).astype(np.float32)
-        where = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
-        rows = [(2, key[0].as_py(), b, pack_pairs(both[w]), 0, 0) for b, w in zip(table.column("block").to_pylist(), where)]
-        return pa.Table.from_batches([batch(reply_schema, *zip(*rows))])
-
-    asked = written(blocked.groupBy("block").applyInArrow(ask, "kind int, part int, block int, keys binary, counts binary"), "ctw-asked")
-
-    reply_schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("answer", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
-    reply_ddl = "kind int, part int, block int, answer binary, n long, v long"
-
-    def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-        counts = [unpack(x, np.int64) for x in table.column("counts").to_pylist()]
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, at, np.concatenate(counts))
-        return distinct, total, np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+        np.add.at(counts, place, np.append(n, learn.sum()))
+        rows = [(0, p, me, pack_sorted(keys[a:b]), pack(counts[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        w = Windows(distinct, cut, coded, depth)
+        order, cuts = _split(owner(w.window, parts), parts)
+        window, counts = w.window[order], w.counts(learn)[order]
+        rows += [(1, p, me, pack_sorted(window[a:b]), pack(counts[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        return _messages(rows)
+
+    asked = written(blocked.groupBy("block").applyInArrow(ask, MESSAGE_DDL), "ctw-asked")
 
     def count_words(key, table):
-        _, total, where = merged(table)
-        rows = [(0, key[0].as_py(), b, pack(total[w]), 0, 0) for b, w in zip(table.column("block").to_pylist(), where)]
-        rows.append((0, key[0].as_py(), -1, b"", int(total.sum()), int((total > 0).sum())))
-        return pa.Table.from_batches([batch(reply_schema, *zip(*rows))])
+        sent = _sent(table)
+        _, total, where = _merged(sent)
+        rows = [(0, r["sender"], key[0].as_py(), b"", pack(total[w]), 0, 0) for r, w in zip(sent, where)]
+        return _messages([*rows, (0, -1, key[0].as_py(), b"", b"", int(total.sum()), int((total > 0).sum()))])
 
-    known = written(asked.filter("kind = 0").groupBy("part").applyInArrow(count_words, reply_ddl), "ctw-words")
+    known = written(asked.filter("kind = 0").groupBy("to").applyInArrow(count_words, MESSAGE_DDL), "ctw-words")
     train_tokens, vocabulary = (int(x or 0) for x in known.agg(F.sum("n"), F.sum("v")).first())
 
-    def top(key, table):
-        """What this part's windows add to the nodes of depths 0 and 1."""
-        window, count, _ = merged(table)
-        window, count = window[count > 0], count[count > 0]
-        if not len(window):
-            return pa.table({"node": pa.array([], pa.int64()), "zeros": pa.array([], pa.float64()), "ones": pa.array([], pa.float64()), "children": pa.array([], pa.float64())})
-        tree = levels(window, count, depth, 1)
-        one = tree[1]
-        return pa.table({"node": one.keys.astype(np.int64), "zeros": one.zeros, "ones": one.ones, "children": np.where(one.parent_of_any, one.children, 0.0)})
+    def subtree(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _split(owner((window >> np.uint64(8 * (depth - CUT + 1))) + np.uint64(1), parts), parts)
+
+    def add_up(key, table):
+        window, total, _ = _merged(_sent(table))
+        order, cuts = subtree(window)
+        window, total = window[order], total[order]
+        return _messages([(1, p, key[0].as_py(), pack_sorted(window[a:b]), pack(total[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
 
     asked_windows = asked.filter("kind = 1")
-    roots = asked_windows.groupBy("part").applyInArrow(top, "node long, zeros double, ones double, children double")
-    roots = roots.groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("children")).orderBy("node").collect()
-    # At most 256 contexts of 255 nodes.
-    arrays = [np.array([r[i] for r in roots], np.float64) for i in (1, 2, 3)]
-    one = Level(np.array([r[0] for r in roots], np.uint64), *arrays)
-    one.weigh()
-    node, at = np.unique(one.keys & np.uint64(255), return_inverse=True)
-    zero = Level(node, np.bincount(at, one.zeros, len(node)), np.bincount(at, one.ones, len(node)))
-    if len(node):
-        _add_children(zero, one, 0)
-    zero.weigh()
-    shared = spark.sparkContext.broadcast([zero, one])
-
-    def predicted(key, table):
-        window, count, where = merged(table)
-        tree = [*shared.value, *levels(window[count > 0], count[count > 0], depth, 2)[2:]]
-        p = predict(tree, window)
-        rows = [(1, key[0].as_py(), b, pack(p[w].astype(np.float64)), 0, 0) for b, w in zip(table.column("block").to_pylist(), where)]
-        return pa.Table.from_batches([batch(reply_schema, *zip(*rows))])
-
-    ask_ddl = "kind int, part int, block int, keys binary, counts binary"
-    long = written(blocked.groupBy("block").applyInArrow(ask_long, ask_ddl).groupBy("part").applyInArrow(count_long, reply_ddl), "ctw-long")
-    answers = known.filter("block >= 0").unionByName(asked_windows.groupBy("part").applyInArrow(predicted, reply_ddl)).unionByName(long)
-    answers = answers.select("block", "kind", "part", "answer")
-    answers = answers.repartition(blocks, "block")
+    totals = written(asked_windows.groupBy("to").applyInArrow(add_up, MESSAGE_DDL), "ctw-windows")
+
+    def up(key, table):
+        """What a subtree owner's lowest nodes tell the owners of their nearest byte."""
+        window, total, _ = _merged(_sent(table))
+        told = Tree(window, total, depth, CUT).summary()
+        order, cuts = _split((told[0] >> np.uint64(8 * CUT)).astype(np.int64), 256)
+        numbers = np.stack([np.asarray(x, np.float64)[order] for x in told[1:]])
+        keys = told[0][order]
+        return _messages([(2, p, key[0].as_py(), pack(keys[a:b]), pack(numbers[:, a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
+
+    told = written(totals.groupBy("to").applyInArrow(up, MESSAGE_DDL), "ctw-nodes")
+
+    def levels(sent: list[dict]) -> tuple[list[Nodes], list[int]]:
+        """Levels CUT - 1 to 1 above what the senders tell."""
+        keys = [unpack(r["keys"], np.uint64) for r in sent]
+        numbers = np.concatenate([unpack(r["numbers"], np.float64).reshape(3, -1) for r in sent], 1)
+        out = [Nodes(np.concatenate(keys), *numbers)]
+        while len(out) < CUT - 1:
+            out.append(Nodes(*out[-1].told()))
+        return out, [len(k) for k in keys]
+
+    def top(key, table):
+        keys, zeros, ones, weighted = levels(_sent(table))[0][-1].told()
+        return pa.table({"node": (keys & np.uint64(255)).astype(np.int64), "zeros": zeros, "ones": ones, "weighted": weighted})
+
+    # At most 256 bytes of 255 nodes each, added up to 255 rows.
+    top_rows = told.groupBy("to").applyInArrow(top, "node long, zeros double, ones double, weighted double")
+    top_rows = top_rows.groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).orderBy("node").collect()
+    root = {r[0]: tuple(r[1:]) for r in top_rows}
+
+    def down(key, table):
+        """The State above each node that a subtree owner told of."""
+        sent = _sent(table)
+        above, size = levels(sent)
+        own = [root[k] for k in (above[-1].keys & np.uint64(255)).tolist()]
+        zeros, ones, children = np.array(own, np.float64).T
+        state = State.start(len(own)).step(zeros, ones, weigh(zeros, ones, children)[1])
+        for nodes in reversed(above):
+            state = nodes.below(state)
+        all_ = np.stack([state.one, state.share, state.last])
+        return _messages([(2, r["sender"], key[0].as_py(), b"", pack(x), 0, 0) for r, x in zip(sent, np.split(all_, np.cumsum(size)[:-1], 1))])
+
+    def predict(key, table, states):
+        """log10 probabilities of the windows that holders told of."""
+        sent, replies = _sent(table), _sent(states)
+        window, total, where = _merged(sent)
+        tree = Tree(window, total, depth, CUT)
+        keys = tree.summary()[0]
+        # Replies are grouped by nearest byte, keeping the order within.
+        order = np.argsort((keys >> np.uint64(8 * CUT)).astype(np.int64), kind="stable")
+        state = np.empty((3, len(keys)))
+        state[:, order] = np.concatenate([unpack(r["numbers"], np.float64).reshape(3, -1) for r in replies], 1)
+        p = tree.predict(State(*state)).astype(np.float32)
+        return _messages([(1, r["sender"], key[0].as_py(), b"", p[w].tobytes(), 0, 0) for r, w in zip(sent, where)])
+
+    predicted = totals.groupBy("to").cogroup(told.groupBy("to").applyInArrow(down, MESSAGE_DDL).groupBy("to")).applyInArrow(predict, MESSAGE_DDL)
+
+    def reply(key, table, found):
+        sent = _sent(table)
+        window, _, where = _merged(sent)
+        order, _ = subtree(window)
+        p = np.empty(len(window), np.float32)
+        p[order] = np.frombuffer(b"".join(r["numbers"] for r in _sent(found)), np.float32)
+        return _messages([(1, r["sender"], key[0].as_py(), b"", p[w].tobytes(), 0, 0) for r, w in zip(sent, where)])
+
+    answers = asked_windows.groupBy("to").cogroup(predicted.groupBy("to")).applyInArrow(reply, MESSAGE_DDL)
+    answers = known.filter("to >= 0").unionByName(answers).select("kind", F.col("to").alias("block"), "sender", "numbers").repartition(blocks, "block")
     log_base = np.log10(train_tokens + vocabulary + 1.0)
     out_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 
     def finish(key, docs_, replies):
-        bodies = docs_.column("body").to_pylist()
-        distinct, hashes, cut = _keys(bodies)
-        kinds, part = np.array(replies.column("kind").to_pylist(), np.int64), np.array(replies.column("part").to_pylist(), np.int64)
-        order = np.lexsort((part, kinds))
-        payload = replies.column("answer").to_pylist()
-        words_, windows_, long_ = ([payload[i] for i in order if kinds[i] == k] for k in (0, 1, 2))
+        distinct, cut, coded = tokens(docs_.column("body").to_pylist())
+        sent = _sent(replies)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
         place = ordered(np.append(hashes, END), parts)[2]
-        c = np.concatenate([unpack(x, np.int64) for x in words_])[place]
-        w, starts = windows([*distinct, b""], depth)
-        distinct_w, at = np.unique(w, return_inverse=True)
-        by, _ = _by_part(distinct_w, parts)
-        p = np.empty(len(by))
-        p[by] = np.concatenate([unpack(x, np.float64) for x in windows_])
-        of_word = np.add.reduceat(p[at], starts)
+        c = np.concatenate([unpack(r["numbers"], np.int64) for r in sent if r["kind"] == 0])[place]
+        w = Windows(distinct, cut, coded, depth)
+        order, _ = _split(owner(w.window, parts), parts)
+        p = np.empty(len(order))
+        p[order] = np.frombuffer(b"".join(r["numbers"] for r in sent if r["kind"] == 1), np.float32)
         base = np.log10(c + 1.0) - log_base
-        size = np.append(np.fromiter(map(len, distinct), np.int64, len(distinct)), 0) + 1
-        end = len(distinct)
-        cut = [np.append(x, end) for x in cut]
-        part_, key_ = _long_keys(np.append(hashes, END), cut, parts)
-        flat = np.concatenate(cut)
-        token = of_word[flat]
-        for (_, where), x in zip(_each_part(part_, parts), long_, strict=True):
-            hit, left = unpack_pairs(x)[np.unique(key_[where], return_inverse=True)[1]].astype(np.float64).T
-            token[where] = np.log10(hit + left * np.power(10.0, token[where]), where=hit > 0, out=token[where] + np.log10(left, where=left > 0, out=np.full(len(left), -300.0)))
-        ends = np.cumsum([len(x) for x in cut])
-        by_doc = np.add.reduceat(token, ends - [len(x) for x in cut])
-        cols = [docs_.column("doc_id"), docs_.column("held_out"), [len(x) for x in cut], [int((c[x] > 0).sum()) for x in cut], [float(base[x].sum()) for x in cut], by_doc, [int(size[x].sum()) for x in cut]]
+        n_known = [int((c[x] > 0).sum() + (c[-1] > 0)) for x in cut]
+        cols = [docs_.column("doc_id"), docs_.column("held_out"), [len(x) + 1 for x in cut], n_known, [float(base[x].sum() + base[-1]) for x in cut], w.by_text(p), w.n_bytes]
         return pa.table({f.name: (col.cast(f.type) if isinstance(col, pa.ChunkedArray) else pa.array(col, f.type)) for f, col in zip(out_schema, cols)})
 
     scored = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")

@@ -259,7 +259,7 @@ def test_loser_tree_orders_and_spares_comparisons():
 # -- LM scoring --------------------------------------------------------------------------------------------------------
 
 
-def test_ctw_is_a_distribution_and_base_matches(docs, texts):
+def test_ctw_base_matches_and_blocks_agree(docs, texts):
     out = {r.doc_id: r for r in ctw.score(docs, block_bytes=100_000).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     tokens = {i: [*words(lower(t)), None] for i, t in texts.items()}
@@ -269,33 +269,84 @@ def test_ctw_is_a_distribution_and_base_matches(docs, texts):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(tokens[i]), sum(count[w] > 0 for w in tokens[i]), n)
         assert abs(r.base_score - sum(np.log10((count[w] + 1) / (n + v + 1)) for w in tokens[i])) < 1e-6 * len(tokens[i])
         assert r.score < 0
-    h = [r for r in out.values() if r.held_out]
-    assert sum(r.score for r in h) > sum(r.base_score for r in h)
     same = {r.doc_id: r.score for r in ctw.score(docs, block_bytes=10**9).collect()}
     assert all(abs(same[i] - out[i].score) < 1e-4 * max(1, abs(same[i])) for i in out)
 
 
-def test_ctw_weights_match_the_recursion():
-    distinct = [b"the", b"then", b"there", b"a", b"", b"of"]
-    w, _ = ctw.windows(distinct, 3)
-    u, at = np.unique(w, return_inverse=True)
-    tree = ctw.levels(u, np.bincount(at), 3, 0)
-    for context in (b" ", b" t", b"the", b"qqq"):
-        x = np.array([(len(context) << 56) | (int.from_bytes(context, "big") << 8) | c for c in range(256)], np.uint64)
-        assert abs((10 ** ctw.predict(tree, x)).sum() - 1) < 1e-9
-
-    def weighted(depth, context, node):
-        """Of the node `node` of the byte after `context`, by the definition."""
-        bits = [(int(b) >> (8 - node.bit_length())) & 1 for b, c, n in rows if n >= depth and c & ((1 << 8 * depth) - 1) == context and (1 << (node.bit_length() - 1)) | (b >> (9 - node.bit_length())) == node]
-        own = ctw.kt(np.array([bits.count(0)]), np.array([bits.count(1)]))[0]
-        below = {c & ((1 << 8 * depth + 8) - 1) for b, c, n in rows if n > depth and depth < 3 and c & ((1 << 8 * depth) - 1) == context and (1 << (node.bit_length() - 1)) | (b >> (9 - node.bit_length())) == node}
-        if not below:
-            return own
-        return np.logaddexp(np.log(0.5) + own, np.log(0.5) + sum(weighted(depth + 1, c, node) for c in below))
-
-    rows = [(int(x) & 255, (int(x) >> 8) & ((1 << 48) - 1), int(x) >> 56) for x in w]
-    for node in (1, 0b10, 0b101, 0b1011):
-        assert abs(tree[0].weighted[list(tree[0].keys).index(node)] - weighted(0, 0, node)) < 1e-9 if node in tree[0].keys else True
+def test_ctw_beats_the_base_on_held_out_text(spark):
+    """The tree alone, from sf0.01 on (on the 200 documents of sf0.001 it does not: -46,045 against -41,819)."""
+    out = ctw.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out")
+    score, base = out.agg(F.sum("score"), F.sum("base_score")).first()
+    assert score > base
+
+
+def brute_ctw(texts, held, depth):
+    """log10 probability of each text by the definition: a node for every context and every prefix of a byte's bits."""
+    code = lambda t: b" ".join(words_bytes(t)) + b"\n"
+    words_bytes = lambda t: lower(t).encode().split()
+    count = collections.defaultdict(lambda: [0, 0])
+    for t, h in zip(texts, held):
+        x = b"\n" * depth + code(t)
+        for at in range(depth, len(x)) if not h else ():
+            for d in range(depth + 1):
+                for i in range(8):
+                    count[x[at - d : at], (1 << i) | (x[at] >> (8 - i))][x[at] >> (7 - i) & 1] += 1
+    memo, below = {}, collections.defaultdict(set)
+    for context, node in list(count):
+        if context:
+            below[context[1:], node].add(context)
+
+    def weighted(context, node):
+        if (context, node) not in memo:
+            z, o = count[context, node]
+            own = float(ctw.kt(np.array([z]), np.array([o]))[0])
+            children = below[context, node]
+            memo[context, node] = own if len(context) == depth else np.logaddexp(own, sum(weighted(c, node) for c in children)) + np.log(0.5), own
+            if len(context) == depth:
+                memo[context, node] = own, own
+        return memo[context, node][0]
+
+    out = []
+    for t in texts:
+        x, total = b"\n" * depth + code(t), 0.0
+        for at in range(depth, len(x)):
+            for i in range(8):
+                node, bit = (1 << i) | (x[at] >> (8 - i)), x[at] >> (7 - i) & 1
+                p, share, last = 0.0, 1.0, 0.5
+                for d in range(depth + 1):
+                    context = x[at - d : at]
+                    if (context, node) not in count:
+                        break
+                    both = weighted(context, node)
+                    stay = 1.0 if d == depth else np.exp(memo[context, node][1] + np.log(0.5) - both)
+                    last = (count[context, node][bit] + 0.5) / (sum(count[context, node]) + 1)
+                    p, share = p + share * stay * last, share * (1 - stay)
+                total += np.log10(p + share * last)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("depth", [3, 5])
+def test_ctw_matches_brute_force(spark, docs, texts, depth):
+    """Over rows whose order changes each time they are asked for, in blocks of a few texts."""
+    some = {i: texts[i][:150] for i in sorted(texts)[:60]} | {900: "", 901: "  ", 902: "the The THE", 903: "é☃ x"}
+    d = restless(spark.createDataFrame(list(some.items()), "doc_id long, text string"))
+    want = dict(zip(some, brute_ctw(list(some.values()), [zlib.crc32(str(i).encode()) % 7 == 2 for i in some], depth)))
+    for block_bytes in (2000, 10**9):
+        got = {r.doc_id: r for r in ctw.score(d, depth=depth, block_bytes=block_bytes).collect()}
+        assert all(abs(got[i].score - want[i]) < 1e-4 + 1e-6 * abs(want[i]) for i in want)
+        assert all(got[i].n_bytes == len(b" ".join(lower(t).encode().split())) + 1 for i, t in some.items())
+
+
+def test_ctw_tree_is_a_distribution():
+    coded = b"\n" * 7 + b"the then there\n"
+    seen = np.array([int.from_bytes(bytes([*coded[at - 7 : at][::-1], coded[at]]), "big") for at in range(7, len(coded))], np.uint64)
+    for context in (b"he ther", b"\n\n\n\n\n\n\n", b"qqqqqqe"):
+        every = np.array([int.from_bytes(bytes([*context[::-1], c]), "big") for c in range(256)], np.uint64)
+        window, at = np.unique(np.concatenate([seen, every]), return_inverse=True)
+        tree = ctw.Tree(window, np.bincount(at[: len(seen)], minlength=len(window)), 7, 0)
+        p = tree.predict(ctw.State.start(len(tree.summary()[0])))
+        assert abs((10 ** p[at[len(seen) :]]).sum() - 1) < 1e-9
 
 
 def test_ctw_odd(odd, none):
