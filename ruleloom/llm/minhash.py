@@ -54,13 +54,15 @@ class MinMax:
             np.maximum(high, h.max(1), out=high)
         return np.concatenate([low, high])
 
-    def sketch(self, s: np.ndarray) -> bytes:
-        return (self.signature(s) >> np.uint64(24)).astype(np.uint8).tobytes()
-
-    def keys(self, s: np.ndarray) -> list[int]:
-        parts = self.signature(s).reshape(-1, self.rows)[: self.bands]
+    def keys(self, signature: np.ndarray) -> list[int]:
+        parts = signature.reshape(-1, self.rows)[: self.bands]
         return [xxhash.xxh3_64_intdigest(p.tobytes(), i) - 2**63 for i, p in enumerate(parts)]
 
+    def sketch(self, s: np.ndarray) -> tuple[bytes, bytes]:
+        """A byte of each extreme, and 32 bits of each band's key."""
+        signature = self.signature(s)
+        return (signature >> np.uint64(24)).astype(np.uint8).tobytes(), np.array(self.keys(signature), np.int64).astype(np.uint32).tobytes()
+
 
 def class_of(s: np.ndarray) -> int:
     """Key of a set: 64 bits of a hash of its members."""
@@ -80,31 +82,43 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 s = shingle_set(body, n)
                 size.append(len(s))
                 classes.append(class_of(s) if len(s) else None)
-                keys.append(hasher.keys(s) if len(s) else None)
+                keys.append(hasher.keys(hasher.signature(s)) if len(s) else None)
             yield batch(schema, b.column(0), size, classes, keys)
 
     return src.mapInArrow(sign, "doc_id long, n_shingles long, class long, bands array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """class, shingles, size, sketch (a byte of each extreme) of the sets named in wanted (class, id of a document)."""
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """class, size, shingles of the sets named in wanted (class, id of a document)."""
     src = fields(docs, doc_id=docs["doc_id"].cast("long"), body=text_bytes(docs))
-    schema = pa.schema([("class", pa.int64()), ("shingles", pa.list_(pa.int64())), ("size", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = MinMax(bands, rows)
         for b in batches:
             for at in range(0, len(b), 500):
                 sets = [s for s in (shingle_set(x, n) for x in b.column(1).slice(at, 500).to_pylist()) if len(s)]
-                yield batch(schema, [class_of(s) for s in sets], [s.view(np.int64) for s in sets], [len(s) for s in sets], [hasher.sketch(s) for s in sets])
+                yield batch(schema, [class_of(s) for s in sets], [len(s) for s in sets], [s.view(np.int64) for s in sets])
 
-    found = src.join(wanted.select("id").distinct(), src.doc_id == F.col("id"), "left_semi").mapInArrow(cut, "class long, shingles array<long>, size long, sketch binary")
+    found = src.join(wanted.select("id").distinct(), src.doc_id == F.col("id"), "left_semi").mapInArrow(cut, "class long, size long, shingles array<long>")
     # Rows that share an id bring sets that nobody asked for.
     return found.join(wanted.select(F.col("class").alias("class_")), F.col("class") == F.col("class_"), "left_semi").dropDuplicates(["class"])
 
 
-def askable(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, home: np.ndarray, cross: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of members of a block (a row, a column) may be links between components.
+def _sketches(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """class_, size, sketch, prints (of the bands' keys) of sets."""
+    schema = pa.schema([("class_", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("prints", pa.binary())])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = MinMax(bands, rows)
+        for b in batches:
+            done = [hasher.sketch(s.values.to_numpy().view(np.uint64)) for s in b.column(2)]
+            yield batch(schema, b.column(0), b.column(1), [x for x, _ in done], [x for _, x in done])
+
+    return sets.mapInArrow(draw, "class_ long, size long, sketch binary, prints binary")
+
+
+def askable(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, prints: np.ndarray, band: int, home: np.ndarray, cross: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of members of a block (positions) that may be links between components and no earlier band has.
 
     They lie in different components, across the block (cross: which side of it a member is on; any pair if there is
     one side), not both away from home, are near enough in size, and their sketches agree often enough.
@@ -113,19 +127,25 @@ def askable(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: np.ndar
     if cross.any() and not cross.all():
         ask &= cross[:, None] != cross[None, :]
     ask &= np.minimum.outer(size, size) * 100 >= np.maximum.outer(size, size) * percent
-    if ask.any():
-        agree = np.zeros(ask.shape, np.uint16)
-        for column in np.ascontiguousarray(sketch.T):
-            agree += column[:, None] == column[None, :]
-        ask &= agree >= math.floor(AGREE / 0.8 * percent / 100 * sketch.shape[1])
-    return ask
-
-
-def block_links(ask: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The pairs asked for (positions) whose whole sets are similar enough."""
+    pairs, least = np.argwhere(ask), math.floor(AGREE / 0.8 * percent / 100 * sketch.shape[1])
+    out = []
+    for at in range(0, len(pairs), 16_384):
+        i, j = pairs[at : at + 16_384].T
+        fresh = ~(prints[i, :band] == prints[j, :band]).any(1)
+        i, j = i[fresh], j[fresh]
+        fit = (sketch[i] == sketch[j]).sum(1, dtype=np.uint16) >= least
+        out.append(np.stack([i[fit], j[fit]], 1))
+    return np.concatenate(out) if out else pairs
+
+
+def block_links(pairs: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Those of the pairs (positions) whose whole sets are similar enough."""
     m, size = len(sets), np.array([len(x) for x in sets], np.int64)
-    if not ask.any():
-        return np.empty((0, 2), np.int64)
+    if not len(pairs):
+        return pairs
+    if len(pairs) < 4 * m:
+        common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs.tolist()])
+        return pairs[100 * common >= percent * (size[pairs].sum(1) - common)]
     _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     who = np.repeat(np.arange(m), size)
     often = n[at] > 1
@@ -138,8 +158,8 @@ def block_links(ask: np.ndarray, sets: list[np.ndarray], percent: int) -> np.nda
         part = np.zeros((m, min(4096, width - c)), np.float32)
         part[who[i:j], at[i:j] - c] = 1
         common += part @ part.T
-    common = common.astype(np.int64)
-    return np.argwhere(ask & (100 * common >= percent * (size[:, None] + size[None, :] - common)))
+    common = common[pairs[:, 0], pairs[:, 1]].astype(np.int64)
+    return pairs[100 * common >= percent * (size[pairs].sum(1) - common)]
 
 
 def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, chunk: int = 1024) -> DataFrame:
@@ -165,7 +185,7 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BAND
     shared = shared.select(F.col("band").alias("band_"), F.col("key").alias("key_"), "hub")
     member = banded.join(shared, (banded.band == shared.band_) & (banded.key == shared.key_)).select("class", "id", "band", "key", "hub")
     member = written(member, "members")
-    sets = written(_sets(docs, member.select("class", "id").distinct(), n, bands, rows), "sets")
+    sets = written(_sets(docs, member.select("class", "id").distinct(), n), "sets")
     one, two = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     star = member.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
     both = star.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
@@ -181,22 +201,24 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BAND
     apart = now.groupBy("band", "key", "cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     apart = apart.filter("low <> high").select(F.col("band").alias("band_"), F.col("key").alias("key_"), F.col("cell").alias("cell_"), "chunks")
     rest = now.join(apart, (now.band == apart.band_) & (now.key == apart.key_) & (now.cell == apart.cell_)).withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rest = rest.select("class", "band", "key", "cell", "comp", (F.col("cell") == F.col("range")).alias("home"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    rest_ddl = "class long, band int, key long, cell int, comp long, home boolean, i int, j int, own int, size long, sketch binary"
+    rest = rest.select("class", "band", "key", "cell", "comp", (F.col("cell") == F.col("range")).alias("home"), "own", "chunks")
+    rest = written(rest, "rest")
+    left = rest.select(F.col("class").alias("class_")).distinct()
+    sketches = written(_sketches(sets.join(left, F.col("class") == F.col("class_"), "left_semi").select("class", "size", "shingles"), bands, rows), "sketches")
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    rest_ddl = "class long, band int, key long, cell int, comp long, home boolean, i int, j int, own int, size long, sketch binary, prints binary"
     block = ["band", "key", "cell", "i", "j"]
     link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(key, part):
-        ids, sketch = part.column("class").to_numpy(), b"".join(part.column("sketch").to_pylist())
+        ids, rows_ = part.column("class").to_numpy(), lambda c, kind: np.frombuffer(b"".join(part.column(c).to_pylist()), kind).reshape(len(part), -1)
         i, j = key[3].as_py(), key[4].as_py()
         cross = part.column("own").to_numpy() == i if i != j else np.ones(len(ids), bool)
         home = np.array(part.column("home").to_pylist(), bool)
-        return askable(ids, part.column("comp").to_numpy(), part.column("size").to_numpy(), np.frombuffer(sketch, np.uint8).reshape(len(ids), -1), home, cross, percent)
+        return askable(ids, part.column("comp").to_numpy(), part.column("size").to_numpy(), rows_("sketch", np.uint8), rows_("prints", np.uint32), key[0].as_py(), home, cross, percent)
 
     def scan(key, part):
-        ask = pairs(key, part)
-        return part.filter(pa.array(ask.any(0) | ask.any(1)))
+        return part.take(pa.array(np.unique(pairs(key, part))))
 
     def compare(key, part):
         ids = part.column("class").to_numpy()
@@ -205,8 +227,7 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BAND
         found = block_links(pairs(key, part), np.split(flat, ends[:-1]), percent)
         return pa.Table.from_batches([batch(link_schema, ids[found[:, 0]], ids[found[:, 1]])])
 
-    prints = sets.select(F.col("class").alias("class_"), "size", "sketch")
-    rest = rest.join(prints, F.col("class") == F.col("class_")).drop("class_").select(*[x.split()[0] for x in rest_ddl.split(", ")])
+    rest = rest.join(sketches, F.col("class") == F.col("class_")).drop("class_").select(*[x.split()[0] for x in rest_ddl.split(", ")])
     rest = written(rest.groupBy(*block).applyInArrow(scan, rest_ddl), "candidates")
     whole = sets.select(F.col("class").alias("class_"), "shingles")
     rest = rest.join(whole, F.col("class") == F.col("class_")).drop("class_")
