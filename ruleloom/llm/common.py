@@ -42,6 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        if files := df.inputFiles():
+            folder = files[0].rpartition("/")[0]
+            spark = df.sparkSession
+            jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of jobs that are over: it does once the objects that name them are collected.
 

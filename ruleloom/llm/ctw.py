@@ -6,11 +6,12 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, fields, held_out, text_bytes, words, written
+from .common import batch, discard, fields, held_out, text_bytes, words, written
 from .exchange import n_blocks, ordered, owner, pack, unpack
 from .wordbytes import WordIds
 
@@ -187,51 +188,47 @@ def tokens(bodies: list[bytes]) -> tuple[list[bytes], list[np.ndarray], bytes]:
 
 
 class Windows:
-    """Distinct windows of a block's coded bytes.
+    """The window of each coded byte of a block."""
+
+    def __init__(self, cut: list[np.ndarray], distinct: list[bytes], coded: bytes, depth: int):
+        size = np.append(np.fromiter(map(len, distinct), np.int64, len(distinct)), 0) + 1
+        # A text's words, each with what closes it; a text without words has an end only.
+        self.n_bytes = np.array([size[c].sum() if len(c) else 1 for c in cut], np.int64)
+        ends = np.cumsum(self.n_bytes + DEPTH)
+        coded_at = np.ones(len(coded), bool)
+        for d in range(DEPTH):
+            coded_at[ends - self.n_bytes - DEPTH + d] = False
+        raw = np.frombuffer(coded, np.uint8).astype(np.uint64)
+        window = raw.copy()
+        for d in range(1, depth + 1):
+            window[d:] |= raw[:-d] << np.uint64(8 * (depth + 1 - d))
+        self.window = window[coded_at]
 
-    Bytes are not sorted one by one: equal words after equal contexts have the same windows, so only distinct pairs of
-    context and word are taken apart.
-    """
+    def of_texts(self, which: np.ndarray) -> np.ndarray:
+        """Windows of the texts marked, sorted."""
+        return np.sort(self.window if which.all() else self.window[np.repeat(which, self.n_bytes)])
 
-    def __init__(self, distinct: list[bytes], cut: list[np.ndarray], coded: bytes, depth: int):
-        raw = np.frombuffer(coded, np.uint8)
-        n_words = np.fromiter(map(len, cut), np.int64, len(cut))
-        # Each token is a word and what closes it; a text without words has one, of no bytes.
-        n_tokens = np.maximum(n_words, 1)
-        self.first = np.cumsum(n_tokens) - n_tokens
-        word = np.concatenate([c if len(c) else np.array([len(distinct)]) for c in cut]) if cut else np.empty(0, np.int64)
-        size = np.append(np.fromiter(map(len, distinct), np.int64, len(distinct)), 0)[word] + 1
-        closes = np.zeros(len(word), bool)
-        closes[self.first[1:] - 1] = True
-        closes[-1:] = True
-        of = np.repeat(np.arange(len(cut)), n_tokens)
-        start = np.cumsum(size) - size + DEPTH * (of + 1)
-        self.n_bytes = np.add.reduceat(size, self.first) if len(cut) else size
-        context = np.zeros(len(word), np.uint64)
-        for d in range(1, depth + 1):
-            context |= raw[start - d].astype(np.uint64) << np.uint64(8 * (depth - d))
-        context = np.unique(context, return_inverse=True)[1]
-        pair = (context * (len(distinct) + 1) + word) * 2 + closes
-        _, index, self.pair = np.unique(pair, return_index=True, return_inverse=True)
-        length = size[index]
-        self.pair_start = np.cumsum(length) - length
-        at = np.arange(length.sum()) + np.repeat(start[index] - self.pair_start, length)
-        window = raw[at].astype(np.uint64)
-        for d in range(1, depth + 1):
-            window |= raw[at - d].astype(np.uint64) << np.uint64(8 * (depth + 1 - d))
-        self.window, self.at = np.unique(window, return_inverse=True)
-        self.of, self.length = of, length
+    def counted(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct windows in order, and how often the texts marked have each."""
+        learned, n = _runs(self.of_texts(learn))
+        if learn.all():
+            return learned, n
+        other, _ = _runs(self.of_texts(~learn))
+        both = _runs(np.sort(np.concatenate([learned, other])))[0]
+        count = np.zeros(len(both), np.int64)
+        count[np.searchsorted(both, learned)] = n
+        return both, count
 
-    def counts(self, learn: np.ndarray) -> np.ndarray:
-        """How often the texts marked have each window."""
-        pairs = np.bincount(self.pair, learn[self.of], len(self.length))
-        return np.bincount(self.at, np.repeat(pairs, self.length), len(self.window)).astype(np.int64)
+    def by_text(self, distinct: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Sum over the bytes of each text of a value of its window, given for the distinct windows."""
+        at = pc.index_in(pa.array(self.window), value_set=pa.array(distinct)).to_numpy()
+        return np.add.reduceat(value[at], np.cumsum(self.n_bytes) - self.n_bytes) if len(at) else np.empty(0)
 
-    def by_text(self, value: np.ndarray) -> np.ndarray:
-        """Sum of a value of windows over the bytes of each text."""
-        if not len(self.first):
-            return np.empty(0)
-        return np.add.reduceat(np.add.reduceat(value[self.at], self.pair_start)[self.pair], self.first)
+
+def _runs(ordered_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and how often each occurs."""
+    first = np.flatnonzero(np.append(np.ones(min(len(ordered_), 1), bool), ordered_[1:] != ordered_[:-1]))
+    return ordered_[first], np.diff(np.append(first, len(ordered_)))
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -243,6 +240,23 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(unpack(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    return pack(np.ascontiguousarray(counts, np.int64).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def pack_logs(p: np.ndarray) -> bytes:
+    """Logarithms as floats of 32 bits, byte plane by byte plane."""
+    return pack(np.ascontiguousarray(p, np.float32).view(np.uint8).reshape(-1, 4).T)
+
+
+def unpack_logs(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(4, -1).T).view(np.float32).ravel()
+
+
 def _split(parts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by part, keeping it within parts, and where each part starts."""
     order = np.argsort(parts, kind="stable")
@@ -267,7 +281,7 @@ def _merged(sent: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
     keys = [unpack_sorted(r["keys"]) for r in sent]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, at, np.concatenate([unpack(r["numbers"], np.int64) for r in sent]))
+    np.add.at(total, at, np.concatenate([unpack_counts(r["numbers"]) for r in sent]))
     return distinct, total, np.split(at, np.cumsum([len(k) for k in keys])[:-1])
 
 
@@ -304,11 +318,11 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, block_bytes: in
         keys, cuts, place = ordered(np.append(hashes, END), parts)
         counts = np.zeros(len(keys), np.int64)
         np.add.at(counts, place, np.append(n, learn.sum()))
-        rows = [(0, p, me, pack_sorted(keys[a:b]), pack(counts[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-        w = Windows(distinct, cut, coded, depth)
-        order, cuts = _split(owner(w.window, parts), parts)
-        window, counts = w.window[order], w.counts(learn)[order]
-        rows += [(1, p, me, pack_sorted(window[a:b]), pack(counts[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        rows = [(0, p, me, pack_sorted(keys[a:b]), pack_counts(counts[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        window, counts = Windows(cut, distinct, coded, depth).counted(learn)
+        order, cuts = _split(owner(window, parts), parts)
+        window, counts = window[order], counts[order]
+        rows += [(1, p, me, pack_sorted(window[a:b]), pack_counts(counts[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         return _messages(rows)
 
     asked = written(blocked.groupBy("block").applyInArrow(ask, MESSAGE_DDL), "ctw-asked")
@@ -316,7 +330,7 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, block_bytes: in
     def count_words(key, table):
         sent = _sent(table)
         _, total, where = _merged(sent)
-        rows = [(0, r["sender"], key[0].as_py(), b"", pack(total[w]), 0, 0) for r, w in zip(sent, where)]
+        rows = [(0, r["sender"], key[0].as_py(), b"", pack_counts(total[w]), 0, 0) for r, w in zip(sent, where)]
         return _messages([*rows, (0, -1, key[0].as_py(), b"", b"", int(total.sum()), int((total > 0).sum()))])
 
     known = written(asked.filter("kind = 0").groupBy("to").applyInArrow(count_words, MESSAGE_DDL), "ctw-words")
@@ -329,7 +343,7 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, block_bytes: in
         window, total, _ = _merged(_sent(table))
         order, cuts = subtree(window)
         window, total = window[order], total[order]
-        return _messages([(1, p, key[0].as_py(), pack_sorted(window[a:b]), pack(total[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
+        return _messages([(1, p, key[0].as_py(), pack_sorted(window[a:b]), pack_counts(total[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
 
     asked_windows = asked.filter("kind = 1")
     totals = written(asked_windows.groupBy("to").applyInArrow(add_up, MESSAGE_DDL), "ctw-windows")
@@ -385,8 +399,8 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, block_bytes: in
         order = np.argsort((keys >> np.uint64(8 * CUT)).astype(np.int64), kind="stable")
         state = np.empty((3, len(keys)))
         state[:, order] = np.concatenate([unpack(r["numbers"], np.float64).reshape(3, -1) for r in replies], 1)
-        p = tree.predict(State(*state)).astype(np.float32)
-        return _messages([(1, r["sender"], key[0].as_py(), b"", p[w].tobytes(), 0, 0) for r, w in zip(sent, where)])
+        p = tree.predict(State(*state))
+        return _messages([(1, r["sender"], key[0].as_py(), b"", pack_logs(p[w]), 0, 0) for r, w in zip(sent, where)])
 
     predicted = totals.groupBy("to").cogroup(told.groupBy("to").applyInArrow(down, MESSAGE_DDL).groupBy("to")).applyInArrow(predict, MESSAGE_DDL)
 
@@ -395,10 +409,12 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, block_bytes: in
         window, _, where = _merged(sent)
         order, _ = subtree(window)
         p = np.empty(len(window), np.float32)
-        p[order] = np.frombuffer(b"".join(r["numbers"] for r in _sent(found)), np.float32)
-        return _messages([(1, r["sender"], key[0].as_py(), b"", p[w].tobytes(), 0, 0) for r, w in zip(sent, where)])
+        p[order] = np.concatenate([unpack_logs(r["numbers"]) for r in _sent(found)])
+        return _messages([(1, r["sender"], key[0].as_py(), b"", pack_logs(p[w]), 0, 0) for r, w in zip(sent, where)])
 
     answers = asked_windows.groupBy("to").cogroup(predicted.groupBy("to")).applyInArrow(reply, MESSAGE_DDL)
+    answers = written(answers, "ctw-answers")
+    discard(asked, totals, told)
     answers = known.filter("to >= 0").unionByName(answers).select("kind", F.col("to").alias("block"), "sender", "numbers").repartition(blocks, "block")
     log_base = np.log10(train_tokens + vocabulary + 1.0)
     out_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
@@ -408,14 +424,15 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, block_bytes: in
         sent = _sent(replies)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
         place = ordered(np.append(hashes, END), parts)[2]
-        c = np.concatenate([unpack(r["numbers"], np.int64) for r in sent if r["kind"] == 0])[place]
-        w = Windows(distinct, cut, coded, depth)
-        order, _ = _split(owner(w.window, parts), parts)
+        c = np.concatenate([unpack_counts(r["numbers"]) for r in sent if r["kind"] == 0])[place]
+        w = Windows(cut, distinct, coded, depth)
+        window = _runs(w.of_texts(np.ones(len(cut), bool)))[0]
+        order, _ = _split(owner(window, parts), parts)
         p = np.empty(len(order))
-        p[order] = np.frombuffer(b"".join(r["numbers"] for r in sent if r["kind"] == 1), np.float32)
+        p[order] = np.concatenate([unpack_logs(r["numbers"]) for r in sent if r["kind"] == 1])
         base = np.log10(c + 1.0) - log_base
         n_known = [int((c[x] > 0).sum() + (c[-1] > 0)) for x in cut]
-        cols = [docs_.column("doc_id"), docs_.column("held_out"), [len(x) + 1 for x in cut], n_known, [float(base[x].sum() + base[-1]) for x in cut], w.by_text(p), w.n_bytes]
+        cols = [docs_.column("doc_id"), docs_.column("held_out"), [len(x) + 1 for x in cut], n_known, [float(base[x].sum() + base[-1]) for x in cut], w.by_text(window, p), w.n_bytes]
         return pa.table({f.name: (col.cast(f.type) if isinstance(col, pa.ChunkedArray) else pa.array(col, f.type)) for f, col in zip(out_schema, cols)})
 
     scored = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
