@@ -49,6 +49,11 @@ GOAL: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def register_stream(name: str, build: Callable[[Column], Column]) -> None:
+    """Adds an aggregate for streams and windows; a grouped-aggregate pandas_udf serves as well as built-ins."""
+    STREAM[name] = WINDOW[name] = build
+
+
 def register_accumulate(name: str, build: Callable[[Column], Column]) -> None:
     """Adds a function for `accumulate`; a grouped-aggregate pandas_udf serves as well as built-ins."""
     ACCUMULATE[name] = build

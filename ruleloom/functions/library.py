@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The pattern of a mail address, and the forms of dates in the order in which they are tried.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy")
 #: strftime directives and their patterns.
@@ -80,6 +81,7 @@ def parse_date(d: Column) -> Column:
 
 
 def format_date(d: Column, pattern: str) -> Column:
+    """The pattern is text, not a column."""
     for k, v in STRFTIME.items():
         pattern = pattern.replace(k, v)
     return F.date_format(parse_date(d), pattern)
@@ -110,6 +112,21 @@ def array_find(a: Column, field: str, value) -> Column:
     return F.try_element_at(array_filter(a, field, value), F.lit(1))
 
 
+def joined(a: Column, separator: Column) -> Column:
+    """An array's elements as text with a separator, which may be a column."""
+    return F.call_function("array_join", F.transform(a, lambda x: x.cast("string")), separator)
+
+
+def sorted_keys(m: Column) -> Column:
+    """A map's keys in order, so that equal maps give equal arrays."""
+    return F.array_sort(F.map_keys(m))
+
+
+def sorted_values(m: Column) -> Column:
+    """A map's values in the order of their keys."""
+    return F.transform(F.array_sort(F.map_entries(m)), lambda e: e["value"])
+
+
 def object_merge(a: Column, b: Column) -> Column:
     """Map with the entries of both, of equal keys those of b."""
     left = F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k))
@@ -132,8 +149,8 @@ def is_url(s: Column) -> Column:
 
 
 def is_numeric(s: Column) -> Column:
-    t = s.cast("string")
-    return F.coalesce(t.try_cast("double").isNotNull() & ~t.rlike(r"\s"), F.lit(False))
+    """Text of a number: digits with a sign, a fraction and an exponent as may be, or inf and nan by name."""
+    return F.coalesce(F.lower(s.cast("string")).rlike(r"^[+-]?(\d+\.?\d*([e][+-]?\d+)?|\.\d+([e][+-]?\d+)?|inf|infinity|nan)$"), F.lit(False))
 
 
 def is_empty(s: Column) -> Column:
@@ -156,7 +173,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "now": lambda: F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), "today": lambda: F.date_format(F.current_date(), "yyyy-MM-dd"),
     "dayOfWeek": lambda d: F.weekday(parse_date(d)) + 1, "year": lambda d: F.year(parse_date(d)), "month": lambda d: F.month(parse_date(d)), "day": lambda d: F.dayofmonth(parse_date(d)),
     "length": F.octet_length, "len": F.octet_length, "contains": F.contains, "first": lambda s: F.left(s, F.lit(1)), "last": lambda s: F.right(s, F.lit(1)), "reverse": F.reverse,
-    "join": lambda a, s: F.array_join(a, s), "slice": array_slice, "keys": F.map_keys, "values": F.map_values,
+    "join": joined, "slice": array_slice, "keys": sorted_keys, "values": sorted_values,
     "isEmail": is_email, "isPhone": is_phone, "isUrl": is_url, "isNumeric": is_numeric, "isEmpty": is_empty, "inRange": in_range,
     "exists": F.isnotnull, "notExists": F.isnull, "not_exists": F.isnull, "is_empty": is_empty, "size": F.octet_length,
     "format": format_text, "round": lambda x: F.round(_num(x)), "floor": lambda x: F.floor(_num(x)), "ceil": lambda x: F.ceil(_num(x)), "abs": lambda x: F.abs(_num(x)),
@@ -177,13 +194,17 @@ MAP_FUNCTIONS: dict[str, Callable[..., Column]] = {
 #: Field actions Name(input, .., output): the column for the output.
 ACTIONS: dict[str, Callable[..., Column]] = {
     "ToUpperCase": F.upper, "ToLowerCase": F.lower, "StringLength": F.octet_length, "StringContains": F.contains, "StringTrim": trim, "StringReplace": F.replace,
-    "StringSplit": lambda s, d: F.split(s, d), "StringJoin": lambda a, d: F.array_join(a, d),
+    "StringSplit": lambda s, d: F.split(s, d), "StringJoin": joined,
     "Add": lambda a, b: _num(a) + _num(b), "Subtract": lambda a, b: _num(a) - _num(b), "Multiply": lambda a, b: _num(a) * _num(b), "Divide": lambda a, b: F.try_divide(_num(a), _num(b)),
     "Modulo": lambda a, b: F.try_mod(_num(a), _num(b)), "Power": lambda a, b: F.pow(_num(a), _num(b)), "Abs": lambda a: F.abs(_num(a)), "Round": lambda a: F.round(_num(a)), "Ceil": lambda a: F.ceil(_num(a)), "Floor": lambda a: F.floor(_num(a)),
     "CurrentDate": lambda: F.date_format(F.current_date(), "yyyy-MM-dd"), "CurrentTime": lambda: F.date_format(F.current_timestamp(), "HH:mm:ss"),
     "AddDays": add_days, "IsWeekend": lambda d: F.weekday(parse_date(d)) >= 5,
     "ArrayLength": F.size, "ArrayPush": F.array_append, "ArrayPop": lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), "ArraySort": array_sort,
-    "ObjectKeys": F.map_keys, "ObjectValues": F.map_values, "ObjectMerge": object_merge,
+    "ArrayFilter": array_filter, "ArrayFind": array_find, "FormatDate": format_date,
+    "ObjectKeys": sorted_keys, "ObjectValues": sorted_values, "ObjectMerge": object_merge,
     "ValidateEmail": is_email, "ValidatePhone": is_phone, "ValidateUrl": is_url, "ValidateRegex": lambda s, p: F.coalesce(F.rlike(s, p), F.lit(False)), "ValidateRange": in_range,
     "ValidateLength": lambda s, a, b: F.coalesce(F.octet_length(s).between(a, b), F.lit(False)), "ValidateNotEmpty": lambda s: ~is_empty(s),
 }
+
+#: Arguments of actions (by place) that are plain values, not columns, where the rule gives them as literals.
+PLAIN: dict[str, tuple[int, ...]] = {"FormatDate": (1,), "ArrayFilter": (1, 2), "ArrayFind": (1, 2), "ArraySort": (1,)}

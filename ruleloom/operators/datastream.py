@@ -63,9 +63,18 @@ class DataStream:
         return self.df.agg(F.coalesce(F.bool_and(p), F.lit(True)).alias("value"))
 
     def for_each(self, handle: Callable[[DataFrame], None]) -> DataStream:
+        """Hands the events to a function as a table, at once; a running stream is handed over batch by batch by `sink`."""
         handle(self.df)
         return self
 
+    def sink(self, handle: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
+        """Starts a running stream whose batches go to handle(table, number); by default all there is, then it ends."""
+        return self.df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+    def recent(self, n: int) -> DataStream:
+        """The newest n events by id (arrival)."""
+        return self._of(self.df.orderBy(F.col(self.id).desc()).limit(n))
+
     def count(self) -> int:
         return self.df.count()
 
@@ -85,6 +94,10 @@ class DataStream:
         out = F.aggregate(items, zero, lambda acc, x: fold(acc, x["v"])).alias("value")
         return self.df.groupBy(*by).agg(out)
 
+    def count_by(self, column: str) -> DataFrame:
+        """counts: a map of each value (as text, null as "null") and how often it occurs."""
+        return self.key_by().count_by(column)
+
     def key_by(self, *keys: str) -> KeyedStream:
         return KeyedStream(self, keys)
 
@@ -110,11 +123,28 @@ class DataStream:
 
 def json_number(payload: Column, field: str) -> Column:
     """A numeric field of a JSON payload; numbers in quotes do not count."""
-    raw = F.try_variant_get(F.try_parse_json(payload), f"$.{field}", "string")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), f"$.{field}", "variant"))
+    raw, kind = _json(payload, field)
     return F.when(~kind.isin("STRING", "BOOLEAN"), raw.try_cast("double"))
 
 
+def _json(payload: Column, field: str) -> tuple[Column, Column]:
+    """A field of a JSON payload as text, and its kind."""
+    parsed = F.try_parse_json(payload)
+    return F.try_variant_get(parsed, f"$.{field}", "string"), F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant"))
+
+
+def json_text(payload: Column, field: str) -> Column:
+    """A text field of a JSON payload; null where it is of another kind."""
+    raw, kind = _json(payload, field)
+    return F.when(kind == "STRING", raw)
+
+
+def json_flag(payload: Column, field: str) -> Column:
+    """A boolean field of a JSON payload; null where it is of another kind."""
+    raw, kind = _json(payload, field)
+    return F.when(kind == "BOOLEAN", raw.cast("boolean"))
+
+
 class KeyedStream:
     def __init__(self, stream: DataStream, keys: tuple[str, ...]):
         self.stream, self.keys = stream, keys
@@ -125,6 +155,13 @@ class KeyedStream:
     def count(self) -> DataFrame:
         return self.aggregate(count=F.count(F.lit(1)))
 
+    def count_by(self, column: str) -> DataFrame:
+        """keys, counts: a map of each value (as text, null as "null") and how often the key has it. Values are counted
+        first, so a key's map is gathered from one row for each distinct value."""
+        value = F.coalesce(F.col(column).cast("string"), F.lit("null")).alias("_value")
+        per = self.stream.df.groupBy(*self.keys, value).agg(F.count(F.lit(1)).alias("_n"))
+        return per.groupBy(*self.keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_value", "_n")))).alias("counts"))
+
     def key_values(self) -> DataFrame:
         return self.stream.df.select(*self.keys).distinct()
 

@@ -117,11 +117,26 @@ def chain(streams: dict[str, DataFrame], keys: Sequence[str], time: str, ms: int
 
 
 class JoinManager:
-    """Named joins over named streams."""
+    """Named joins over named streams. Spark routes events: a stream that several joins name goes to each."""
 
     def __init__(self):
         self.joins: dict[str, tuple[str, str, dict]] = {}
 
+    def of_stream(self, stream: str) -> list[str]:
+        """Joins that a stream's events go to."""
+        return [n for n, (a, b, _) in self.joins.items() if stream in (a, b)]
+
+    def statistics(self, streams: dict[str, DataFrame]) -> DataFrame:
+        """join, pairs, left_events, right_events (events that are in a pair), one row for each join."""
+        out = None
+        for n, df in self.run(streams).items():
+            of = lambda side: F.struct(*[c for c in df.columns if c.startswith(f"{side}_")])
+            both = F.col(f"l_{df.columns[0][2:]}").isNotNull() & F.col([c for c in df.columns if c.startswith("r_")][0]).isNotNull()
+            one = df.filter(both).agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct(F.xxhash64(of("l"))).alias("left_events"), F.count_distinct(F.xxhash64(of("r"))).alias("right_events"))
+            one = one.select(F.lit(n).alias("join"), "*")
+            out = one if out is None else out.unionByName(one)
+        return out
+
     def register(self, name: str, left: str, right: str, **how) -> None:
         self.joins[name] = (left, right, how)
 
@@ -130,19 +145,3 @@ class JoinManager:
 
     def run(self, streams: dict[str, DataFrame]) -> dict[str, DataFrame]:
         return {n: interval_join(streams[a], streams[b], **how) for n, (a, b, how) in self.joins.items()}
-
-
-def advise(left_rate: float, right_rate: float, key_cardinality: int, selectivity: float, window_ms: int) -> list[str]:
-    """What a planner would do for such a join; Spark's own does it at run time."""
-    out = []
-    if min(left_rate, right_rate) < 0.7 * max(left_rate, right_rate):
-        out.append(f"build on the {'left' if left_rate < right_rate else 'right'} side")
-    if key_cardinality > 1000:
-        out.append(f"partition by key into {min(32, key_cardinality // 100)}")
-    if selectivity < 0.1:
-        out.append("filter by a bloom filter of the keys")
-    if max(left_rate, right_rate) > 100:
-        out.append("index the key")
-    if window_ms >= 60_000:
-        out.append("merge windows")
-    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,24 +66,67 @@ def recent(df: DataFrame, time: str, ms: int, as_of: Column) -> DataFrame:
     return df.filter((t >= millis(as_of) - ms) & (t <= millis(as_of)))
 
 
+def in_turn(t: np.ndarray, ms: int) -> list:
+    """First-fit windows of events in order of time: each opens where the last one no longer reaches."""
+    rows, at = [], 0
+    while at < len(t):
+        end = int(np.searchsorted(t, t[at] + ms))
+        rows.append([int(t[at]), int(t[at]) + ms, end - at])
+        at = end
+    return rows
+
+
+def as_they_come(times: list[int], ms: int) -> list:
+    """First-fit windows of events in any order of time."""
+    done, live = [], []
+    for t in times:
+        done += [w for w in live if w[1] <= t]
+        live = [w for w in live if w[1] > t]
+        for w in live:
+            if w[0] <= t < w[1]:
+                w[2] += 1
+                break
+        else:
+            live.append([t, t + ms, 1])
+    return done + live
+
+
+def active(opened: DataFrame, now: int) -> DataFrame:
+    """Of the windows that first_fit opened, those that have not ended at a time."""
+    return opened.filter(F.col("window_end") > now)
+
+
+def latest(opened: DataFrame, key: str) -> DataFrame:
+    """Each key's window that starts last."""
+    columns = [c for c in opened.columns if c != key]
+    return opened.groupBy(key).agg(F.max(F.struct("window_start", *[c for c in columns if c != "window_start"])).alias("_w")).select(key, *[F.col(f"_w.{c}") for c in columns])
+
+
+def total_events(opened: DataFrame) -> DataFrame:
+    return opened.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("events"))
+
+
+def in_range(df: DataFrame, time: str, start_ms: int, end_ms: int) -> DataFrame:
+    """Events in [start, end)."""
+    t = millis(F.col(time))
+    return df.filter((t >= start_ms) & (t < end_ms))
+
+
+def described(df: DataFrame, time: str, now: int) -> DataFrame:
+    """window_start, window_end, count, latest (time of the last event), is_expired (the window has ended by now) of a table
+    of events with their windows."""
+    out = df.groupBy("window_start", "window_end").agg(F.count(F.lit(1)).alias("count"), F.max(millis(F.col(time))).alias("latest"))
+    return out.withColumn("is_expired", F.col("window_end") <= now)
+
+
 def first_fit(df: DataFrame, time: str, ms: int, key: str, id: str) -> DataFrame:
     """key, window_start, window_end, count of windows opened by an event that no open window of its key takes, in order
     of arrival; windows that end at or before the event's time are closed. Arrival order makes this a scan per key."""
     src = df.select(F.col(key).alias("key"), millis(F.col(time)).alias("t"), F.col(id).alias("id"))
 
     def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id", kind="stable")
-        done, live = [], []
-        for t in part["t"]:
-            done += [w for w in live if w[1] <= t]
-            live = [w for w in live if w[1] > t]
-            for w in live:
-                if w[0] <= t < w[1]:
-                    w[2] += 1
-                    break
-            else:
-                live.append([t, t + ms, 1])
-        rows = done + live
+        t = part.sort_values("id", kind="stable")["t"].to_numpy()
+        rows = in_turn(t, ms) if (t[1:] >= t[:-1]).all() else as_they_come(t.tolist(), ms)
         return pd.DataFrame({"key": [part["key"].iloc[0]] * len(rows), "window_start": [w[0] for w in rows], "window_end": [w[1] for w in rows], "count": [w[2] for w in rows]})
 
     kind = src.schema["key"].dataType.simpleString()

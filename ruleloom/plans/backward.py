@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import html
 import json
-from functools import reduce
+from collections import OrderedDict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import GoalError
 from ..functions import aggregates
-from ..lang import ir, parser
+from ..lang import ir, parser, printer
 from .compiler import Scope, condition, expression
-from .forward import Forward, checkpointed, reads, writes
+from .forward import AUDIT, Forward, checkpointed, reads, writes
 
 MAX_DEPTH = 10
+#: Answers that are kept by their goals; the oldest gives way.
+MEMO = 64
+#: How goals may be asked to be searched. All give the same answers here: a goal is one plan, made of the rules that it
+#: depends on up to a depth, which Spark orders as it sees fit.
+STRATEGIES = ("depth-first", "breadth-first", "iterative")
+OPTIONS = {"strategy", "max-depth", "max-solutions", "enable-memoization", "enable-optimization"}
 
 
 def candidates(goal, rules: list[ir.Rule], depth: int = MAX_DEPTH) -> list[ir.Rule]:
@@ -49,7 +55,14 @@ class Backward:
         self.replace(facts)
 
     def replace(self, facts: DataFrame) -> None:
-        self.facts, self.memo = facts, {}
+        """Other facts; what was kept of the old ones is let go of."""
+        for df in getattr(self, "memo", {}).values():
+            df.unpersist()
+        self.facts, self.memo, self.hits, self.misses = facts, OrderedDict(), 0, 0
+
+    def statistics(self) -> dict:
+        """Answers kept, and how often one was found and not found."""
+        return {"kept": len(self.memo), "hits": self.hits, "misses": self.misses}
 
     def derived(self, goal, depth: int = MAX_DEPTH) -> DataFrame:
         used = candidates(goal, self.rules, depth)
@@ -57,24 +70,45 @@ class Backward:
         df = engine.run(self.facts, audit=True) if used else self.facts
         proof = [F.when(F.col(f"`fires_{r.name}`") > 0, F.lit(r.name)) for r in engine.rules] if used else []
         df = df.withColumn("proof", F.array_compact(F.array(*proof)) if proof else F.array().cast("array<string>"))
-        return df.drop(*[f"fires_{r.name}" for r in engine.rules], "log", "agenda", "workflow", "scheduled")
-
-    def query(self, goal: str | object, depth: int = MAX_DEPTH, max_solutions: int | None = None) -> DataFrame:
-        """All records with provable, proof (rules that fired for it) and missing (atoms of the goal that fail)."""
+        return df.drop(*[f"fires_{r.name}" for r in engine.rules], *AUDIT)
+
+    def deepened(self, goal: str, keys: list[str], limit: int = MAX_DEPTH) -> DataFrame:
+        """keys, depth: for each record that satisfies the goal, the least number of rule layers that prove it (0: facts).
+
+        Iterative deepening: one plan for each depth that adds rules, up to a limit.
+        """
+        parsed, out, before = parser.parse_goal(goal), None, None
+        for depth in range(limit + 1):
+            used = [r.name for r in candidates(parsed, self.rules, depth)]
+            if used == before:
+                break
+            before = used
+            found = self.query(parsed, depth).filter("provable").select(*keys, F.lit(depth).alias("depth"))
+            out = found if out is None else out.unionByName(found)
+        return out.groupBy(*keys).agg(F.min("depth").alias("depth"))
+
+    def query(self, goal: str | object, depth: int = MAX_DEPTH, max_solutions: int | None = None, keep: bool = False) -> DataFrame:
+        """All records with provable, proof (rules that fired for it) and missing (atoms of the goal that fail).
+
+        Text goals are remembered: the plan, and with keep=True its rows once they are computed.
+        """
         key = (goal, depth, max_solutions) if isinstance(goal, str) else None
         if key in self.memo:
+            self.hits += 1
+            self.memo.move_to_end(key)
             return self.memo[key]
+        self.misses += key is not None
         parsed = parser.parse_goal(goal) if isinstance(goal, str) else goal
         df = self.derived(parsed, depth)
         scope = Scope(df.schema, "backward", self.how.get("functions"))
-        from ..lang import printer
-
         failed = [F.when(~condition(a, scope), F.lit(printer.condition(a))) for a in atoms(parsed)]
         out = df.withColumns({"provable": condition(parsed, scope), "missing": F.array_compact(F.array(*failed))})
         if max_solutions is not None:
             out = out.filter("provable").limit(max_solutions)
         if key:
-            self.memo[key] = out
+            self.memo[key] = out = out.persist() if keep else out
+            while len(self.memo) > MEMO:
+                self.memo.popitem(last=False)[1].unpersist()
         return out
 
     def solutions(self, goal: str | object, **how) -> DataFrame:
@@ -82,13 +116,16 @@ class Backward:
 
     def any_of(self, goals: list[str], keys: list[str]) -> DataFrame:
         """Distinct keys of the records that satisfy one of the goals."""
-        return reduce(DataFrame.unionByName, [self.solutions(g).select(*keys) for g in goals]).distinct()
+        return self.solutions(ir.Or(tuple(parser.parse_goal(g) for g in goals))).select(*keys).distinct()
 
     def aggregate(self, text: str, by: list[str] | None = None) -> DataFrame:
         """`fn(?v) WHERE pattern AND filter`: a record binds ?v through `path == ?v`; result in column value."""
         goal = parser.parse_goal(text)
         if not (isinstance(goal, tuple) and goal[0] == "aggregate"):
             raise GoalError(f"no aggregate: {text!r}")
+        return self._aggregated(goal, by)
+
+    def _aggregated(self, goal: tuple, by: list[str] | None) -> DataFrame:
         _, function, variable, pattern = goal
         binds = [a for a in atoms(pattern) if isinstance(a, ir.Cmp) and a.op == "==" and isinstance(a.right, ir.Var)]
         bound = {a.right.name: a.left for a in binds}
@@ -104,10 +141,19 @@ class Backward:
         return df.groupBy(*by).agg(agg) if by else df.agg(agg)
 
     def execute(self, q: ir.Query) -> DataFrame:
-        """A query block: its goal, and its actions' assignments as columns where it holds (or fails, or lacks facts)."""
+        """A query block: its goal, and its actions' assignments as columns where it holds (or fails, or lacks facts).
+
+        An aggregate goal gives one row with column value. Options: max-depth, max-solutions, enable-memoization (rows are
+        kept for the same goal), strategy and enable-optimization, which change nothing in what is found; others are errors.
+        """
+        if unknown := set(q.options) - OPTIONS:
+            raise GoalError(f"unknown options {sorted(unknown)}")
+        if (strategy := q.options.get("strategy", STRATEGIES[0])) not in STRATEGIES:
+            raise GoalError(f"no strategy {strategy!r}")
         if isinstance(q.goal, tuple):
-            raise GoalError("aggregate goals are run by aggregate()")
-        df = self.query(q.goal, int(q.options.get("max-depth", MAX_DEPTH)))
+            return self._aggregated(q.goal, None)
+        depth = int(q.options.get("max-depth", MAX_DEPTH))
+        df = self.query(printer.condition(q.goal), depth, keep=True) if q.options.get("enable-memoization") is True else self.query(q.goal, depth)
         if q.when is not None:
             df = df.filter(condition(q.when, Scope(df.schema, "backward")))
         for flag, actions in ((F.col("provable"), q.on_success), (~F.col("provable"), q.on_failure), (~F.col("provable") & (F.size("missing") > 0), q.on_missing)):
@@ -120,6 +166,11 @@ class Backward:
         return df.filter("provable").limit(int(n)) if n else df
 
 
+    def execute_all(self, text: str) -> dict[str, DataFrame]:
+        """The query blocks of a text, by name; one that cannot be read is an error, not left out."""
+        return {q.name: self.execute(q) for q in parser.parse_program(text).queries}
+
+
 def _bind(c, bound: dict):
     if isinstance(c, ir.Var):
         return bound[c.name]
@@ -171,6 +222,12 @@ def explain(row, goal: str) -> str:
     return f"{goal} fails: {'; '.join(row['missing'])}"
 
 
+def explained(goal: str) -> Column:
+    """explain() as a column over what query() gives."""
+    by = F.when(F.size("proof") > 0, F.concat(F.lit(", by "), F.array_join("proof", " -> "))).otherwise(F.lit(", from facts"))
+    return F.when(F.col("provable"), F.concat(F.lit(f"{goal} holds"), by)).otherwise(F.concat(F.lit(f"{goal} fails: "), F.array_join("missing", "; ")))
+
+
 def export_proof(row, goal: str, form: str = "json") -> str:
     """One record's proof as a document: "json", "markdown" or "html"."""
     rules, missing = list(row["proof"]), list(row["missing"])

@@ -204,8 +204,10 @@ def condition(c, scope: Scope) -> Column:
         return truth(expression(c.call, scope), static_type(c.call, scope))
     if isinstance(c, ir.Multi):
         return multifield(c, scope)
-    if isinstance(c, (ir.Accumulate, ir.StreamPattern)):
+    if isinstance(c, ir.Accumulate):
         return F.lit(True)
+    if isinstance(c, ir.StreamPattern):
+        raise BindError("rules over streams are run by operators.correlation.run_rules")
     if isinstance(c, ir.Quantified):
         return condition(c.part, scope)
     raise BindError(f"not a condition: {c}")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -13,10 +12,14 @@ from pyspark.sql import types as T
 from ..errors import BindError
 from ..functions import aggregates, library
 from ..lang import ir
+from ..storage import table
 from .compiler import Scope, condition, expression
 
 MAX_CYCLES = 100
 HIDDEN = "_rl_"
+#: Columns that audit=True adds beside fires_<rule> and retracted_<type>.
+AUDIT = ("log", "agenda", "workflow", "scheduled", "timers", "inserts")
+TIMERS, INSERTS = "array<struct<ms:bigint,rule:string>>", "array<struct<kind:string,id:string,value:string,rule:string,logical:boolean>>"
 
 
 def parse_time(s: str) -> dt.datetime:
@@ -84,6 +87,15 @@ def settles_at_once(rules: list[ir.Rule]) -> bool:
     return not any(_tail(reads(r)) & _tail(writes(x)) for i, r in enumerate(rules) for x in rules[i:])
 
 
+def plain(rules: list[ir.Rule]) -> bool:
+    """Whether all that rules do is set and append fields: nothing else has to be remembered of a firing."""
+    return not any(
+        r.activation_group or r.agenda_group or r.lock_on_active or isinstance(a, (ir.Retract, ir.Log))
+        or isinstance(a, ir.Do) and a.name != "set" and a.name not in library.ACTIONS or isinstance(a, ir.Method) and not a.name.startswith("set")
+        for r in rules for a in r.then
+    )
+
+
 class Forward:
     """Runs rules over a table whose rows are fact records.
 
@@ -176,21 +188,24 @@ class Forward:
         else:
             changes[column] = F.struct(F.when(fired, value).alias(field))
 
-    def _effect(self, df: DataFrame, rules: list[tuple[ir.Rule, str]]) -> DataFrame:
-        """Effects of fired rules that do not touch each other, as one projection."""
+    def _effect(self, df: DataFrame, rules: list[tuple[ir.Rule, str | Column]]) -> DataFrame:
+        """Effects of fired rules that do not touch each other, as one projection. A rule comes with the column, or its name,
+        that tells where it fired (handlers need the name)."""
         changes: dict[str, Column] = {}
-        scope = Scope(df.schema, self.missing, self.functions)
+        schema = df.schema
+        scope = Scope(schema, self.missing, self.functions)
         later: list[tuple[Callable, str, tuple]] = []
         for r, flag in rules:
-            fired = F.col(flag)
+            fired, before = F.col(flag) if isinstance(flag, str) else flag, set(changes)
             for a in r.then:
                 # Later statements of a rule see what earlier ones wrote.
-                scope.replaced = {**{c: v for c, v in changes.items()}, **{f"{root}.{c}": v for root in self.roots for c, v in changes.items()}}
+                own = {c: v for c, v in changes.items() if c not in before}
+                scope.replaced = {**own, **{f"{root}.{c}": v for root in self.roots for c, v in own.items()}}
                 if isinstance(a, ir.Assign):
-                    self._set(changes, df.schema, a.path, fired, expression(a.value, scope))
+                    self._set(changes, schema, a.path, fired, expression(a.value, scope))
                 elif isinstance(a, ir.Append):
                     old, item = scope.column(a.path), F.array(expression(a.value, scope))
-                    self._set(changes, df.schema, a.path, fired, item if old is None else F.concat(F.coalesce(old, F.slice(item, 1, 0)), item))
+                    self._set(changes, schema, a.path, fired, item if old is None else F.concat(F.coalesce(old, F.slice(item, 1, 0)), item))
                 elif isinstance(a, ir.Retract):
                     changes[f"{HIDDEN}retracted_{a.target}"] = fired | changes.get(f"{HIDDEN}retracted_{a.target}", F.col(f"{HIDDEN}retracted_{a.target}"))
                 elif isinstance(a, ir.Log):
@@ -198,20 +213,31 @@ class Forward:
                     changes[f"{HIDDEN}log"] = F.when(fired, F.array_append(old, expression(a.message, scope).cast("string"))).otherwise(old)
                 elif isinstance(a, ir.Method):
                     if a.name.startswith("set") and a.args:
-                        self._set(changes, df.schema, f"{a.target}.{a.name[3:]}", fired, expression(a.args[0], scope))
+                        self._set(changes, schema, f"{a.target}.{a.name[3:]}", fired, expression(a.args[0], scope))
                     elif a.name in self.handlers:
                         later.append((self.handlers[a.name], flag, a.args))
                 elif a.name == "set" and a.name not in self.handlers:
-                    self._set(changes, df.schema, a.args[0].name, fired, expression(a.args[1], scope))
+                    self._set(changes, schema, a.args[0].name, fired, expression(a.args[1], scope))
                 elif a.name == "ActivateAgendaGroup":
-                    old = changes.get(f"{HIDDEN}agenda", F.col(f"{HIDDEN}agenda"))
+                    # The group in focus goes below the new one, and comes back when nothing of that fires.
+                    old, stack = (changes.get(c, F.col(c)) for c in (f"{HIDDEN}agenda", f"{HIDDEN}focus"))
                     changes[f"{HIDDEN}agenda"] = F.when(fired, expression(a.args[0], scope)).otherwise(old)
+                    changes[f"{HIDDEN}focus"] = F.when(fired, F.array_append(stack, old)).otherwise(stack)
                     for i, x in enumerate(self.rules):
                         if x.lock_on_active:
                             changes[f"{HIDDEN}lock{i}"] = ~fired & changes.get(f"{HIDDEN}lock{i}", F.col(f"{HIDDEN}lock{i}"))
                 elif a.name == "ScheduleRule":
                     old = changes.get(f"{HIDDEN}scheduled", F.col(f"{HIDDEN}scheduled"))
-                    changes[f"{HIDDEN}scheduled"] = F.when(fired, F.array_append(old, expression(a.args[1], scope).cast("string"))).otherwise(old)
+                    name = expression(a.args[1], scope).cast("string")
+                    changes[f"{HIDDEN}scheduled"] = F.when(fired, F.array_append(old, name)).otherwise(old)
+                    timers = changes.get(f"{HIDDEN}timers", F.col(f"{HIDDEN}timers"))
+                    timer = F.struct(expression(a.args[0], scope).cast("long").alias("ms"), name.alias("rule"))
+                    changes[f"{HIDDEN}timers"] = F.when(fired, F.array_append(timers, timer)).otherwise(timers)
+                elif a.name in ("Insert", "InsertLogical"):
+                    old = changes.get(f"{HIDDEN}inserts", F.col(f"{HIDDEN}inserts"))
+                    kind, id_, value = [*(expression(x, scope).cast("string") for x in a.args), F.lit(None).cast("string")][:3]
+                    fact = F.struct(kind.alias("kind"), id_.alias("id"), value.alias("value"), F.lit(r.name).alias("rule"), F.lit(a.name == "InsertLogical").alias("logical"))
+                    changes[f"{HIDDEN}inserts"] = F.when(fired, F.array_append(old, fact)).otherwise(old)
                 elif a.name in ("CompleteWorkflow", "SetWorkflowData"):
                     old = changes.get(f"{HIDDEN}workflow", F.col(f"{HIDDEN}workflow"))
                     key, value = (F.concat(expression(a.args[0], scope), F.lit(".complete")), F.lit("true")) if a.name == "CompleteWorkflow" else (expression(a.args[0], scope), expression(a.args[1], scope).cast("string"))
@@ -220,7 +246,8 @@ class Forward:
                     later.append((self.handlers[a.name], flag, a.args))
                 elif a.name in library.ACTIONS:
                     *given, out = a.args
-                    self._set(changes, df.schema, out.name, fired, library.ACTIONS[a.name](*[expression(x, scope) for x in given]))
+                    given = [x.value if i in library.PLAIN.get(a.name, ()) and isinstance(x, ir.Lit) else expression(x, scope) for i, x in enumerate(given)]
+                    self._set(changes, schema, out.name, fired, library.ACTIONS[a.name](*given))
                 else:
                     raise BindError(f"no handler for action {a.name!r}")
         df = df.withColumns(changes) if changes else df
@@ -229,6 +256,11 @@ class Forward:
             df = handler(df, flag, [expression(x, scope) for x in args], [getattr(x, "name", None) for x in args])
         return df
 
+    def matches(self, df: DataFrame, rule: ir.Rule) -> DataFrame:
+        """Rows on which a rule's condition holds."""
+        prepared, c = self._prepare(df, rule.when, {})
+        return prepared.filter(condition(c, Scope(prepared.schema, self.missing, self.functions))).select(*[F.col(f"`{x}`") for x in df.columns])
+
     # -- cycles
 
     def start(self, df: DataFrame, agenda: str = "MAIN") -> DataFrame:
@@ -236,11 +268,27 @@ class Forward:
         hidden |= {f"{HIDDEN}lock{i}": F.lit(False) for i, r in enumerate(self.rules) if r.lock_on_active}
         hidden |= {f"{HIDDEN}retracted_{a.target}": F.lit(False) for r in self.rules for a in r.then if isinstance(a, ir.Retract)}
         text = F.array().cast("array<string>")
+        hidden |= {f"{HIDDEN}focus": text, f"{HIDDEN}timers": F.array().cast(TIMERS), f"{HIDDEN}inserts": F.array().cast(INSERTS)}
         hidden |= {f"{HIDDEN}agenda": F.lit(agenda), f"{HIDDEN}log": text, f"{HIDDEN}scheduled": text, f"{HIDDEN}workflow": F.map_from_arrays(text, text)}
         return df.withColumns(hidden)
 
-    def cycle(self, df: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
-        """One pass over the rules; later ones see what earlier ones wrote. Adds `_rl_fired`: whether any fired."""
+    def once(self, df: DataFrame, rules: list[ir.Rule]) -> DataFrame:
+        """One pass over plain rules, with nothing remembered: a projection for each run of them."""
+        made: dict = {}
+        for run in fused(rules) if self.fuse else [[r] for r in rules]:
+            conditions = []
+            for r in run:
+                df, c = self._prepare(df, r.when, made)
+                conditions.append(c)
+            scope = Scope(df.schema, self.missing, self.functions)
+            df = self._effect(df, [(r, condition(c, scope)) for r, c in zip(run, conditions)])
+        return df.drop(*made.values())
+
+    def cycle(self, df: DataFrame, as_of: dt.datetime | None = None, guards: dict[str, Column] | None = None) -> DataFrame:
+        """One pass over the rules; later ones see what earlier ones wrote. Adds `_rl_fired`: whether any fired.
+
+        guards: only rules named there fire, and only where the guard holds, whatever group is in focus.
+        """
         made: dict = {}
         active = [r for r in self.rules if effective(r, as_of)]
         flags, used = [], set()
@@ -257,7 +305,10 @@ class Forward:
                     on = on & (F.col(f"{HIDDEN}n{i}") == 0)
                 if r.lock_on_active:
                     on = on & ~F.col(f"{HIDDEN}lock{i}")
-                on = on & (F.col(f"{HIDDEN}agenda") == (r.agenda_group or "MAIN"))
+                if guards is None:
+                    on = on & (F.col(f"{HIDDEN}agenda") == (r.agenda_group or "MAIN"))
+                else:
+                    on = on & guards.get(r.name, F.lit(False))
                 for t in {p.split(".")[0] for p in ir.paths(r.when)}:
                     if f"{HIDDEN}retracted_{t}" in df.columns:
                         on = on & ~F.col(f"{HIDDEN}retracted_{t}")
@@ -287,25 +338,69 @@ class Forward:
     def run(self, df: DataFrame, as_of: dt.datetime | None = None, max_cycles: int = MAX_CYCLES, agenda: str = "MAIN", audit: bool = False) -> DataFrame:
         """df after all cycles. audit: keeps fires_<rule> (times it fired on the row), log, agenda and retracted_<type>.
 
-        Rules that cannot see each other's writes a cycle later need one cycle and no job. Otherwise each cycle's table
-        is checkpointed (lineage does not grow) and rows that fired nothing are done.
+        Rules that cannot see each other's writes a cycle later need one cycle and no job; if they only set fields and
+        nothing is audited, that is a projection without flags or counters. Otherwise each cycle's table is written to the
+        shared folder (lineage does not grow), and only rows on which a rule fired go on to the next cycle: the others
+        are as they will stay, as rules see nothing but their row and tables that do not change. Handlers may look at
+        other rows, so with handlers all rows go on. Where nothing of the group in focus fires, the group below it
+        comes back into focus.
         """
-        columns, now = df.columns, self.start(df, agenda)
-        if settles_at_once([r for r in self.rules if effective(r, as_of)]):
+        active = [r for r in self.rules if effective(r, as_of)]
+        at_once = settles_at_once(active)
+        if at_once and not audit and not self.handlers and agenda == "MAIN" and plain(active):
+            out = self.once(df, active)
+            return out.select(*[F.col(f"`{c}`") for c in out.columns if not c.startswith(HIDDEN)])
+        now = self.start(df, agenda)
+        if at_once:
             now = self.cycle(now, as_of)
         else:
+            done = []
             for _ in range(max_cycles):
-                now = checkpointed(self.cycle(now, as_of))
-                if now.filter(f"{HIDDEN}fired").isEmpty():
+                now = table(self._refocus(self.cycle(now, as_of)), "cycle")
+                fired = now.filter(f"{HIDDEN}fired")
+                if not self.handlers:
+                    done.append(now.filter(f"not {HIDDEN}fired"))
+                    now = fired
+                if fired.isEmpty():
                     break
+            for part in done:
+                now = now.unionByName(part, allowMissingColumns=True)
         keep = [c for c in now.columns if not c.startswith(HIDDEN)]
         out = [F.col(f"`{c}`") for c in keep]
         if audit:
             out += [F.col(f"{HIDDEN}n{i}").alias(f"fires_{r.name}") for i, r in enumerate(self.rules)]
-            out += [F.col(f"{HIDDEN}log").alias("log"), F.col(f"{HIDDEN}agenda").alias("agenda"), F.col(f"{HIDDEN}workflow").alias("workflow"), F.col(f"{HIDDEN}scheduled").alias("scheduled")]
+            out += [F.col(f"{HIDDEN}{c}").alias(c) for c in AUDIT]
             out += [F.col(c).alias(c[len(HIDDEN) :]) for c in now.columns if c.startswith(f"{HIDDEN}retracted_")]
         return now.select(*out)
 
+    def _refocus(self, df: DataFrame) -> DataFrame:
+        """Rows on which nothing fired go back to the group that was in focus before, and on to another cycle."""
+        if not any(isinstance(a, ir.Do) and a.name == "ActivateAgendaGroup" for r in self.rules for a in r.then):
+            return df
+        back = ~F.col(f"{HIDDEN}fired") & (F.size(f"{HIDDEN}focus") > 0)
+        stack, top = F.col(f"{HIDDEN}focus"), F.element_at(f"{HIDDEN}focus", -1)
+        return df.withColumns(
+            {
+                f"{HIDDEN}agenda": F.when(back, top).otherwise(F.col(f"{HIDDEN}agenda")),
+                f"{HIDDEN}focus": F.when(back, F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(stack),
+                f"{HIDDEN}fired": F.col(f"{HIDDEN}fired") | back,
+            }
+        )
+
+    def due(self, audited: DataFrame, elapsed_ms: int, as_of: dt.datetime | None = None) -> DataFrame:
+        """Runs the rules that ScheduleRule(ms, rule) put off by no more than elapsed_ms, on the rows that did, once each.
+
+        audited: what run(audit=True) gave; timers that are not due stay in its column timers.
+        """
+        extra = [c for c in audited.columns if c.startswith(("fires_", "retracted_"))]
+        df = self.start(audited.withColumnRenamed("timers", f"{HIDDEN}pending").drop(*AUDIT, *extra))
+        ready = lambda x: x["ms"] <= elapsed_ms
+        named = lambda name: F.exists(f"{HIDDEN}pending", lambda x: ready(x) & (x["rule"] == name))
+        guards = {r.name: named(r.name) for r in self.rules}
+        out = self.cycle(df, as_of, guards)
+        left = F.concat(F.filter(f"{HIDDEN}pending", lambda x: ~ready(x)), F.col(f"{HIDDEN}timers"))
+        return out.select(*[F.col(f"`{c}`") for c in out.columns if not c.startswith(HIDDEN)], left.alias("timers"))
+
 
 def _renamed(c, old: str, new: str):
     if isinstance(c, ir.Path):
@@ -319,8 +414,5 @@ def _renamed(c, old: str, new: str):
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder; where the session has none (tests), to a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ruleloom-"))
-    return df.checkpoint()
+    """df as a table in the shared folder."""
+    return table(df, "checkpoint")

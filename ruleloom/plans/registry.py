@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aggregates, library
 from ..lang.parser import parse_condition, parse_program, parse_rules
-from ..operators import joins, windows
-from ..operators.datastream import DataStream, json_number
-from ..sources import memory
-from ..streaming import watermark
-from . import backward, catalog, compiler, tms
+from ..operators import correlation, joins, windows
+from ..operators.datastream import DataStream, json_flag, json_number, json_text
+from ..sources import memory, streams
+from ..streaming import state, watermark
+from . import backward, catalog, compiler, patterns, tms
 from .forward import Forward
 
 QUERIES: dict = {}
@@ -61,11 +62,13 @@ def predicate(name: str, table: str, text: str, columns: list[str], sql: str) ->
 predicate("pred_eq_ne", "orders", 'Order.o_orderstatus == "F" && Order.o_orderpriority != "5-LOW"', ["o_orderkey", "o_orderstatus"], "o_orderstatus IS NOT DISTINCT FROM 'F' AND o_orderpriority IS DISTINCT FROM '5-LOW'")
 predicate("pred_ordering", "lineitem", "l_quantity >= 45 && l_discount < 0.03 && l_tax <= 0.05 && l_extendedprice > 1000", ["l_orderkey", "l_linenumber"], "l_quantity >= 45 AND l_discount < 0.03 AND l_tax <= 0.05 AND l_extendedprice > 1000")
 predicate("pred_string_ops", "part", 'p_brand startsWith "Brand#1" || p_type endsWith "STEEL" || p_name contains "an"', ["p_partkey", "p_name"], "starts_with(p_brand, 'Brand#1') OR ends_with(p_type, 'STEEL') OR contains(p_name, 'an')")
+predicate("pred_not_contains", "part", 'p_name not_contains "an" && p_type contains "TIN"', ["p_partkey"], "NOT contains(p_name, 'an') AND contains(p_type, 'TIN')")
+predicate("pred_text_arith", "orders", 'o_orderkey % 7 == 3 && o_orderstatus + "-" + o_orderpriority == "F-5-LOW"', ["o_orderkey"], "o_orderkey % 7 = 3 AND o_orderstatus || '-' || o_orderpriority = 'F-5-LOW'")
 predicate("pred_in", "customer", 'c_mktsegment in ["BUILDING", "MACHINERY"]', ["c_custkey"], "c_mktsegment IN ('BUILDING', 'MACHINERY')")
 predicate("pred_wildcard", "part", 'p_brand matches "Brand#?1*"', ["p_partkey", "p_brand"], "regexp_matches(p_brand, '^Brand#.1.*$')")
 predicate("pred_logic", "orders", '!(o_orderstatus == "F") && (o_totalprice > 100000 || o_orderpriority == "1-URGENT") || o_custkey == 7', ["o_orderkey"], "(NOT (o_orderstatus = 'F') AND (o_totalprice > 100000 OR o_orderpriority = '1-URGENT')) OR o_custkey = 7")
 predicate("pred_arith", "lineitem", "l_extendedprice * (1 - l_discount) > l_quantity * 1200 + -5 % 3", ["l_orderkey", "l_linenumber"], "l_extendedprice * (1 - l_discount) > l_quantity * 1200 + -5 % 3")
-predicate("pred_test_function", "customer", 'test(isNumeric(c_custkey)) && length(c_name) > 10 && inRange(c_acctbal, 0, 5000) == true', ["c_custkey"], "strlen(c_name) > 10 AND c_acctbal BETWEEN 0 AND 5000")
+predicate("pred_test_function", "pages", 'test(isUrl(url)) && length(html) > 500 && inRange(page_id, 3, 200) == true', ["page_id"], "(starts_with(url, 'http://') OR starts_with(url, 'https://') OR starts_with(url, 'ftp://')) AND strlen(html) > 500 AND page_id BETWEEN 3 AND 200")
 
 
 @query("""SELECT o_orderkey, v IS NULL AS is_null, v IS DISTINCT FROM 'F' AS not_f FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS v FROM orders)""")
@@ -183,9 +186,10 @@ def agg_percentile_nearest(s, d):
     return events(s, d).key_by("user_id").aggregate(p90=aggregates.percentile(F.col("value"), 90))
 
 
-@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("""SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""")
 def agg_count_by(s, d):
-    return events(s, d).key_by("user_id", "event_type").aggregate(n=F.count(F.lit(1)))
+    pairs = F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return events(s, d).key_by("user_id").count_by("event_type").select("user_id", F.array_join(pairs, ",").alias("counts"))
 
 
 @query("SELECT event_type, arg_min(event_id, event_id) AS first_id, arg_max(event_id, event_id) AS last_id FROM events GROUP BY event_type")
@@ -299,7 +303,14 @@ def win_recent(s, d):
     return windows.recent(t(s, d, "events"), "ts", DAY, F.lit("2024-01-20").cast("timestamp")).select("event_id")
 
 
-@query()
+#: Events of a user come in order of time, so a window opens at the first event that the last one does not reach.
+FIRST_FIT = f"""WITH RECURSIVE e AS (SELECT user_id, (epoch_us(ts) // 1000) AS ms FROM events),
+w AS (SELECT user_id, min(ms) AS window_start FROM e GROUP BY 1 UNION ALL
+SELECT user_id, nxt FROM (SELECT w.user_id, (SELECT min(ms) FROM e WHERE e.user_id = w.user_id AND ms >= w.window_start + {DAY}) AS nxt FROM w) WHERE nxt IS NOT NULL),
+f AS (SELECT w.user_id, window_start, window_start + {DAY} AS window_end, count(*) AS count FROM w JOIN e ON e.user_id = w.user_id AND ms >= window_start AND ms < window_start + {DAY} GROUP BY ALL) """
+
+
+@query(FIRST_FIT + "SELECT * FROM f")
 def win_first_fit(s, d):
     return windows.first_fit(t(s, d, "events"), "ts", DAY, "user_id", "event_id")
 
@@ -628,10 +639,10 @@ def fn_collection(s, d):
 
 
 @query(r"""SELECT page_id, starts_with(url, 'http://') OR starts_with(url, 'https://') OR starts_with(url, 'ftp://') AS u, regexp_full_match('a' || page_id || '@x.org', '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$') AS e,
-false AS p, page_id BETWEEN 3 AND 9 AS r, true AS n, trim(url) = '' AS empty FROM pages""")
+length(regexp_replace(url, '[^0-9]', '', 'g')) BETWEEN 10 AND 15 AS p, page_id BETWEEN 3 AND 9 AS r, regexp_full_match(right(url, 2), '[0-9]+') AS n, trim(url) = '' AS empty FROM pages""")
 def fn_validation(s, d):
     k, u = F.col("page_id"), F.col("url")
-    return t(s, d, "pages").select("page_id", FN["isUrl"](u).alias("u"), FN["isEmail"](F.concat(F.lit("a"), k, F.lit("@x.org"))).alias("e"), FN["isPhone"](F.lit("12-34")).alias("p"), FN["inRange"](k, F.lit(3), F.lit(9)).alias("r"), FN["isNumeric"](k).alias("n"), FN["isEmpty"](u).alias("empty"))
+    return t(s, d, "pages").select("page_id", FN["isUrl"](u).alias("u"), FN["isEmail"](F.concat(F.lit("a"), k, F.lit("@x.org"))).alias("e"), FN["isPhone"](u).alias("p"), FN["inRange"](k, F.lit(3), F.lit(9)).alias("r"), FN["isNumeric"](F.right(u, F.lit(2))).alias("n"), FN["isEmpty"](u).alias("empty"))
 
 
 # -- goals -------------------------------------------------------------------------------------------------------------
@@ -774,14 +785,6 @@ def stream_rules_per_window(s, d):
     return Forward(parse_rules(text)).run(events(s, d).tumbling(DAY).facts("value")).select("WindowStartTime", "state")
 
 
-@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM events")
-def state_running_total(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t(s, d, "events").select("event_id", r(F.sum("value").over(w)).alias("running"))
-
-
 @query(f"SELECT event_id FROM events WHERE event_type = 'click' AND (epoch_us(ts) // 1000) // {10 * 60_000} = (epoch_us(TIMESTAMP '2024-01-10 12:00:00') // 1000) // {10 * 60_000} OR event_id < 0")
 def stream_pattern(s, d):
     """A stream pattern's source, type and window as filters over the stream's table."""
@@ -789,3 +792,534 @@ def stream_pattern(s, d):
     at = F.lit("2024-01-10 12:00:00").cast("timestamp")
     e = windows.tumbling(t(s, d, p.stream).filter(F.col("event_type") == p.type), "ts", p.window_ms)
     return e.filter(F.col("window_start") == windows.millis(at) - F.pmod(windows.millis(at), F.lit(p.window_ms))).select("event_id")
+
+
+@query(f"""SELECT l.event_id AS view_id, r.event_id AS buy_id FROM events l JOIN events r ON l.user_id = r.user_id AND abs((epoch_us(l.ts) // 1000) - (epoch_us(r.ts) // 1000)) <= {HOUR * 3}
+WHERE l.event_type = 'view' AND r.event_type = 'purchase' AND l.value > 20 AND r.value > l.value""")
+def stream_correlation(s, d):
+    text = 'v: view from stream("events") over window(3 hours, sliding) && b: purchase from stream("events") over window(3 hours, sliding) && v.user_id == b.user_id && v.value > 20 && b.value > v.value'
+    return correlation.correlate(text, {"events": t(s, d, "events")}).select(F.col("v_event_id").alias("view_id"), F.col("b_event_id").alias("buy_id"))
+
+
+@query(f"""SELECT a.event_id AS a_id, b.event_id AS b_id, round(a.value + b.value, 4) AS total, CASE WHEN true THEN 'pair' END AS kind FROM events a JOIN events b
+ON a.user_id = b.user_id AND (epoch_us(a.ts) // 1000) // {HOUR * 2} = (epoch_us(b.ts) // 1000) // {HOUR * 2} WHERE a.event_type = 'click' AND b.event_type = 'purchase'""")
+def stream_rules(s, d):
+    text = """rule "Pair" { when a: click from stream("events") over window(2 hours, tumbling) && b: purchase from stream("events") over window(2 hours, tumbling) && a.user_id == b.user_id
+    then Match.total = a.value + b.value; Match.kind = "pair"; }"""
+    out = correlation.run_rules(parse_rules(text), {"events": t(s, d, "events")})["Pair"]
+    return out.select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), r("total").alias("total"), "kind")
+
+
+# -- streams that run --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, upper(event_type) AS kind FROM events WHERE value > 30")
+def stream_source_and_sink(s, d):
+    """Events read as a running stream, handed to a function batch by batch."""
+    source = streams.read_events(s, f"{d}/events.parquet*")
+    return streams.drained(source.filter("value > 30"), each=lambda b: b.select("event_id", F.upper("event_type").alias("kind")))
+
+
+@query(f"SELECT event_type, ((epoch_us(ts) // 1000) // {DAY}) * {DAY} AS window_start, count(*) AS n FROM events GROUP BY ALL")
+def stream_windowed_count(s, d):
+    source = streams.read_events(s, f"{d}/events.parquet*")
+    out = source.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return streams.drained(out, mode="complete").select("event_type", windows.millis(F.col("w.start")).alias("window_start"), "n")
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 3) AS running, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n FROM events")
+def state_running_total(s, d):
+    """A stateful operator over a running stream: typed state for each user, whole batches at a time."""
+
+    def step(held, rows):
+        rows = rows.sort_values("event_id")
+        total, n = held or (0.0, 0)
+        running = total + rows["value"].cumsum()
+        rows = rows.assign(running=running, n=n + np.arange(1, len(rows) + 1))
+        return (float(running.iloc[-1]), n + len(rows)), rows[["event_id", "running", "n"]]
+
+    source = streams.read_events(s, f"{d}/events.parquet*").select("user_id", "event_id", "value")
+    out = streams.drained(state.stateful_batches(source, "user_id", step, "event_id long, running double, n long", "total double, n long"))
+    return out.select("event_id", r("running", 3).alias("running"), "n")
+
+
+def _store(s, d):
+    n = t(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"), F.col("n_regionkey").alias("region"))
+    store = state.StateTable.empty(s).put(n.filter("region < 3"), now=1000, ttl_ms=500).put(n.filter("region >= 3"), now=1000)
+    return store, n
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_regionkey = 4 THEN lower(n_name) WHEN n_regionkey = 0 THEN 'again' ELSE n_name END AS value
+FROM nation WHERE n_regionkey IN (0, 3, 4)""")
+def state_put_update_ttl(s, d):
+    """What was put with a time to live is over at 1500; an update does not prolong it, a new put does."""
+    store, n = _store(s, d)
+    store = store.update(n.filter("region = 4").withColumn("value", F.lower("value")), now=1400)
+    store = store.update(n.filter("region = 1"), now=1400).put(n.filter("region = 0").withColumn("value", F.lit("again")), now=1400, ttl_ms=500)
+    return store.get(n, now=1500)
+
+
+@query("SELECT count(*) FILTER (n_regionkey <> 2 AND n_regionkey <> 4) AS entries, count(*) FILTER (n_regionkey < 2) AS expired FROM nation")
+def state_delete_and_statistics(s, d):
+    store, n = _store(s, d)
+    return store.delete(n.filter("region in (2, 4)").select("key")).statistics(now=1600)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS value FROM nation WHERE n_regionkey >= 3")
+def state_snapshot_restore(s, d):
+    from ..storage import shared_path
+
+    store, n = _store(s, d)
+    root = shared_path(s, "snapshots")
+    for number in range(3):
+        (store if number < 2 else store.cleanup(now=2000)).snapshot(root, number, keep=2)
+    kept = state.snapshots(s, root)
+    return state.StateTable.restore(s, kept[-1]).live(2000).select("key", "value").filter(F.lit(len(kept) == 2))
+
+
+# -- more of streams and windows ---------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, json_extract_string(x, '$.name') AS name, CAST(json_extract(x, '$.ok') AS BOOLEAN) AS ok FROM (SELECT event_id, '{\"name\": \"' || event_type || '\", \"ok\": ' || (value > 50) || '}' AS x FROM events)")
+def json_text_and_flag(s, d):
+    x = F.concat(F.lit('{"name": "'), F.col("event_type"), F.lit('", "ok": '), (F.col("value") > 50).cast("string"), F.lit("}"))
+    return t(s, d, "events").select("event_id", json_text(x, "name").alias("name"), json_flag(x, "ok").alias("ok"))
+
+
+@query("SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 40")
+def recent_events(s, d):
+    return events(s, d).recent(40).select("event_id", "value").df
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1")
+def ds_for_each(s, d):
+    seen = []
+    events(s, d).filter("event_type = 'purchase'").for_each(lambda df: seen.append(df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))))
+    return seen[0]
+
+
+@query(f"SELECT event_type, ((epoch_us(ts) // 1000) // {DAY}) * {DAY} AS window_start, min(value) AS value FROM events GROUP BY ALL")
+def win_reduce_keyed(s, d):
+    return events(s, d).tumbling(DAY, "event_type").reduce(lambda a, b: F.least(a, b), F.lit(1e300), F.col("value"))
+
+
+@query(f"""SELECT ((epoch_us(ts) // 1000) // {DAY}) * {DAY} AS window_start, ((epoch_us(ts) // 1000) // {DAY}) * {DAY} + {DAY} AS window_end, count(*) AS count, max(epoch_us(ts) // 1000) AS latest,
+((epoch_us(ts) // 1000) // {DAY}) * {DAY} + {DAY} <= epoch_us(TIMESTAMP '2024-01-10') // 1000 AS is_expired FROM events GROUP BY ALL""")
+def win_described(s, d):
+    return windows.described(events(s, d).tumbling(DAY).df, "ts", int(dt.datetime(2024, 1, 10, tzinfo=dt.timezone.utc).timestamp() * 1000))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06'")
+def win_in_range(s, d):
+    at = lambda day: int(dt.datetime(2024, 1, day, tzinfo=dt.timezone.utc).timestamp() * 1000)
+    return windows.in_range(t(s, d, "events"), "ts", at(5), at(6)).select("event_id")
+
+
+@query(f"WITH w AS (SELECT ((epoch_us(ts) // 1000) // {DAY}) AS k, count(*) AS n, sum(value) AS s FROM events GROUP BY 1) SELECT count(*) AS windows, CAST(sum(n) AS BIGINT) AS events, round(sum(s), 3) AS total, round(min(s), 3) AS least, round(max(s), 3) AS largest FROM w")
+def win_across(s, d):
+    return windows.across(events(s, d).tumbling(DAY).df, "value").select("windows", "events", *[r(c, 3).alias(c) for c in ("total", "least", "largest")])
+
+
+@query(f"SELECT DISTINCT ((epoch_us(ts) // 1000) // {HOUR}) * {HOUR} AS window_start FROM events WHERE event_type = 'error'")
+def win_with_event_type(s, d):
+    return windows.with_event_type(events(s, d).tumbling(HOUR).df, "error")
+
+
+def _opened(s, d):
+    return windows.first_fit(t(s, d, "events"), "ts", DAY, "user_id", "event_id")
+
+
+@query(FIRST_FIT + "SELECT user_id, window_start FROM f WHERE window_end > epoch_us(TIMESTAMP '2024-01-29') // 1000")
+def win_active(s, d):
+    return windows.active(_opened(s, d), int(dt.datetime(2024, 1, 29, tzinfo=dt.timezone.utc).timestamp() * 1000)).select("user_id", "window_start")
+
+
+@query(FIRST_FIT + "SELECT user_id, max(window_start) AS window_start, arg_max(count, window_start) AS count FROM f GROUP BY 1")
+def win_latest(s, d):
+    return windows.latest(_opened(s, d), "user_id").select("user_id", "window_start", "count")
+
+
+@query("SELECT count(*) AS events FROM events")
+def win_total_events(s, d):
+    return windows.total_events(_opened(s, d))
+
+
+@query("SELECT event_type, round(max(value) - min(value), 4) AS spread FROM events GROUP BY 1")
+def agg_custom_stream(s, d):
+    aggregates.register_stream("spread", lambda c: F.max(c.cast("double")) - F.min(c.cast("double")))
+    return events(s, d).key_by("event_type").aggregate(spread=r(aggregates.STREAM["spread"](F.col("value"))))
+
+
+@query("SELECT o_orderkey, coalesce(max(l_quantity) - min(l_quantity), 0) AS result FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def accumulate_custom(s, d):
+    aggregates.register_accumulate("spread", lambda c: F.coalesce(F.max(c.cast("double")) - F.min(c.cast("double")), F.lit(0.0)))
+    text = 'rule "A" no-loop { when accumulate(LineItem($v: l_quantity), spread($v)) then Order.result = LineItem_spread; }'
+    return Forward(parse_rules(text), roots=("Order",), facts={"LineItem": (t(s, d, "lineitem"), {"l_orderkey": "o_orderkey"})}).run(t(s, d, "orders")).select("o_orderkey", "result")
+
+
+@query("SELECT n_nationkey, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS keys FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def agg_collect(s, d):
+    keys = F.array_join(F.transform(F.array_sort(aggregates.ACCUMULATE["collect"](F.col("s_suppkey"))), lambda x: x.cast("string")), ",")
+    return t(s, d, "nation").join(t(s, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey").agg(keys.alias("keys"))
+
+
+@query(f"""SELECT l.event_id AS l_event_id, r.event_id AS r_event_id, greatest(epoch_us(l.ts), epoch_us(r.ts)) // 1000 AS at FROM events l JOIN events r ON l.user_id = r.user_id
+AND l.ts > r.ts AND (epoch_us(l.ts) // 1000) - (epoch_us(r.ts) // 1000) <= {6 * HOUR} WHERE l.event_type = 'view' AND r.event_type = 'purchase'""")
+def sjoin_after_time(s, d):
+    a, b = _sides(s, d)
+    return joins.interval_join(a, b, ["user_id"], "ts", 6 * HOUR, order="after").select("l_event_id", "r_event_id", windows.millis(F.col("join_ts")).alias("at"))
+
+
+@query(f"""WITH p AS (SELECT l.event_id AS a, r.event_id AS b FROM events l JOIN events r ON l.user_id = r.user_id AND abs((epoch_us(l.ts) // 1000) - (epoch_us(r.ts) // 1000)) <= {HOUR} WHERE l.event_type = 'view' AND r.event_type = 'purchase')
+SELECT 'views to purchases' AS join, count(*) AS pairs, count(DISTINCT a) AS left_events, count(DISTINCT b) AS right_events FROM p""")
+def sjoin_manager(s, d):
+    m, (a, b) = joins.JoinManager(), _sides(s, d)
+    m.register("views to purchases", "views", "purchases", keys=["user_id"], time="ts", ms=HOUR)
+    m.register("dropped", "views", "views", keys=["user_id"], time="ts", ms=HOUR)
+    m.unregister("dropped")
+    return m.statistics({"views": a, "purchases": b}).filter(F.lit(m.of_stream("views") == ["views to purchases"]))
+
+
+def _arrivals(s, d):
+    return t(s, d, "events").withColumn("arrival", F.expr("event_id div 50 * 50 + (event_id * 17) % 50"))
+
+
+@query(LATE.replace(f" - {HOUR} AS wm", " AS wm") + "SELECT event_id, wm AS watermark_ms, is_late FROM f")
+def wm_ascending(s, d):
+    return watermark.flagged_by(_arrivals(s, d), "ts", "ascending", "arrival", bucket=1000).select("event_id", "watermark_ms", "is_late")
+
+
+@query(f"""WITH e AS (SELECT *, (epoch_us(ts) // 1000) AS ms, {ARRIVAL} // 20 AS turn FROM events), m AS (SELECT turn, max(ms) AS m FROM e GROUP BY 1),
+w AS (SELECT turn, max(m) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm FROM m) SELECT event_id, wm AS watermark_ms, coalesce(ms < wm, false) AS is_late FROM e JOIN w USING (turn)""")
+def wm_periodic(s, d):
+    return watermark.flagged_by(_arrivals(s, d), "ts", "periodic", "arrival", interval=20, bucket=100).select("event_id", "watermark_ms", "is_late")
+
+
+@query("SELECT event_id, CAST(NULL AS BIGINT) AS watermark_ms, false AS is_late FROM events")
+def wm_custom(s, d):
+    return watermark.flagged_by(_arrivals(s, d), "ts", "custom", "arrival").select("event_id", "watermark_ms", "is_late")
+
+
+@query(LATE + f"SELECT ms // {HOUR} * {HOUR} AS window_start, count(*) FILTER (NOT is_late) AS first, count(*) FILTER (is_late) AS revisions, round(sum(value), 4) AS total FROM f GROUP BY 1")
+def wm_recompute_windows(s, d):
+    return watermark.recomputed(_late(s, d), "ts", HOUR, total=r(F.sum("value")))
+
+
+# -- more of rules -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'order ' || o_orderkey ELSE '' END AS log FROM orders")
+def fwd_log(s, d):
+    text = 'rule "L" no-loop { when o_totalprice > 100000 then Log("order " + o_orderkey); }'
+    return Forward(parse_rules(text)).run(t(s, d, "orders").withColumn("o_orderkey", F.col("o_orderkey").cast("string")), audit=True).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.array_join("log", ",").alias("log"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 100000 THEN 'soon' END AS now_, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 150000 THEN 'checked' END AS later, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 100000 THEN 1 ELSE 0 END AS waiting FROM orders")
+def fwd_schedule(s, d):
+    """A rule put off by 5 s and one by an hour; after 10 s only the first has run."""
+    text = """rule "Now" no-loop { when o_orderstatus == "O" && o_totalprice > 100000 then now_ = "soon"; ScheduleRule(5000, "Later"); ScheduleRule(3600000, "Last"); }
+    rule "Later" no-loop agenda-group "timer" { when o_totalprice > 150000 then later = "checked"; }
+    rule "Last" no-loop agenda-group "timer" { when o_totalprice > 0 then later = "too late"; }"""
+    engine = Forward(parse_rules(text))
+    out = engine.due(engine.run(t(s, d, "orders").withColumn("later", F.lit(None).cast("string")), audit=True), 10_000)
+    return out.select("o_orderkey", "now_", "later", F.size("timers").alias("waiting"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'ship=ready,step.complete=true' ELSE '' END AS workflow FROM orders")
+def fwd_workflow_data(s, d):
+    text = 'rule "W" no-loop { when o_totalprice > 150000 then SetWorkflowData("ship", "ready"); CompleteWorkflow("step"); }'
+    out = Forward(parse_rules(text)).run(t(s, d, "orders"), audit=True)
+    pairs = F.transform(F.array_sort(F.map_entries("workflow")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return out.select("o_orderkey", F.array_join(pairs, ",").alias("workflow"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS n FROM orders")
+def fwd_lock_on_active(s, d):
+    """The rule stays true, but fires once for each time that its group comes into focus."""
+    text = """rule "Go" no-loop { when o_orderstatus == "O" then ActivateAgendaGroup("count"); }
+    rule "Count" lock-on-active agenda-group "count" { when n < 5 then n = n + 1; }"""
+    return Forward(parse_rules(text)).run(t(s, d, "orders").withColumn("n", F.lit(0))).select("o_orderkey", "n")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'a,b,a2,main' ELSE 'main' END AS trail FROM orders")
+def fwd_focus_stack(s, d):
+    """Group b comes into focus out of group a; when nothing of b is left to fire, a is in focus again, then MAIN."""
+    text = """rule "Start" salience 10 no-loop { when o_orderstatus == "O" then ActivateAgendaGroup("a"); }
+    rule "A" salience 5 no-loop agenda-group "a" { when o_totalprice > 0 then trail += "a"; ActivateAgendaGroup("b"); }
+    rule "B" no-loop agenda-group "b" { when o_totalprice > 0 then trail += "b"; step = 1; }
+    rule "A2" no-loop agenda-group "a" { when step == 1 then trail += "a2"; step = 2; }
+    rule "Main" no-loop { when step == 2 || o_orderstatus != "O" then trail += "main"; }"""
+    df = t(s, d, "orders").withColumns({"trail": F.array().cast("array<string>"), "step": F.lit(0)})
+    return Forward(parse_rules(text)).run(df).select("o_orderkey", F.array_join("trail", ",").alias("trail"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 1000 THEN 'on' END AS a, CAST(NULL AS VARCHAR) AS b FROM orders")
+def fwd_enabled(s, d):
+    kb = catalog.KnowledgeBase("kb")
+    kb.add_text('rule "On" no-loop { when o_totalprice > 1000 then a = "on"; } rule "Off" no-loop { when o_totalprice > 1000 then b = "off"; }')
+    kb.enable("Off", False)
+    return Forward(kb.by_salience()).run(t(s, d, "orders").withColumn("b", F.lit(None).cast("string"))).select("o_orderkey", "a", "b")
+
+
+@query("""WITH o AS (SELECT * FROM orders WHERE o_totalprice > 200000) SELECT 'Customer:' || o_custkey AS fact_id, CAST(max(o_orderpriority) AS VARCHAR) AS value, false AS explicit, count(*) AS reasons FROM o GROUP BY o_custkey""")
+def fwd_insert_logical(s, d):
+    text = 'rule "Big" no-loop { when o_totalprice > 200000 then InsertLogical("Customer", o_custkey, o_orderpriority); }'
+    facts, why = tms.inserted(Forward(parse_rules(text)).run(t(s, d, "orders"), audit=True), "o_orderkey")
+    return facts.join(why.groupBy("fact_id").agg(F.count(F.lit(1)).alias("reasons")), "fact_id")
+
+
+@query("""SELECT DISTINCT 'Customer:' || o_custkey AS fact_id FROM orders WHERE o_totalprice > 200000 AND o_orderstatus <> 'F'""")
+def tms_of_inserted_facts(s, d):
+    """Facts that rules inserted fall with the orders that they were inserted for."""
+    text = 'rule "Big" no-loop { when o_totalprice > 200000 then InsertLogical("Customer", o_custkey); }'
+    facts, why = tms.inserted(Forward(parse_rules(text)).run(t(s, d, "orders"), audit=True), "o_orderkey")
+    gone = t(s, d, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("record:"), F.col("o_orderkey").cast("string")).alias("fact_id"))
+    return tms.standing(facts, why, gone).select("fact_id")
+
+
+@query("SELECT count(*) AS explicit, (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) AS logical, (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) AS justifications, (SELECT count(DISTINCT o_custkey) FROM orders) + (SELECT count(DISTINCT c_nationkey) FROM customer) AS justified FROM orders")
+def tms_statistics(s, d):
+    facts, just, _ = _premises(s, d)
+    return tms.statistics(facts, just)
+
+
+@query("SELECT 'j' || o_orderkey AS just_id, 'c' || o_custkey AS fact_id, 's' || n_nationkey AS premise_id FROM orders JOIN nation ON n_name = CASE WHEN o_orderstatus = 'F' THEN 'FRANCE' ELSE 'CHINA' END WHERE o_totalprice > 250000")
+def tms_premises(s, d):
+    """Premises given as `field = value` meet the facts that are so."""
+    o = t(s, d, "orders").selectExpr("'j' || o_orderkey AS just_id", "'c' || o_custkey AS fact_id", "'n_name' AS field", "CASE WHEN o_orderstatus = 'F' THEN 'FRANCE' ELSE 'CHINA' END AS value", "o_totalprice")
+    facts = t(s, d, "nation").selectExpr("'s' || n_nationkey AS premise_id", "'n_name' AS field", "n_name AS value")
+    return tms.premises(o.filter("o_totalprice > 250000").select("just_id"), facts, o.drop("o_totalprice"))
+
+
+@query("SELECT rule, n AS fires FROM (SELECT 'Base' AS rule, count(*) AS n FROM orders UNION ALL SELECT 'Large', count(*) FROM orders WHERE o_totalprice > 150000 UNION ALL SELECT 'Urgent', count(*) FROM orders WHERE o_totalprice > 150000 AND o_orderpriority = '1-URGENT') ORDER BY fires DESC LIMIT 2")
+def fwd_most_fired(s, d):
+    return catalog.most_fired(Forward(parse_rules(CHAIN), roots=("Order",)).run(t(s, d, "orders").withColumn("score", F.lit(0)), audit=True), 2).select("rule", "fires")
+
+
+@query("SELECT 'Big' AS rule, count(*) AS records FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT 'Late', count(*) FROM orders WHERE o_orderpriority = '5-LOW'")
+def fwd_profile(s, d):
+    rules = parse_rules('rule "Big" { when o_totalprice > 200000 then a = 1; } rule "Late" { when o_orderpriority == "5-LOW" then b = 1; }')
+    return catalog.slowest(catalog.profile(Forward(rules), t(s, d, "orders")), 5).select("rule", "records")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'seen' END AS x, CASE WHEN o_totalprice > 250000 THEN 'yes' END AS y FROM orders")
+def fwd_modules(s, d):
+    """Rules of a module and those that it imports; what the other does not export is not run."""
+    text = """defmodule BASE { export: pub* }
+    defmodule APP { export: all import: BASE (rules *) }
+    ;; MODULE: BASE
+    rule "pubSeen" no-loop { when o_totalprice > 200000 then x = "seen"; }
+    rule "hidden" no-loop { when o_totalprice > 0 then x = "hidden"; }
+    ;; MODULE: APP
+    rule "own" no-loop { when o_totalprice > 250000 then y = "yes"; }"""
+    program, modules = parse_program(text), catalog.Modules()
+    for m in program.modules:
+        modules.define(m)
+    for x in program.rules:
+        modules.add_rule(x.module, x.name)
+    seen = modules.visible("APP")
+    return Forward([x for x in program.rules if x.name in seen]).run(t(s, d, "orders")).select("o_orderkey", "x", "y")
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 1.19, 4) AS gross, CASE WHEN o_totalprice * 1.19 > 200000 THEN 'tax' END AS flag FROM orders")
+def fwd_plugin_functions(s, d):
+    """Functions that a plugin brings, in conditions and in effects; built-in columns and Arrow batches alike."""
+    from pyspark.sql.functions import pandas_udf
+
+    doubled = pandas_udf(lambda x: x * 2, "double")
+    plugins = catalog.Plugins()
+    plugins.load(catalog.Plugin("tax", functions={"gross": lambda x: x * 1.19, "twice": lambda x: doubled(x.cast("double"))}))
+    text = 'rule "T" no-loop { when gross(o_totalprice) > 200000 && twice(o_totalprice) > 0 then flag = "tax"; } rule "G" no-loop { when o_orderkey >= 0 then gross = gross(o_totalprice); }'
+    return Forward(parse_rules(text), **plugins.parts()).run(t(s, d, "orders")).select("o_orderkey", r("gross").alias("gross"), "flag")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS day_, CASE WHEN o_orderkey % 2 = 0 THEN 'F' END AS found, 1 + (o_orderstatus = 'F')::INT AS n FROM orders")
+def fwd_more_actions(s, d):
+    text = """rule "X" no-loop { when o_orderkey >= 0 then FormatDate(at, "%d.%m.%Y", day_); ArrayFilter(marks, "_value", "F", only); ArrayLength(only, n); }
+    rule "Y" salience -1 no-loop { when o_orderkey % 2 == 0 then ArrayFind(marks, "_value", "F", found); }"""
+    df = t(s, d, "orders").withColumns({"at": F.date_format("o_orderdate", "yyyy-MM-dd"), "marks": F.array(F.lit("F"), F.col("o_orderstatus")), "only": F.array().cast("array<string>")})
+    return Forward(parse_rules(text)).run(df).select("o_orderkey", "day_", "found", "n")
+
+
+@query("SELECT o_orderkey, o_totalprice > 100000 AS base, CASE WHEN o_totalprice > 100000 THEN 100 END AS rate FROM orders")
+def fwd_globals(s, d):
+    g = memory.Globals()
+    g.define("limit", 90_000)
+    g.increment("limit", 10_000)
+    g.define("rate", 100, read_only=True)
+    df = t(s, d, "orders").withColumns({"limit": g.column("limit"), "fixed": g.column("rate")})
+    return Forward(parse_rules('rule "G" no-loop { when o_totalprice > limit then rate = fixed; base = true; }')).run(df.withColumn("base", F.lit(False))).select("o_orderkey", "base", "rate")
+
+
+def _ordered_by(strategy: str, want: str) -> None:
+    """The order of activation shows in which rule of equal salience writes last."""
+
+    def run(s, d):
+        rules = parse_rules("""rule "Wide" no-loop { when o_totalprice > 0 && o_orderkey >= 0 && o_custkey >= 0 then last = "Wide"; }
+        rule "Small" no-loop { when o_totalprice > 0 then last = "Small"; }
+        rule "First" salience 5 no-loop { when o_totalprice > 0 then last = "First"; }""")
+        return Forward(catalog.ordered(rules, strategy)).run(t(s, d, "orders"), max_cycles=1).select("o_orderkey", "last")
+
+    QUERIES[f"fwd_order_{strategy}"] = run
+    SQL[f"fwd_order_{strategy}"] = f"SELECT o_orderkey, '{want}' AS last FROM orders"
+
+
+for _s, _w in (("salience", "Small"), ("breadth", "Small"), ("depth", "Wide"), ("simplicity", "Wide"), ("complexity", "Small")):
+    _ordered_by(_s, _w)
+
+
+# -- more of functions -------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS a, CAST(month(o_orderdate) AS INTEGER) AS b, CAST(day(o_orderdate) AS INTEGER) AS c, CAST(day(o_orderdate) AS INTEGER) AS e,
+CASE WHEN day(o_orderdate) > 12 THEN CAST(day(o_orderdate) AS INTEGER) ELSE CAST(month(o_orderdate) AS INTEGER) END AS f FROM orders""")
+def fn_date_formats(s, d):
+    f = lambda p: F.date_format("o_orderdate", p)
+    return t(s, d, "orders").select("o_orderkey", FN["year"](f("yyyy-MM-dd HH:mm:ss")).alias("a"), FN["month"](f("yyyy/MM/dd")).alias("b"), FN["day"](f("dd/MM/yyyy")).alias("c"), FN["day"](f("yyyy-MM-dd")).alias("e"), FN["day"](f("MM/dd/yyyy")).alias("f"))
+
+
+@query("""WITH l AS (SELECT o_custkey, list_sort(list(o_orderkey)) AS k FROM orders GROUP BY 1)
+SELECT o_custkey, array_to_string(k, '+') AS joined, array_to_string(list_reverse(k), '+') AS back, k[-1] AS last, 'k,n' AS names, len(k) || ',' || o_custkey AS vals, 'a=1,b=3,c=4' AS merged FROM l""")
+def fn_objects(s, d):
+    k, A, text = F.col("keys"), library.ACTIONS, lambda c: F.transform(c, lambda x: x.cast("string"))
+    m = F.create_map(F.lit("n"), F.col("o_custkey").cast("string"), F.lit("k"), F.size(k).cast("string"))
+    one, two = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"), F.lit("c"), F.lit("4"))
+    merged = A["ObjectMerge"](one, two)
+    pairs = F.zip_with(A["ObjectKeys"](merged), A["ObjectValues"](merged), lambda a, b: F.concat_ws("=", a, b))
+    return _lists(s, d).select(
+        "o_custkey", FN["join"](text(k), F.lit("+")).alias("joined"), FN["join"](text(FN["reverse"](k)), F.lit("+")).alias("back"), library.ARRAY_FUNCTIONS["last"](k).alias("last"),
+        F.array_join(FN["keys"](m), ",").alias("names"), F.array_join(FN["values"](m), ",").alias("vals"), F.array_join(pairs, ",").alias("merged"),
+    )
+
+
+@query(r"""SELECT c_custkey, c_acctbal + 1 AS added, c_acctbal - 1 AS less, c_name LIKE '%7' AS re, c_acctbal BETWEEN 0 AND 100 AS rng, strlen(c_name) BETWEEN 5 AND 18 AS len, c_mktsegment <> '' AS some,
+regexp_full_match(c_mktsegment || '@x.org', '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$') AS mail, right(c_name, 1) AS last FROM customer""")
+def fn_validate_actions(s, d):
+    A, n, b = library.ACTIONS, F.col("c_name"), F.col("c_acctbal")
+    return t(s, d, "customer").select(
+        "c_custkey", A["Add"](b, F.lit(1)).alias("added"), A["Subtract"](b, F.lit(1)).alias("less"), A["ValidateRegex"](n, F.lit("7$")).alias("re"), A["ValidateRange"](b, F.lit(0), F.lit(100)).alias("rng"),
+        A["ValidateLength"](n, F.lit(5), F.lit(18)).alias("len"), A["ValidateNotEmpty"](F.col("c_mktsegment")).alias("some"), A["ValidateEmail"](F.concat("c_mktsegment", F.lit("@x.org"))).alias("mail"), FN["last"](n).alias("last"),
+    )
+
+
+@query("SELECT n_nationkey, true AS today, true AS now_, true AS date_, true AS time_ FROM nation")
+def fn_clock(s, d):
+    """The clock's functions give what the session's own clock gives, in their formats."""
+    A, day = library.ACTIONS, F.date_format(F.current_timestamp(), "yyyy-MM-dd")
+    return t(s, d, "nation").select("n_nationkey", (FN["today"]() == day).alias("today"), FN["now"]().rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d").alias("now_"), (A["CurrentDate"]() == day).alias("date_"), A["CurrentTime"]().rlike(r"^\d\d:\d\d:\d\d$").alias("time_"))
+
+
+# -- more of goals -----------------------------------------------------------------------------------------------------
+
+
+def _facts(s, d):
+    c, o, n, g = (t(s, d, x) for x in ("customer", "orders", "nation", "region"))
+    return patterns.Facts({
+        "customer": c.select("c_custkey", "c_nationkey", "c_mktsegment"), "order": o.select("o_orderkey", "o_custkey", "o_totalprice"), "nation": n.select("n_nationkey", "n_regionkey", "n_name"),
+        "region": g.select("r_regionkey", "r_name"), "blocked": c.filter("c_acctbal < 0").select("c_custkey"),
+    })
+
+
+@query("SELECT DISTINCT c_custkey AS c, n_name AS name FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 250000 AND c_acctbal >= 0")
+def bwd_text_conjunction(s, d):
+    return _facts(s, d).find("served(?c, ?name) WHERE order(?o, ?c, ?price) AND customer(?c, ?n) AND nation(?n, _, ?name) AND ?price > 250000 AND NOT blocked(?c)")
+
+
+@query("SELECT DISTINCT c_custkey AS c FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE (r_name = 'ASIA' OR c_mktsegment = 'BUILDING') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def bwd_text_nested(s, d):
+    return _facts(s, d).find("""quiet(?c) WHERE (customer(?c, ?n, "BUILDING") OR (inAsia(?c, ?n) WHERE customer(?c, ?n) AND nation(?n, ?r) AND region(?r, "ASIA")))
+    AND NOT (big(?c) WHERE order(?o, ?c, ?p) AND ?p > 200000)""")
+
+
+@query("SELECT count(*) AS value FROM (SELECT DISTINCT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'MACHINERY')")
+def bwd_text_aggregate(s, d):
+    return _facts(s, d).find('count(?o) WHERE order(?o, ?c) AND customer(?c, ?n, "MACHINERY")')
+
+
+for _f, _q in (("first", "min(c_acctbal)"), ("last", "max(c_acctbal)")):
+    goal_aggregate(_f, _q)
+
+
+@query("SELECT count(*) AS n, bool_and(c_acctbal > 5000) AS sound FROM (SELECT * FROM customer WHERE c_acctbal > 5000 LIMIT 5)")
+def bwd_max_solutions(s, d):
+    return _goals(s, d).solutions("Customer.vip == true", max_solutions=5).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("c_acctbal") > 5000).alias("sound"))
+
+
+@query("SELECT c_custkey, 2 AS depth FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")
+def bwd_deepened(s, d):
+    return _goals(s, d).deepened('Customer.offer == "yes"', ["c_custkey"])
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 5000 OR (c_acctbal < 0 AND c_mktsegment = 'BUILDING')")
+def bwd_compound_goal(s, d):
+    return _goals(s, d).solutions('Customer.vip == true || (Customer.blocked == true && Customer.c_mktsegment == "BUILDING")').select("c_custkey")
+
+
+@query("""SELECT 'vip' AS query, count(*) AS value FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT 'n', count(*) FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT 'blocked', count(*) FROM customer WHERE c_acctbal < 0""")
+def bwd_many_queries(s, d):
+    """Three blocks, one with an aggregate goal, one that keeps its rows for the next who asks."""
+    out = _goals(s, d).execute_all("""query "vip" { goal: Customer.vip == true strategy: breadth-first enable-memoization: true }
+    query "n" { goal: count(?x) WHERE Customer.c_acctbal == ?x AND Customer.vip == true }
+    query "blocked" { goal: Customer.blocked == true strategy: iterative max-depth: 3 enable-optimization: false }""")
+    n = lambda name: out[name].filter("provable").agg(F.count(F.lit(1)).alias("value"))
+    parts = {"vip": n("vip"), "n": out["n"], "blocked": n("blocked")}
+    rows = [df.select(F.lit(k).alias("query"), F.col("value").cast("long").alias("value")) for k, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'Customer.vip == true holds, by Vip' ELSE 'Customer.vip == true fails: Customer.vip == true' END AS why FROM customer")
+def bwd_explained(s, d):
+    """The proof in words, row by row in the plan."""
+    return _goals(s, d).query("Customer.vip == true").select("c_custkey", backward.explained("Customer.vip == true").alias("why"))
+
+
+predicate("pred_backward_functions", "customer", "len(c_name) > 10 && isEmpty(c_mktsegment) == false && notExists(c_acctbal) == false", ["c_custkey"], "strlen(c_name) > 10 AND trim(c_mktsegment) <> '' AND c_acctbal IS NOT NULL")
+
+
+# -- more of working memory --------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'Nation' AS type, count(*) AS n FROM nation UNION ALL SELECT 'Region', count(*) FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 'click', count(*) FROM events WHERE event_type = 'click'")
+def wm_all_types(s, d):
+    """Facts of every type in one scan; those from a stream name it."""
+    wm = memory.WorkingMemory(s)
+    wm.insert("Nation", t(s, d, "nation"), key=F.col("n_nationkey"))
+    wm.insert("Region", t(s, d, "region"), key=F.col("r_regionkey"))
+    wm.retract("Region", s.createDataFrame([(2,)], "fact_id long"))
+    wm.insert_stream("click", t(s, d, "events"), "events", "click", key=F.col("event_id"))
+    return wm.get_all().groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey % 3 <> 0")
+def wm_deffacts(s, d):
+    """Initial facts; those that lack what their template requires are left out."""
+    wm = memory.WorkingMemory(s)
+    wm.define(memory.Template("N", {"k": ("Integer", True, None), "name": ("String", True, None)}))
+    n = t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).alias("name"))
+    wm.register_deffacts("start", [("N", n)])
+    wm.load_deffacts("start", skip_invalid=True)
+    return wm.get("N").select("k", "name")
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS bal, true AS fresh FROM supplier")
+def facts_json(s, d):
+    """Facts out to JSON documents and back, then a field set on all and one cleared."""
+    x = t(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("bal"), F.lit("x").alias("tmp"))
+    back = memory.facts_from_json(s, memory.facts_to_json(x), "id long, name string, bal double, tmp string")
+    return memory.without_fields(memory.with_fields(back, fresh=True), "tmp")
+
+
+@query("SELECT 'u1' AS id, count(*) AS spent FROM orders WHERE o_totalprice > 300000")
+def facts_built(s, d):
+    """Facts from builders and plain dictionaries, joined to a table's."""
+    users = memory.build(s, "User", id="u1", name="A", vip=True)
+    back = memory.from_context(s, memory.to_context(users), memory.SHAPES["User"])
+    n = t(s, d, "orders").filter("o_totalprice > 300000").agg(F.count(F.lit(1)).alias("spent"))
+    return back.filter("vip").select("id").crossJoin(F.broadcast(n))  # one row each
+
+
+@query("SELECT count(*) FILTER (typeof(k) = 'BIGINT') > 0 AS ok, CAST(sum(k) AS BIGINT) AS total FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation)")
+def facts_inferred(s, d):
+    """Text that is numbers throughout becomes numbers."""
+    x = memory.inferred(t(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("k"), "n_name"))
+    return x.agg(F.lit(dict(x.dtypes)["k"] == "bigint").alias("ok"), F.sum("k").alias("total"))

@@ -39,6 +39,25 @@ def standing(facts: DataFrame, justifications: DataFrame, retracted: DataFrame)
     return facts.join(cascade(facts, justifications, retracted).select("fact_id"), "fact_id", "left_anti")
 
 
+def inserted(audited: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Facts and justifications that rules inserted (audited: run(audit=True)); key names the column that tells records.
+
+    facts: fact_id (`Type:id`), value, explicit (false where every insertion is logical). justifications: just_id,
+    fact_id, premise_id (the record, `record:key`), rule: a logical fact stands while a record stands that it was inserted for.
+    """
+    rows = audited.select(F.concat(F.lit("record:"), F.col(key).cast("string")).alias("premise_id"), F.explode("inserts").alias("i"))
+    rows = rows.select("premise_id", F.concat_ws(":", "i.kind", "i.id").alias("fact_id"), "i.value", "i.rule", "i.logical")
+    facts = rows.groupBy("fact_id").agg(F.max("value").alias("value"), F.bool_or(~F.col("logical")).alias("explicit"))
+    why = rows.filter("logical").select(F.concat_ws("/", "rule", "premise_id", "fact_id").alias("just_id"), "fact_id", "premise_id", "rule").distinct()
+    return facts, why
+
+
+def premises(justified: DataFrame, facts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Justifications from premises by description: (just_id, fact_id, field, value) of patterns meet the facts (premise_id,
+    field, value) that are so; justified: just_id that are wanted."""
+    return patterns.join(justified, "just_id", "left_semi").join(facts, ["field", "value"]).select("just_id", "fact_id", "premise_id")
+
+
 def statistics(facts: DataFrame, justifications: DataFrame) -> DataFrame:
     j = justifications.agg(F.count_distinct("just_id").alias("justifications"), F.count_distinct("fact_id").alias("justified"))
     return facts.agg(F.count_if(F.col("explicit")).alias("explicit"), F.count_if(~F.col("explicit")).alias("logical")).crossJoin(j)

@@ -35,9 +35,16 @@ class Template:
             out[n] = have if default is None else F.coalesce(have, F.lit(default).cast(self.type(n)))
         return df.withColumns(out)
 
+    def valid(self, df: DataFrame) -> DataFrame:
+        """The rows without violations."""
+        return self._judged(df).filter(F.size("reasons") == 0).drop("reasons")
+
     def violations(self, df: DataFrame) -> DataFrame:
         """The rows that lack required fields or whose field is of another type, with the reasons. Types are a table's, so a
         field of another type is wrong in every row that has a value there (an integer is no float)."""
+        return self._judged(df).filter(F.size("reasons") > 0)
+
+    def _judged(self, df: DataFrame) -> DataFrame:
         why = []
         for n, (kind, required, _) in self.fields.items():
             if n not in df.columns:
@@ -47,7 +54,7 @@ class Template:
                 why.append(F.when(F.col(n).isNull(), f"{n} is missing"))
             if kind != "Any" and df.schema[n].dataType != self.type(n):
                 why.append(F.when(F.col(n).isNotNull(), f"{n} is no {kind}"))
-        return df.withColumn("reasons", F.array_compact(F.array(*why))).filter(F.size("reasons") > 0)
+        return df.withColumn("reasons", F.array_compact(F.array(*why)))
 
 
 class WorkingMemory:
@@ -88,6 +95,21 @@ class WorkingMemory:
     def get(self, kind: str) -> DataFrame:
         return self.tables[kind].filter(~F.col("is_retracted"))
 
+    def get_all(self) -> DataFrame:
+        """fact_id, type, fact (JSON) of all facts that are not retracted, of every type."""
+        out = None
+        for kind in self.tables:
+            live = self.get(kind)
+            body = F.to_json(F.struct(*[c for c in live.columns if c not in self.META]))
+            one = live.select(F.col("fact_id").cast("string").alias("fact_id"), F.lit(kind).alias("type"), body.alias("fact"))
+            out = one if out is None else out.unionByName(one)
+        return out if out is not None else self.spark.createDataFrame([], "fact_id string, type string, fact string")
+
+    def insert_stream(self, kind: str, events: DataFrame, source: str, event_type: str | None = None, key: Column | None = None) -> DataFrame:
+        """Adds a stream's events (of one type) as facts that name the stream they came from."""
+        rows = events if event_type is None else events.filter(F.col("event_type") == event_type)
+        return self.insert(kind, rows, key, source)
+
     def define(self, template: Template) -> None:
         self.templates[template.name] = template
 
@@ -96,9 +118,12 @@ class WorkingMemory:
             raise CatalogError(f"facts {name!r} exist")
         self.deffacts[name] = facts
 
-    def load_deffacts(self, name: str | None = None) -> None:
+    def load_deffacts(self, name: str | None = None, skip_invalid: bool = False) -> None:
+        """Inserts initial facts; skip_invalid leaves out those that violate their template, else they are an error."""
         for n in [name] if name else list(self.deffacts):
             for kind, df in self.deffacts[n]:
+                if skip_invalid and kind in self.templates:
+                    df = self.templates[kind].valid(df)
                 self.insert(kind, df)
 
     def reset_with_deffacts(self) -> None:
@@ -117,6 +142,51 @@ def inferred(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast(k) for c, k in kind.items() if k})
 
 
+def facts_from_json(spark: SparkSession, documents: list[str] | DataFrame, ddl: str) -> DataFrame:
+    """Facts of JSON documents (texts, or a table with column json); a field that is absent or of another type is null."""
+    df = documents if isinstance(documents, DataFrame) else spark.createDataFrame([(d,) for d in documents], "json string")
+    return df.select(F.from_json("json", ddl).alias("f")).select("f.*")
+
+
+def facts_to_json(df: DataFrame) -> DataFrame:
+    """json: each fact as a document, null fields left out."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
+
+
+def to_context(df: DataFrame) -> list[dict]:
+    """Facts as plain dictionaries, for callers that hold a few."""
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def from_context(spark: SparkSession, context: list[dict], ddl: str) -> DataFrame:
+    names = [f.name for f in T.StructType.fromDDL(ddl)]
+    return spark.createDataFrame([tuple(c.get(n) for n in names) for c in context], ddl)
+
+
+def with_fields(df: DataFrame, **values) -> DataFrame:
+    """Sets fields of all facts; None clears one."""
+    return df.withColumns({n: v if isinstance(v, Column) else F.lit(v) if v is not None else F.lit(None).cast(df.schema[n].dataType if n in df.columns else "string") for n, v in values.items()})
+
+
+def without_fields(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*names)
+
+
+#: Schemas of facts that examples and tests of rules are about.
+SHAPES = {
+    "User": "id string, name string, age int, email string, country string, vip boolean", "Product": "name string, price double, category string, in_stock boolean",
+    "Order": "id string, user_id string, total double, items int, status string", "Transaction": "id string, amount double, kind string, account string",
+}
+
+
+def build(spark: SparkSession, shape: str, **fields) -> DataFrame:
+    """One fact of a known shape; fields that are not given are null."""
+    unknown = set(fields) - {f.name for f in T.StructType.fromDDL(SHAPES[shape])}
+    if unknown:
+        raise BindError(f"{shape} has no fields {sorted(unknown)}")
+    return from_context(spark, [fields], SHAPES[shape])
+
+
 def merged(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Records of both, of equal keys the right one's fields where it has them."""
     r = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])

@@ -82,6 +82,31 @@ def snapshots(spark, root: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found or [])
 
 
+def stateful_batches(df: DataFrame, key: str, step: Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]], output: str, held: str, ttl_ms: int | None = None) -> DataFrame:
+    """step(state of the key or None, its events of a batch) -> (state, rows), over a running stream.
+
+    held: the state's fields, as a DDL. The state lies typed in Spark's state store; a key's events of a batch come in one
+    or more parts, each a frame. With ttl_ms, state is dropped when a key has been idle that long in processing time.
+    """
+
+    def run(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.get if state.exists else None
+        for part in parts:
+            if len(part):
+                now, rows = step(now, part)
+                yield rows
+        if now is not None:
+            state.update(now)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms is not None else GroupStateTimeout.NoTimeout
+    return df.groupBy(key).applyInPandasWithState(run, output, held, "append", timeout)
+
+
 def stateful(df: DataFrame, key: str, process: Callable[[dict, dict], dict | None], output: str, ttl_ms: int | None = None) -> DataFrame:
     """process(state of the key, event) -> row or None, for each event of a stream in order of arrival within a batch.
 

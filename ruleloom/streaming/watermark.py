@@ -28,6 +28,38 @@ def flagged(df: DataFrame, time: str, delay_ms: int, arrival: str, bucket: int =
     return out.withColumn("is_late", F.coalesce(F.col("_t") < F.col("watermark_ms"), F.lit(False))).drop("_t", "_b", "_cb", "_m", "_carry", "_inside")
 
 
+def flagged_by(df: DataFrame, time: str, kind: str, arrival: str, delay_ms: int = 0, interval: int = 1, bucket: int = BUCKET) -> DataFrame:
+    """flagged() by kind: "bounded" (largest time less the delay), "ascending" (largest time), "custom" (never advances), or
+    "periodic": the largest time, looked at each `interval` arrivals only."""
+    if kind == "bounded":
+        return flagged(df, time, delay_ms, arrival, bucket)
+    if kind == "ascending":
+        return flagged(df, time, 0, arrival, bucket)
+    if kind == "custom":
+        return df.withColumns({"watermark_ms": F.lit(None).cast("long"), "is_late": F.lit(False)})
+    if kind != "periodic":
+        raise ValueError(f"no watermark {kind!r}")
+    t = millis(F.col(time))
+    turn = F.floor(F.col(arrival) / interval)
+    per = df.groupBy(turn.alias("_turn")).agg(F.max(t).alias("_m"))
+    # Turns are one row for each interval of arrivals; they are chained in buckets as events are in flagged().
+    per = per.withColumn("_b", F.floor(F.col("_turn") / bucket))
+    carry = per.groupBy(F.col("_b").alias("_cb")).agg(F.max("_m").alias("_cm"))
+    carry = carry.select("_cb", F.max("_cm").over(Window.orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    before = F.max("_m").over(Window.partitionBy("_b").orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.withColumn("_before", before).join(carry, F.col("_b") == F.col("_cb")).select("_turn", F.greatest("_before", "_carry").alias("watermark_ms"))
+    out = df.withColumn("_t", t).join(per, turn == F.col("_turn")).drop("_turn")
+    return out.withColumn("is_late", F.coalesce(F.col("_t") < F.col("watermark_ms"), F.lit(False))).drop("_t")
+
+
+def recomputed(df: DataFrame, time: str, window_ms: int, **aggs: Column) -> DataFrame:
+    """Tumbling windows with late events taken in: window_start, first (events on time), revisions (late ones, each of which
+    made its window be computed again) and the aggregates over all."""
+    start = millis(F.col(time)) - F.pmod(millis(F.col(time)), F.lit(window_ms))
+    late = F.col("is_late")
+    return df.groupBy(start.alias("window_start")).agg(F.count_if(~late).alias("first"), F.count_if(late).alias("revisions"), *[c.alias(n) for n, c in aggs.items()])
+
+
 def lateness(time: str) -> Column:
     return F.col("watermark_ms") - millis(F.col(time))
 
