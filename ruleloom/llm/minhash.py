@@ -70,9 +70,9 @@ def class_of(s: np.ndarray) -> int:
 
 
 def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, class (key of the set), bands (array); class and bands null where the set is empty."""
-    src = fields(docs, doc_id=docs["doc_id"].cast("long"), body=text_bytes(docs))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, text_key, n_shingles, class (key of the set), bands (array); class and bands null where the set is empty."""
+    src = fields(docs, doc_id=docs["doc_id"].cast("long"), body=text_bytes(docs), text_key=F.xxhash64(docs["text"]))
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinMax(bands, rows)
@@ -83,9 +83,9 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 size.append(len(s))
                 classes.append(class_of(s) if len(s) else None)
                 keys.append(hasher.keys(hasher.signature(s)) if len(s) else None)
-            yield batch(schema, b.column(0), size, classes, keys)
+            yield batch(schema, b.column(0), b.column(2), size, classes, keys)
 
-    return src.mapInArrow(sign, "doc_id long, n_shingles long, class long, bands array<long>")
+    return src.mapInArrow(sign, "doc_id long, text_key long, n_shingles long, class long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -163,7 +163,7 @@ def block_links(pairs: np.ndarray, sets: list[np.ndarray], percent: int) -> np.n
 
 
 def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, chunk: int = 1024) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept, text_key.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of n-word shingles (64-bit hashes of
     lower-cased words); empty sets (null, empty or blank texts) link with nothing. Equal sets are one class, so copies
@@ -174,7 +174,7 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BAND
     intersections at once and gives out links only. So no pairs are made as rows, no bucket is capped and no link
     between components is lost but by the chance that BANDS and AGREE tell.
 
-    Rows that share an id are documents of their own, by their texts. Rows with a null id link with nothing and are
+    Rows that share an id are documents of their own, by their texts (text_key is a hash that tells them apart). Rows with a null id link with nothing and are
     kept, with a null component. An empty table gives no rows.
     """
     signed = written(_signed(docs, n, bands, rows), "signed")
@@ -240,7 +240,7 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BAND
         reps = reps.join(comp, F.col("class_") == F.col("of"), "left").select("class_", "id", F.coalesce("component", "class_").alias("comp"))
         least = reps.groupBy(F.col("comp").alias("comp_")).agg(F.min("id").alias("component_id"))
         reps = reps.join(least, F.col("comp") == F.col("comp_")).select("class_", "component_id")
-    out = signed.select("doc_id", "n_shingles", "class")
+    out = signed.select("doc_id", "text_key", "n_shingles", "class")
     out = out.join(reps, (F.col("class") == F.col("class_")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")

@@ -239,14 +239,15 @@ class Scorer:
 
 
 def identify(docs: DataFrame, labelled: DataFrame, order: int = ORDER, budget: int = SAMPLE_BYTES) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1), bits_per_byte: the language whose statistics code the whole text shortest.
+    """doc_id, lang_pred, score (0 to 1), bits_per_byte, text_key (a hash of the text): the language whose statistics code the whole text shortest.
 
-    labelled: documents with lang that the statistics come from (a bounded sample, see SAMPLE_BYTES). score is the
+    labelled: documents with lang that the statistics come from (a bounded sample, see SAMPLE_BYTES; more than MAX_LANGS
+    different values of lang, of which none could have a share of it, are a ValueError). score is the
     posterior of the language under equal priors. Texts that are null or have no letter, and all where nothing was
     learned, are `und` with score 0. Equal lengths go to the first language by name. Repeated rows are scored each.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(labelled, order, budget))
-    src = fields(docs, doc_id=docs["doc_id"], text=F.coalesce(docs["text"].cast("string"), F.lit("")))
+    src = fields(docs, doc_id=docs["doc_id"], text=F.coalesce(docs["text"].cast("string"), F.lit("")), text_key=F.xxhash64(docs["text"]))
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +269,6 @@ def identify(docs: DataFrame, labelled: DataFrame, order: int = ORDER, budget: i
                     low = score = np.zeros(len(texts))
                     pred = ["und"] * len(texts)
                 size = np.maximum([len(x) for x in bodies], 1)
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(pred, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(low / size)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(pred, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(low / size), c.column(2)], names=["doc_id", "lang_pred", "score", "bits_per_byte", "text_key"])
 
-    return src.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    return src.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double, text_key long")

@@ -65,7 +65,7 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_dedup
 
-    return near_dedup(_table(spark, sf_dir, "documents"), n=4)
+    return near_dedup(_table(spark, sf_dir, "documents"), n=4).drop("text_key")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,45 @@ QUERIES = {
 }
 
 SQL = {
+    # Every start of a document's bytes (as hex) with a digest of the 200 bytes from there.
+    "op3_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT row, unnest(list_transform(range(0, length(h) // 2), lambda i: {'i': i, 'b': substring(h, 2 * i + 1, 2),
+              'k': CASE WHEN i + 200 <= length(h) // 2 THEN md5_number(substring(h, 2 * i + 1, 400)) END})) AS x FROM d),
+        g AS (SELECT row, x.i AS i, x.b AS b, x.k IS NOT NULL AND count(*) OVER (PARTITION BY x.k) > 1 AS again FROM p),
+        c AS (SELECT row, i, b, bool_or(again) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM g),
+        s AS (SELECT row, i, b, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY row ORDER BY i), false) AS opens FROM c),
+        r AS (SELECT row, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM s GROUP BY row)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (row)""",
+    # Pairs of different sets by the shingles they share; then all that is reachable over links.
+    "op8_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+              ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id),
+        c AS (SELECT k, min(doc_id) AS id, any_value(n) AS n FROM n GROUP BY k),
+        o AS (SELECT s.* FROM s JOIN c ON c.id = s.doc_id),
+        x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM o a JOIN o b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM x JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE 100 * m >= 80 * (ca.n + cb.n - m)),
+        u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r AS (SELECT id AS a, id AS b FROM c UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+        f AS (SELECT k, min(r.b) AS component FROM c JOIN r ON r.a = c.id GROUP BY k)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(f.component, d.doc_id) AS component_id, coalesce(f.component, d.doc_id) = d.doc_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (k)""",
+    # A line, its deletions, and lines that share a deletion at the same place.
+    "op10_line_dedup": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+        l AS (SELECT doc_id, unnest(p) AS x, unnest(range(len(p))) AS i FROM d),
+        f AS (SELECT x, min(doc_id * 1000000 + i) AS first FROM l WHERE x <> '' GROUP BY x),
+        v AS (SELECT x, first, j, substring(x, 1, j - 1) || substring(x, j + 1) AS y FROM (SELECT x, first, unnest(range(1, length(x) + 1)) AS j FROM f)),
+        g AS (SELECT y, j, min(first) AS first FROM v GROUP BY ALL),
+        n AS (SELECT x, first FROM f UNION ALL SELECT v.x, g.first FROM v JOIN g USING (y, j)
+              UNION ALL SELECT v.x, f.first FROM v JOIN f ON f.x = v.y UNION ALL SELECT f.x, v.first FROM v JOIN f ON f.x = v.y),
+        m AS (SELECT x, min(first) AS ahead FROM n GROUP BY x),
+        o AS (SELECT doc_id, l.x, i, coalesce(ahead < doc_id * 1000000 + i, false) AS gone FROM l LEFT JOIN m USING (x))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM o GROUP BY doc_id""",
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -367,6 +367,57 @@ def test_ppm_is_a_distribution():
         assert np.allclose((2.0 ** -m.cost(x)).sum(0), 1)
 
 
+def brute_ppm(counts, order, text):
+    """Bits of a text's words by the definition: escape method C, bytes that a longer context has seen excluded."""
+    seen = collections.defaultdict(collections.Counter)
+    for word, n in zip(*counts):
+        x = b" " + word + b" "
+        for at in range(1, len(x)):
+            for k in range(min(order, at) + 1):
+                seen[x[at - k : at]][x[at]] += n
+    bits = 0.0
+    for word in lower(text).encode().split():
+        x = b" " + word + b" "
+        for at in range(1, len(x)):
+            out = set()
+            for k in range(min(order, at), -1, -1):
+                here = seen.get(x[at - k : at])
+                if not here:
+                    continue
+                n, t = sum(c for b, c in here.items() if b not in out), len(set(here) - out)
+                if x[at] in here:
+                    bits -= np.log2(here[x[at]] / (n + t))
+                    break
+                if t:
+                    bits -= np.log2(t / (n + t))
+                out = set(here)
+            else:
+                bits += np.log2(max(256 - len(out), 1))
+    return bits
+
+
+@pytest.mark.parametrize("order", [0, 2, 4])
+def test_ppm_matches_brute_force(docs, texts, order):
+    """Code lengths of whole texts under each language, value by value."""
+    by = collections.defaultdict(collections.Counter)
+    for r in docs.collect()[:60]:
+        if r.lang:
+            by[r.lang].update(lower((r.text or "")[:300]).encode().split())
+    counts = {k: (list(v), list(v.values())) for k, v in by.items()}
+    model = ppm.PPM(counts, order)
+    some = [t[:200] for t in list(texts.values())[50:90]] + ["", "ñ \U0001f600 zzz", "THE the"]
+    got = ppm.Scorer(model).bits([t.encode() for t in some])
+    assert len(model.langs) > 1
+    for t, row in zip(some, got):
+        assert np.allclose(row, [brute_ppm(counts[k], order, t) for k in model.langs])
+
+
+def test_ppm_of_too_many_languages(spark):
+    d = spark.range(ppm.MAX_LANGS + 1).select(F.concat(F.lit("l"), "id").alias("lang"), F.lit("a word").alias("text"))
+    with pytest.raises(ValueError, match="languages"):
+        ppm.train(d)
+
+
 def test_ppm_held_out_accuracy(spark):
     rows = queries.op5_ppm(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").collect()
     held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
@@ -677,6 +728,18 @@ def test_pipeline_clashing_columns(spark, odd, sf):
     assert {r.doc_id for r in rows} and {r.size for r in rows} == {"clash"}
 
 
+def test_pipeline_of_null_and_repeated_ids(spark, sf):
+    """Documents that share an id, or have none, stay if their texts are their own."""
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, "the cat sat on a mat", "en", "a", 0), (1, "der Hund lief in das Haus", "de", "a", 0), (None, "a text of no id", "en", "a", 0), (None, long, "en", "a", 0), (2, long + " end", "en", "a", 0), (3, long, "en", "b", 0), (2, "quite another one", "en", "b", 0)]
+    now = spark.createDataFrame(rows, DDL)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        now = spark.createDataFrame(stage(spark, now, sf).collect(), DDL)
+    left = {(r.doc_id, r.text) for r in now.collect()}
+    assert {(1, rows[0][1]), (1, rows[1][1]), (None, rows[2][1]), (2, rows[6][1])} <= left
+    assert sum(t.startswith("word0") for _, t in left) == 1
+
+
 def test_ppm_sample_is_bounded(spark):
     """A share far below one in a million of the text still bounds the sample."""
     rows = spark.range(20_000).select(F.lit("en").alias("lang"), F.concat(F.lit("word"), F.col("id")).alias("text"))
