@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import held_out, own, shared_path
+from ruleloom.llm.common import held_out, own
 from ruleloom.llm.exact_dedup import exact_dedup
 from ruleloom.llm.minhash import near_dedup
 from ruleloom.llm.mixing import mixed
 from ruleloom.llm.pieces import encode
 from ruleloom.llm.ppm import identify
+from ruleloom.storage import shared_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is predicted, with lang set to the prediction; `und` ones (no letters, no text) go.
 
-    Ids of documents must be unique from here on: rows that repeat an id share its prediction.
+    Here and later, documents are told by id and text: rows that share an id, or have none, are documents of their own.
     """
     found = identify(docs, docs.filter(~held_out(docs["doc_id"], 4))).filter("lang_pred <> 'und'")
-    found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("lang_pred").alias("_lang"))
-    both = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]))
+    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.min("lang_pred").alias("_lang"))
+    both = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_key"]))
     return both.select(*[found["_lang"].alias(n) if n == "lang" else c for n, c in zip(docs.columns, own(docs))])
 
 
@@ -33,8 +34,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8), that of smallest id."""
-    gone = near_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    gone = near_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
