@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates
 from . import windows
 
 
+#: Parts of a key that commuting folds are made in.
+SALTS = 64
+
+
 class DataStream:
     """Events with a time column and an id that orders ties; every step is lazy."""
 
@@ -87,9 +91,17 @@ class DataStream:
     def aggregate(self, **aggs: Column) -> DataFrame:
         return self.df.agg(*[c.alias(n) for n, c in aggs.items()])
 
-    def reduce(self, fold: Callable[[Column, Column], Column], zero: Column, value: Column, by: tuple[str, ...] = ()) -> DataFrame:
-        """A left fold over a key's values in order of time and id. Folds that are sums, minima and the like are better given
-        as aggregates: this one gathers a key's values."""
+    def reduce(self, fold: Callable[[Column, Column], Column], zero: Column, value: Column, by: tuple[str, ...] = (), commutes: bool = False) -> DataFrame:
+        """A left fold over a key's values in order of time and id, which gathers them.
+
+        commutes: the fold is associative and commutative and zero its neutral element (sums, minima and the like): values
+        are then folded in SALTS parts of a key first, so no task gathers a hot key.
+        """
+        if commutes:
+            salt = F.pmod(F.xxhash64(self.id), F.lit(SALTS)).alias("_salt")
+            part = F.aggregate(F.collect_list(value), zero, fold).alias("_part")
+            parts = self.df.groupBy(*by, salt).agg(part)
+            return parts.groupBy(*by).agg(F.aggregate(F.collect_list("_part"), zero, fold).alias("value"))
         items = F.array_sort(F.collect_list(F.struct(self.time, self.id, value.alias("v"))))
         out = F.aggregate(items, zero, lambda acc, x: fold(acc, x["v"])).alias("value")
         return self.df.groupBy(*by).agg(out)
@@ -165,8 +177,18 @@ class KeyedStream:
     def key_values(self) -> DataFrame:
         return self.stream.df.select(*self.keys).distinct()
 
-    def reduce(self, fold, zero: Column, value: Column) -> DataFrame:
-        return self.stream.reduce(fold, zero, value, self.keys)
+    def reduce(self, fold, zero: Column, value: Column, commutes: bool = False) -> DataFrame:
+        return self.stream.reduce(fold, zero, value, self.keys, commutes)
+
+    def percentile(self, column: str, p: float, name: str = "value") -> DataFrame:
+        """Each key's nearest rank of a column, round(p / 100 * (n - 1)) with halves away from zero: from counts by value
+        and their running sum, so that nothing gathers a key's events."""
+        x = F.col(column).cast("double")
+        per = self.stream.df.filter(x.isNotNull()).groupBy(*self.keys, x.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+        up, whole = Window.partitionBy(*self.keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*self.keys)
+        per = per.withColumns({"_upto": F.sum("_n").over(up), "_all": F.sum("_n").over(whole)})
+        rank = F.round(F.lit(p / 100) * (F.col("_all") - 1))
+        return per.filter((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)).select(*self.keys, F.col("_x").alias(name))
 
     def first(self, *columns: str) -> DataFrame:
         """Each key's earliest event, by time and id."""
@@ -199,8 +221,8 @@ class Windowed:
         """Only the newest n of each window, by arrival."""
         return Windowed(windows.newest(self.df, [*self.keys, "window_start"], n, self.stream.id), self.keys, self.stream)
 
-    def reduce(self, fold, zero: Column, value: Column) -> DataFrame:
-        return DataStream(self.df, self.stream.time, self.stream.id).reduce(fold, zero, value, (*self.keys, "window_start"))
+    def reduce(self, fold, zero: Column, value: Column, commutes: bool = False) -> DataFrame:
+        return DataStream(self.df, self.stream.time, self.stream.id).reduce(fold, zero, value, (*self.keys, "window_start"), commutes)
 
     def facts(self, *fields: str) -> DataFrame:
         return windows.window_facts(self.df, self.keys, fields)

@@ -74,11 +74,25 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time:
 
     order: "within" either way, "before": the left one first, "after": the right one. Null keys meet nothing. The time
     bounds are two range conditions beside the equal keys, so the same join runs on streams with watermarks.
+
+    Over tables, stretches of time as long as ms are part of the equal keys, so a hot key is split: events of one side are
+    sent to the two or three stretches that they can meet the other's in, where each pair meets once. The side that an
+    outer join keeps is not copied; a full outer join, and streams, are joined on the keys alone.
     """
     one = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns])
     two = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     a, b, d = F.col(f"l_{time}"), F.col(f"r_{time}"), F.expr(f"INTERVAL {ms / 1000} SECOND")
     on = F.lit(True)
+    split = how in ("inner", "left_outer", "right_outer") and not left.isStreaming and not right.isStreaming and ms > 0
+    if split:
+        at = lambda c, shift: F.floor((millis(c) + shift * ms) / ms)
+        # A left event lies between an interval before the right one and an interval after it.
+        back, ahead = (0 if order == "after" else -1), (0 if order == "before" else 1)
+        if how == "right_outer":
+            one, two = one.withColumn("_at", F.explode(F.sequence(at(a, -ahead), at(a, -back)))), two.withColumn("_meet", at(b, 0))
+        else:
+            one, two = one.withColumn("_at", at(a, 0)), two.withColumn("_meet", F.explode(F.sequence(at(b, back), at(b, ahead))))
+        on = F.col("_at") == F.col("_meet")
     for k in keys:
         on = on & (F.col(f"l_{k}") == F.col(f"r_{k}"))
     if order != "after":
@@ -91,7 +105,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time:
         on = on & (b < a)
     if condition is not None:
         on = on & condition
-    return one.join(two, on, how).withColumn("join_ts", F.greatest(a, b))
+    return one.join(two, on, how).drop("_at", "_meet").withColumn("join_ts", F.greatest(a, b))
 
 
 def count_window_join(left: DataFrame, right: DataFrame, keys: Sequence[str], n: int, order: str) -> DataFrame:

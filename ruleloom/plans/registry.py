@@ -162,7 +162,7 @@ def group_first_last(s, d):
 
 @query("SELECT user_id, round(sum(value), 4) AS value FROM events GROUP BY user_id")
 def key_reduce(s, d):
-    return events(s, d).key_by("user_id").reduce(lambda a, b: a + b, F.lit(0.0), F.col("value")).withColumn("value", r("value"))
+    return events(s, d).key_by("user_id").reduce(lambda a, b: a + b, F.lit(0.0), F.col("value"), commutes=True).withColumn("value", r("value"))
 
 
 @query("SELECT CAST(count(*) AS DOUBLE) AS n, round(sum(value), 3) AS total, round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high FROM events")
@@ -183,7 +183,17 @@ def agg_stddev_pop(s, d):
 
 @query("SELECT user_id, list_sort(list(value))[CAST(round(0.9 * (count(value) - 1)) AS INTEGER) + 1] AS p90 FROM events GROUP BY user_id")
 def agg_percentile_nearest(s, d):
-    return events(s, d).key_by("user_id").aggregate(p90=aggregates.percentile(F.col("value"), 90))
+    return events(s, d).key_by("user_id").percentile("value", 90, "p90")
+
+
+@query(f"SELECT ((epoch_us(ts) // 1000) // {DAY}) * {DAY} AS window_start, list_sort(list(value))[CAST(round(0.5 * (count(value) - 1)) AS INTEGER) + 1] AS median FROM events GROUP BY 1")
+def win_percentile(s, d):
+    return events(s, d).tumbling(DAY).aggregate(median=aggregates.percentile(F.col("value"), 50)).drop("window_end")
+
+
+@query("SELECT user_id, string_agg(event_type[1], '' ORDER BY event_id) AS value FROM events GROUP BY 1")
+def key_fold_in_order(s, d):
+    return events(s, d).key_by("user_id").reduce(lambda a, b: F.concat(a, b), F.lit(""), F.left("event_type", F.lit(1)))
 
 
 @query("""SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""")
@@ -289,7 +299,7 @@ def win_counts(s, d):
 
 @query(f"SELECT ((epoch_us(ts) // 1000) // {DAY}) * {DAY} AS window_start, max(value) AS value FROM events GROUP BY 1")
 def win_reduce(s, d):
-    return events(s, d).tumbling(DAY).reduce(lambda a, b: F.greatest(a, b), F.lit(-1e300), F.col("value"))
+    return events(s, d).tumbling(DAY).reduce(lambda a, b: F.greatest(a, b), F.lit(-1e300), F.col("value"), commutes=True)
 
 
 @query(f"""SELECT window_start, sum(event_id)::BIGINT AS ids, count(*) AS n FROM (SELECT event_id, ((epoch_us(ts) // 1000) // {DAY}) * {DAY} AS window_start,

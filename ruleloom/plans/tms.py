@@ -17,7 +17,7 @@ def cascade(facts: DataFrame, justifications: DataFrame, retracted: DataFrame, m
     """
     gone = checkpointed(retracted.select("fact_id").distinct().withColumn("round", F.lit(0)))
     total = justifications.select("fact_id", "just_id").distinct().groupBy("fact_id").agg(F.count(F.lit(1)).alias("n"))
-    logical = facts.filter(~F.col("explicit")).select("fact_id").join(total, "fact_id")
+    logical = checkpointed(facts.filter(~F.col("explicit")).select("fact_id").join(total, "fact_id"))
     broken, fresh = None, gone
     for turn in range(1, max_rounds + 1):
         hit = justifications.join(fresh.select(F.col("fact_id").alias("premise_id")), "premise_id").select("fact_id", "just_id").distinct()
