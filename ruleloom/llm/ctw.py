@@ -253,12 +253,12 @@ def unpack_counts(b: bytes) -> np.ndarray:
 
 
 def pack_logs(p: np.ndarray) -> bytes:
-    """Logarithms as floats of 32 bits, byte plane by byte plane."""
-    return pack(np.ascontiguousarray(p, np.float32).view(np.uint8).reshape(-1, 4).T)
+    """log10 probabilities to the nearest 2**-20, byte plane by byte plane: the upper planes are nearly all zero."""
+    return pack(np.rint(p * -(2.0**20)).astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
 
 def unpack_logs(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(unpack(b, np.uint8).reshape(4, -1).T).view(np.float32).ravel()
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(4, -1).T).view("<u4").ravel() * -(2.0**-20)
 
 
 def _split(parts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -412,7 +412,7 @@ def score(docs: DataFrame, depth: int = USUAL, modulus: int = 7, block_bytes: in
         sent = _sent(table)
         window, _, where = _merged(sent)
         order, _ = subtree(window)
-        p = np.empty(len(window), np.float32)
+        p = np.empty(len(window))
         p[order] = np.concatenate([unpack_logs(r["numbers"]) for r in _sent(found)])
         return _messages([(1, r["sender"], key[0].as_py(), b"", pack_logs(p[w]), 0, 0) for r, w in zip(sent, where)])
 
