@@ -62,7 +62,7 @@ def predicate(name: str, table: str, text: str, columns: list[str], sql: str) ->
 predicate("pred_eq_ne", "orders", 'Order.o_orderstatus == "F" && Order.o_orderpriority != "5-LOW"', ["o_orderkey", "o_orderstatus"], "o_orderstatus IS NOT DISTINCT FROM 'F' AND o_orderpriority IS DISTINCT FROM '5-LOW'")
 predicate("pred_ordering", "lineitem", "l_quantity >= 45 && l_discount < 0.03 && l_tax <= 0.05 && l_extendedprice > 1000", ["l_orderkey", "l_linenumber"], "l_quantity >= 45 AND l_discount < 0.03 AND l_tax <= 0.05 AND l_extendedprice > 1000")
 predicate("pred_string_ops", "part", 'p_brand startsWith "Brand#1" || p_type endsWith "STEEL" || p_name contains "an"', ["p_partkey", "p_name"], "starts_with(p_brand, 'Brand#1') OR ends_with(p_type, 'STEEL') OR contains(p_name, 'an')")
-predicate("pred_not_contains", "part", 'p_name not_contains "an" && p_type contains "TIN"', ["p_partkey"], "NOT contains(p_name, 'an') AND contains(p_type, 'TIN')")
+predicate("pred_not_contains", "part", 'p_name not_contains "blue" && p_name contains "plate"', ["p_partkey", "p_name"], "NOT contains(p_name, 'blue') AND contains(p_name, 'plate')")
 predicate("pred_text_arith", "orders", 'o_orderkey % 7 == 3 && o_orderstatus + "-" + o_orderpriority == "F-5-LOW"', ["o_orderkey"], "o_orderkey % 7 = 3 AND o_orderstatus || '-' || o_orderpriority = 'F-5-LOW'")
 predicate("pred_in", "customer", 'c_mktsegment in ["BUILDING", "MACHINERY"]', ["c_custkey"], "c_mktsegment IN ('BUILDING', 'MACHINERY')")
 predicate("pred_wildcard", "part", 'p_brand matches "Brand#?1*"', ["p_partkey", "p_brand"], "regexp_matches(p_brand, '^Brand#.1.*$')")
@@ -795,13 +795,13 @@ def stream_rules_per_window(s, d):
     return Forward(parse_rules(text)).run(events(s, d).tumbling(DAY).facts("value")).select("WindowStartTime", "state")
 
 
-@query(f"SELECT event_id FROM events WHERE event_type = 'click' AND (epoch_us(ts) // 1000) // {10 * 60_000} = (epoch_us(TIMESTAMP '2024-01-10 12:00:00') // 1000) // {10 * 60_000} OR event_id < 0")
+@query(f"""SELECT user_id, ((epoch_us(ts) // 1000) // {600_000}) * {600_000} AS window_start, count(*) AS n FROM events WHERE event_type = 'click' AND value > 20 GROUP BY ALL""")
 def stream_pattern(s, d):
-    """A stream pattern's source, type and window as filters over the stream's table."""
-    p = parse_condition('e: click from stream("events") over window(10 min, tumbling)')
-    at = F.lit("2024-01-10 12:00:00").cast("timestamp")
-    e = windows.tumbling(t(s, d, p.stream).filter(F.col("event_type") == p.type), "ts", p.window_ms)
-    return e.filter(F.col("window_start") == windows.millis(at) - F.pmod(windows.millis(at), F.lit(p.window_ms))).select("event_id")
+    """A pattern's source, type and test, and its window as the group of what it matches."""
+    text = 'e: click from stream("events") over window(10 min, tumbling) && e.value > 20'
+    pattern = parse_condition(text).parts[0]
+    matched = correlation.correlate(text, {"events": t(s, d, "events")})
+    return windows.tumbling(matched, "e_ts", pattern.window_ms).groupBy(F.col("e_user_id").alias("user_id"), "window_start").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""SELECT l.event_id AS view_id, r.event_id AS buy_id FROM events l JOIN events r ON l.user_id = r.user_id AND abs((epoch_us(l.ts) // 1000) - (epoch_us(r.ts) // 1000)) <= {HOUR * 3}
@@ -1093,10 +1093,10 @@ def tms_statistics(s, d):
     return tms.statistics(facts, just)
 
 
-@query("SELECT 'j' || o_orderkey AS just_id, 'c' || o_custkey AS fact_id, 's' || n_nationkey AS premise_id FROM orders JOIN nation ON n_name = CASE WHEN o_orderstatus = 'F' THEN 'FRANCE' ELSE 'CHINA' END WHERE o_totalprice > 250000")
+@query("SELECT 'j' || o_orderkey AS just_id, 'c' || o_custkey AS fact_id, 's' || n_nationkey AS premise_id FROM orders JOIN nation ON n_name = CASE WHEN o_orderstatus = 'F' THEN 'NATION_3' ELSE 'NATION_7' END WHERE o_totalprice > 250000")
 def tms_premises(s, d):
     """Premises given as `field = value` meet the facts that are so."""
-    o = t(s, d, "orders").selectExpr("'j' || o_orderkey AS just_id", "'c' || o_custkey AS fact_id", "'n_name' AS field", "CASE WHEN o_orderstatus = 'F' THEN 'FRANCE' ELSE 'CHINA' END AS value", "o_totalprice")
+    o = t(s, d, "orders").selectExpr("'j' || o_orderkey AS just_id", "'c' || o_custkey AS fact_id", "'n_name' AS field", "CASE WHEN o_orderstatus = 'F' THEN 'NATION_3' ELSE 'NATION_7' END AS value", "o_totalprice")
     facts = t(s, d, "nation").selectExpr("'s' || n_nationkey AS premise_id", "'n_name' AS field", "n_name AS value")
     return tms.premises(o.filter("o_totalprice > 250000").select("just_id"), facts, o.drop("o_totalprice"))
 
@@ -1235,10 +1235,10 @@ def bwd_text_conjunction(s, d):
     return _facts(s, d).find("served(?c, ?name) WHERE order(?o, ?c, ?price) AND customer(?c, ?n) AND nation(?n, _, ?name) AND ?price > 250000 AND NOT blocked(?c)")
 
 
-@query("SELECT DISTINCT c_custkey AS c FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE (r_name = 'ASIA' OR c_mktsegment = 'BUILDING') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+@query("SELECT DISTINCT c_custkey AS c FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE (r_name = 'ASIA' OR c_mktsegment = 'BUILDING') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def bwd_text_nested(s, d):
     return _facts(s, d).find("""quiet(?c) WHERE (customer(?c, ?n, "BUILDING") OR (inAsia(?c, ?n) WHERE customer(?c, ?n) AND nation(?n, ?r) AND region(?r, "ASIA")))
-    AND NOT (big(?c) WHERE order(?o, ?c, ?p) AND ?p > 200000)""")
+    AND NOT (big(?c) WHERE order(?o, ?c, ?p) AND ?p > 450000)""")
 
 
 @query("SELECT count(*) AS value FROM (SELECT DISTINCT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'MACHINERY')")
