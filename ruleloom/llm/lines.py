@@ -121,12 +121,11 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     place = F.struct("doc", "key", "line")
     distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves"))
     distinct = written(distinct, "distinct-lines")
-    halved = distinct.select("h1", "h2", F.posexplode("halves").alias("i", "half"))
+    # A distinct line goes by its first place here; h1 tells whether a half is that of one line only.
+    halved = distinct.select("first.doc", "first.key", "first.line", "h1", F.posexplode("halves").alias("i", "half"))
     shared = halved.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select(F.col("half").alias("shared_half"))
-    masks = halved.join(shared, halved.half == shared.shared_half).groupBy("h1", "h2").agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << x) for x in range(4)]), F.col("i") + 1)).alias("mask"))
-    masks = masks.select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), "mask")
-    masked = distinct.select("h1", "h2", "first").join(masks, (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2")))
-    wanted = masked.groupBy(F.col("first.doc").alias("of"), F.col("first.key").alias("of_key")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "mask")).alias("wanted"))
+    masks = halved.join(shared, halved.half == shared.shared_half).groupBy("doc", "key", "line").agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << x) for x in range(4)]), F.col("i") + 1)).alias("mask"))
+    wanted = masks.groupBy(F.col("doc").alias("of"), F.col("key").alias("of_key")).agg(F.collect_list(F.struct("line", "mask")).alias("wanted"))
     found_schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("mask", pa.int32()), ("text", pa.string())])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
