@@ -21,6 +21,11 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), dtype)
 
 
+def dealt(messages: DataFrame, column: str, parts: int) -> DataFrame:
+    """Messages by receiver, a task for each of so many: packed rows are few and short, and would be merged into few tasks."""
+    return messages.repartition(parts, column)
+
+
 def n_blocks(docs: DataFrame, size: Column, block_bytes: int) -> int:
     """Blocks of about block_bytes, at least one: one pass over the column's lengths."""
     return int((docs.agg(F.sum(size)).first()[0] or 0) // block_bytes) + 1

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, fields, in_order, text_bytes, written
-from .exchange import n_blocks, ordered, pack, unpack
+from .exchange import dealt, n_blocks, ordered, pack, unpack
 
 BLOCK_BYTES = 12_000_000
 SLICE = 1 << 19
@@ -310,7 +310,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
         where = np.split(at, np.cumsum([len(x) for x in grams])[:-1])
         return table([(0, key[0].as_py(), b, pack(verdict[x]), b"", 0) for b, x in zip(asked.column("block").to_pylist(), where)])
 
-    verdicts = written(blocked.groupBy("block").applyInArrow(ask, ddl).groupBy("part").applyInArrow(judge, ddl), "suffix-verdicts")
+    verdicts = written(dealt(blocked.groupBy("block").applyInArrow(ask, ddl), "part", parts).groupBy("part").applyInArrow(judge, ddl), "suffix-verdicts")
 
     def sort(key, docs_, replies):
         """Runs for owners (1), windows of split grams (2), and what the block must remember (9)."""
@@ -377,7 +377,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
                 out.append((2, r["part"], r["block"], pack(again[x].astype(np.uint8)), b"", 0))
         return table(out)
 
-    settled = runs.filter("kind <> 9").groupBy("part").applyInArrow(merge, ddl)
+    settled = dealt(runs.filter("kind <> 9"), "part", parts).groupBy("part").applyInArrow(merge, ddl)
     answers = settled.unionByName(runs.filter("kind = 9"))
     kept_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
