@@ -161,6 +161,7 @@ class Rule:
     lock_on_active: bool = False
     agenda_group: str | None = None
     activation_group: str | None = None
+    ruleflow_group: str | None = None
     date_effective: str | None = None
     date_expires: str | None = None
     description: str | None = None

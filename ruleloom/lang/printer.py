@@ -68,7 +68,7 @@ def action(a) -> str:
 def rule(r: ir.Rule) -> str:
     attrs = [f"salience {r.salience}"] if r.salience else []
     attrs += [n for n, on in (("no-loop", r.no_loop), ("lock-on-active", r.lock_on_active)) if on]
-    attrs += [f"{n} {json.dumps(v)}" for n, v in (("agenda-group", r.agenda_group), ("activation-group", r.activation_group), ("date-effective", r.date_effective), ("date-expires", r.date_expires)) if v]
+    attrs += [f"{n} {json.dumps(v)}" for n, v in (("agenda-group", r.agenda_group), ("activation-group", r.activation_group), ("ruleflow-group", r.ruleflow_group), ("date-effective", r.date_effective), ("date-expires", r.date_expires)) if v]
     if r.description:
         attrs.append(json.dumps(r.description))
     body = "".join(f"        {action(a)};\n" for a in r.then)

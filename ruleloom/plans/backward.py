@@ -36,6 +36,18 @@ def candidates(goal, rules: list[ir.Rule], depth: int = MAX_DEPTH) -> list[ir.Ru
     return [r for r in rules if r in chosen]
 
 
+def static_search(goal: str, rules: list[ir.Rule], depth: int = MAX_DEPTH) -> list[tuple[int, str]]:
+    """(layer, rule) of the rules that a goal can depend on, found without running any: layer 1 writes what the goal reads."""
+    parsed, out, before = parser.parse_goal(goal), [], set()
+    for layer in range(1, depth + 1):
+        now = {r.name for r in candidates(parsed, rules, layer)}
+        if now == before:
+            break
+        out += [(layer, r.name) for r in rules if r.name in now - before]
+        before = now
+    return out
+
+
 def atoms(c) -> list:
     if isinstance(c, (ir.And, ir.Or)):
         return [a for p in c.parts for a in atoms(p)]

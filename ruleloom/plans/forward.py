@@ -101,10 +101,11 @@ class Forward:
 
     roots: names by which rules mean the row itself (`Order.total` is then column total). facts: tables of other fact
     types for exists, forall and accumulate, either a DataFrame or (DataFrame, {its column: the row's column}) for the
-    rows that belong to a record. handlers: name -> (df, fired column, arguments as columns, paths) -> df.
+    rows that belong to a record. ruleflow: the groups that are under way; rules of others take no part. handlers: name -> (df, fired column, arguments as columns, paths) -> df.
     """
 
-    def __init__(self, rules: list[ir.Rule], roots: tuple[str, ...] = (), facts: dict | None = None, functions: dict | None = None, handlers: dict[str, Callable] | None = None, missing: str = "native", fuse: bool = True):
+    def __init__(self, rules: list[ir.Rule], roots: tuple[str, ...] = (), facts: dict | None = None, functions: dict | None = None, handlers: dict[str, Callable] | None = None, missing: str = "native", fuse: bool = True, ruleflow: tuple[str, ...] = ()):
+        rules = [r for r in rules if r.ruleflow_group is None or r.ruleflow_group in ruleflow]
         self.rules = [r for _, r in sorted(enumerate(rules), key=lambda x: (-x[1].salience, x[0]))]
         self.roots, self.facts, self.functions, self.handlers, self.missing, self.fuse = roots, facts or {}, functions, handlers or {}, missing, fuse
 

@@ -859,6 +859,23 @@ def _store(s, d):
     return store, n
 
 
+def _kept_as(form: str) -> None:
+    def run(s, d):
+        from ..storage import shared_path
+
+        store, _ = _store(s, d)
+        path = shared_path(s, f"state-{form}")
+        store.checkpoint(path, form)
+        return state.StateTable.restore(s, path, form).live(2000).select("key", "value")
+
+    QUERIES[f"state_kept_as_{form}"] = run
+    SQL[f"state_kept_as_{form}"] = "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS value FROM nation WHERE n_regionkey >= 3"
+
+
+for _f in ("parquet", "orc", "json"):
+    _kept_as(_f)
+
+
 @query("""SELECT CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_regionkey = 4 THEN lower(n_name) WHEN n_regionkey = 0 THEN 'again' ELSE n_name END AS value
 FROM nation WHERE n_regionkey IN (0, 3, 4)""")
 def state_put_update_ttl(s, d):
@@ -1178,6 +1195,13 @@ for _s, _w in (("salience", "Small"), ("breadth", "Small"), ("depth", "Wide"), (
     _ordered_by(_s, _w)
 
 
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'in' END AS a, CAST(NULL AS VARCHAR) AS b FROM orders")
+def fwd_ruleflow_group(s, d):
+    text = """rule "In" no-loop ruleflow-group "intake" { when o_totalprice > 100000 then a = "in"; }
+    rule "Out" no-loop ruleflow-group "billing" { when o_totalprice > 0 then b = "out"; }"""
+    return Forward(parse_rules(text), ruleflow=("intake",)).run(t(s, d, "orders").withColumn("b", F.lit(None).cast("string"))).select("o_orderkey", "a", "b")
+
+
 # -- more of functions -------------------------------------------------------------------------------------------------
 
 
@@ -1283,6 +1307,15 @@ def bwd_explained(s, d):
     return _goals(s, d).query("Customer.vip == true").select("c_custkey", backward.explained("Customer.vip == true").alias("why"))
 
 
+@query("SELECT 1 AS layer, 'Offer' AS rule, count(*) AS n FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING' UNION ALL SELECT 2, 'Vip', count(*) FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")
+def bwd_static_search(s, d):
+    """The rules that a goal depends on, found without running any, beside how often the goal then holds."""
+    goal = 'Customer.offer == "yes"'
+    found = s.createDataFrame(backward.static_search(goal, parse_rules(GOALS)), "layer int, rule string")
+    n = _goals(s, d).solutions(goal).agg(F.count(F.lit(1)).alias("n"))
+    return found.crossJoin(F.broadcast(n))  # a single row
+
+
 predicate("pred_backward_functions", "customer", "len(c_name) > 10 && isEmpty(c_mktsegment) == false && notExists(c_acctbal) == false", ["c_custkey"], "strlen(c_name) > 10 AND trim(c_mktsegment) <> '' AND c_acctbal IS NOT NULL")
 
 
@@ -1300,6 +1333,13 @@ def wm_all_types(s, d):
     return wm.get_all().groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT 'Region.' || r_regionkey || '.r_name' AS path, r_name AS value FROM region UNION ALL SELECT 'Region.' || r_regionkey || '.r_regionkey', CAST(r_regionkey AS VARCHAR) FROM region")
+def wm_flattened(s, d):
+    wm = memory.WorkingMemory(s)
+    wm.insert("Region", t(s, d, "region").select("r_regionkey", "r_name"), key=F.col("r_regionkey"))
+    return wm.flattened()
+
+
 @query("SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey % 3 <> 0")
 def wm_deffacts(s, d):
     """Initial facts; those that lack what their template requires are left out."""

@@ -105,6 +105,12 @@ class WorkingMemory:
             out = one if out is None else out.unionByName(one)
         return out if out is not None else self.spark.createDataFrame([], "fact_id string, type string, fact string")
 
+    def flattened(self) -> DataFrame:
+        """path, value (text): a row for each field of each fact that is not retracted, as `Type.fact_id.field`."""
+        fields = F.from_json("fact", "map<string,string>")
+        rows = self.get_all().select("type", "fact_id", F.explode(fields).alias("field", "value"))
+        return rows.select(F.concat_ws(".", "type", "fact_id", "field").alias("path"), "value")
+
     def insert_stream(self, kind: str, events: DataFrame, source: str, event_type: str | None = None, key: Column | None = None) -> DataFrame:
         """Adds a stream's events (of one type) as facts that name the stream they came from."""
         rows = events if event_type is None else events.filter(F.col("event_type") == event_type)

@@ -54,8 +54,9 @@ class StateTable:
     def cleanup(self, now: int) -> StateTable:
         return StateTable(self.live(now))
 
-    def checkpoint(self, path: str) -> None:
-        self.df.write.mode("overwrite").parquet(path)
+    def checkpoint(self, path: str, form: str = "parquet") -> None:
+        """form: any table format that Spark writes and reads with a schema (parquet, orc, json)."""
+        self.df.write.mode("overwrite").format(form).save(path)
 
     def snapshot(self, root: str, number: int, keep: int = 10) -> str:
         """A numbered checkpoint under root; only the newest `keep` stay."""
@@ -67,8 +68,8 @@ class StateTable:
         return path
 
     @classmethod
-    def restore(cls, spark, path: str) -> StateTable:
-        return cls(spark.read.schema(cls.DDL).parquet(path))
+    def restore(cls, spark, path: str, form: str = "parquet") -> StateTable:
+        return cls(spark.read.schema(cls.DDL).format(form).load(path))
 
     def statistics(self, now: int) -> DataFrame:
         over = F.col("ttl_ms").isNotNull() & (F.col("created_ms") + F.col("ttl_ms") <= now)
