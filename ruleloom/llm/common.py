@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from ..storage import shared_path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage is cut and survives lost executors."""
+def written(df: DataFrame, name: str, large: bool = True) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: lineage is cut and survives lost executors.
+
+    Shuffle files are let go of after large tables; the small ones of a loop wait for the next.
+    """
     spark, schema = df.sparkSession, df.schema
     path = shared_path(spark, name)
     df.write.parquet(path)
     del df  # with the caller's expression gone, nothing names the job's shuffle files
-    release(spark)
+    if large:
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 

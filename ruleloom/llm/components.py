@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     vertex with very many neighbours is never gathered in one place, and each step's table is written to shared storage.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    now, seen = written(now, "edges"), None
+    now, seen = written(now, "edges", large=False), None
     while True:
         # large star: neighbours above a vertex move to the smallest of its neighbourhood
         both = now.union(now.select("v", "u"))
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(low, large.u == low.w).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("w", "m")).filter("u <> v").distinct()
-        now = written(small, "edges")
+        now = written(small, "edges", large=False)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
