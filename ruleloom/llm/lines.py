@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, fields, written
@@ -167,6 +167,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     ahead = ahead.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.coalesce("near", "first").alias("ahead"))
     gone = lines.join(ahead, (lines.h1 == ahead.a1) & (lines.h2 == ahead.a2)).filter(F.col("ahead") < place)
     gone = gone.groupBy(F.col("doc").alias("of"), F.col("key").alias("of_key")).agg(F.collect_set("line").alias("gone"))
+    # Written, so that what led here is off the disks before whole texts are dealt out.
+    gone = written(gone, "gone-lines")
     out_schema = pa.schema([("doc", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
