@@ -378,6 +378,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
         return table(out)
 
     settled = dealt(runs.filter("kind <> 9"), "part", parts).groupBy("part").applyInArrow(merge, ddl)
+    # Written, so that the runs' shuffle is off the disks before whole texts are dealt out again.
+    settled = written(settled, "suffix-settled")
     answers = settled.unionByName(runs.filter("kind = 9"))
     kept_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
