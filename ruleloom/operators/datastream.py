@@ -52,7 +52,11 @@ class DataStream:
         return self._of(self.df.orderBy(self.id).limit(n))
 
     def skip(self, n: int) -> DataStream:
-        return self._of(self.df.orderBy(self.id).offset(n))
+        """All but the first n events by id: those beyond the n-th id, so only n ids pass through one task. Ids are unique."""
+        if n <= 0:
+            return self
+        last = self.df.select(self.id).orderBy(self.id).limit(n).agg(F.max(self.id).alias("_last"))
+        return self._of(self.df.crossJoin(F.broadcast(last)).filter(F.col(self.id) > F.col("_last")).drop("_last"))  # a single row
 
     def find(self, predicate: Column | str) -> DataFrame:
         return self.df.filter(predicate).orderBy(self.id).limit(1)

@@ -55,9 +55,18 @@ def newest(df: DataFrame, by: Sequence[str], n: int, order: str) -> DataFrame:
 
 
 def trailing_count(df: DataFrame, time: str, ms: int, keys: Sequence[str]) -> DataFrame:
-    """Adds trailing: the key's events in [t - ms, t]."""
-    w = Window.partitionBy(*keys).orderBy(millis(F.col(time))).rangeBetween(-ms, 0)
-    return df.withColumn("trailing", F.count(F.lit(1)).over(w))
+    """Adds trailing: the key's events in [t - ms, t].
+
+    A key's time is cut into stretches as long as ms, each a partition of its own that also sees the times of the stretch
+    before it, so a hot key is counted by many tasks. Events without time are counted among themselves.
+    """
+    t = millis(F.col(time))
+    stretch = F.floor(t / max(ms, 1))
+    real = df.withColumns({"_t": t, "_stretch": stretch, "_real": F.lit(True)})
+    before = df.filter(t.isNotNull()).select(*keys, t.alias("_t"), (stretch + 1).alias("_stretch"), F.lit(False).alias("_real"))
+    w = Window.partitionBy(*keys, "_stretch").orderBy("_t").rangeBetween(-ms, 0)
+    both = real.unionByName(before, allowMissingColumns=True).withColumn("trailing", F.count(F.lit(1)).over(w))
+    return both.filter("_real").drop("_t", "_stretch", "_real")
 
 
 def recent(df: DataFrame, time: str, ms: int, as_of: Column) -> DataFrame:

@@ -54,6 +54,20 @@ def test_folds_and_percentiles(events):
     assert s.recent(2).df.count() == 2 and sum(s.count_by("event_type").first().counts.values()) == 120
 
 
+def test_skip_and_take(events):
+    s = DataStream(events)
+    for n in (0, 1, 7, 120, 500):
+        assert sorted(r.event_id for r in s.skip(n).df.collect()) == list(range(min(n, 120), 120))
+        assert sorted(r.event_id for r in s.take(n).df.collect()) == list(range(min(n, 120)))
+
+
+def test_trailing_counts_split_keys(events):
+    rows = events.collect()
+    for ms in (0, 1, 30, 10_000):
+        got = {r.event_id: r.trailing for r in windows.trailing_count(events, "ts", ms, ["user"]).collect()}
+        assert got == {r.event_id: sum(x.user == r.user and r.ms - ms <= x.ms <= r.ms for x in rows) for r in rows}
+
+
 def test_first_fit_in_and_out_of_order():
     for times in ([0, 3, 9, 10, 25, 26, 40], [5, 5, 5], [7]):
         assert sorted(map(tuple, windows.as_they_come(times, 10))) == sorted(map(tuple, windows.in_turn(__import__("numpy").array(times), 10)))
