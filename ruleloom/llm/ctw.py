@@ -311,7 +311,7 @@ def score(docs: DataFrame, depth: int = USUAL, modulus: int = 7, block_bytes: in
     src = fields(docs, doc_id=docs["doc_id"].cast("long"), body=text_bytes(docs), held_out=held_out(docs["doc_id"], modulus))
     blocks = n_blocks(src, F.length("body"), block_bytes)
     parts = max(4, blocks)
-    blocked = src.withColumn("block", F.pmod(F.xxhash64("doc_id", "body"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    blocked = dealt(src.withColumn("block", F.pmod(F.xxhash64("doc_id", "body"), F.lit(blocks)).cast("int")), "block", blocks)
 
     def ask(key, table):
         me = key[0].as_py()
@@ -420,7 +420,7 @@ def score(docs: DataFrame, depth: int = USUAL, modulus: int = 7, block_bytes: in
     answers = dealt(asked_windows, "to", parts).groupBy("to").cogroup(dealt(predicted, "to", parts).groupBy("to")).applyInArrow(reply, MESSAGE_DDL)
     answers = written(answers, "ctw-answers")
     discard(asked, totals, told)
-    answers = known.filter("to >= 0").unionByName(answers).select("kind", F.col("to").alias("block"), "sender", "numbers").repartition(blocks, "block")
+    answers = dealt(known.filter("to >= 0").unionByName(answers).select("kind", F.col("to").alias("block"), "sender", "numbers"), "block", blocks)
     log_base = np.log10(train_tokens + vocabulary + 1.0)
     out_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 

@@ -21,9 +21,12 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), dtype)
 
 
-def dealt(messages: DataFrame, column: str, parts: int) -> DataFrame:
-    """Messages by receiver, a task for each of so many: packed rows are few and short, and would be merged into few tasks."""
-    return messages.repartition(parts, column)
+def dealt(rows: DataFrame, column: str, parts: int) -> DataFrame:
+    """Rows by the number of their block or receiver (0 to parts - 1), a task for each.
+
+    By number and not by a hash of it, or some tasks would get several; and not merged by size, as packed rows are short.
+    """
+    return rows.repartitionById(parts, F.col(column))
 
 
 def n_blocks(docs: DataFrame, size: Column, block_bytes: int) -> int:

@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
     gram = length // 2
     src = fields(docs, doc_id=docs["doc_id"].cast("long"), body=text_bytes(docs))
     blocks = parts = n_blocks(src, F.length("body"), block_bytes)
-    blocked = src.withColumn("block", F.pmod(F.xxhash64("doc_id", "body"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    blocked = dealt(src.withColumn("block", F.pmod(F.xxhash64("doc_id", "body"), F.lit(blocks)).cast("int")), "block", blocks)
     row = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
     ddl = "kind int, part int, block int, a binary, b binary, n long"
 
@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
             rows.append((9, 0, me, pack(starts), pack(place), 2))
         return table(rows)
 
-    runs = written(blocked.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(sort, ddl), "suffix-runs")
+    runs = written(blocked.groupBy("block").cogroup(dealt(verdicts, "block", blocks).groupBy("block")).applyInArrow(sort, ddl), "suffix-runs")
 
     def merge(key, part):
         rows = part.to_pylist()
@@ -380,7 +380,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
     settled = dealt(runs.filter("kind <> 9"), "part", parts).groupBy("part").applyInArrow(merge, ddl)
     # Written, so that the runs' shuffle is off the disks before whole texts are dealt out again.
     settled = written(settled, "suffix-settled")
-    answers = settled.unionByName(runs.filter("kind = 9"))
+    answers = dealt(settled.unionByName(runs.filter("kind = 9")), "block", blocks)
     kept_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def cover(key, docs_, replies):
