@@ -1362,10 +1362,10 @@ def facts_json(s, d):
 @query("SELECT 'u1' AS id, count(*) AS spent FROM orders WHERE o_totalprice > 300000")
 def facts_built(s, d):
     """Facts from builders and plain dictionaries, joined to a table's."""
-    users = memory.build(s, "User", id="u1", name="A", vip=True)
+    users = memory.build(s, "User", Name="u1", Age=40, IsVIP=True)
     back = memory.from_context(s, memory.to_context(users), memory.SHAPES["User"])
     n = t(s, d, "orders").filter("o_totalprice > 300000").agg(F.count(F.lit(1)).alias("spent"))
-    return back.filter("vip").select("id").crossJoin(F.broadcast(n))  # one row each
+    return back.filter("IsVIP").select(F.col("Name").alias("id")).crossJoin(F.broadcast(n))  # one row each
 
 
 @query("SELECT count(*) FILTER (typeof(k) = 'BIGINT') > 0 AS ok, CAST(sum(k) AS BIGINT) AS total FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation)")

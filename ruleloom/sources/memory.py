@@ -178,10 +178,11 @@ def without_fields(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
-#: Schemas of facts that examples and tests of rules are about.
+# The fields by which rules know facts of these shapes.
 SHAPES = {
-    "User": "id string, name string, age int, email string, country string, vip boolean", "Product": "name string, price double, category string, in_stock boolean",
-    "Order": "id string, user_id string, total double, items int, status string", "Transaction": "id string, amount double, kind string, account string",
+    "User": "Name string, Age long, Email string, Country string, IsVIP boolean", "Product": "Name string, Price double, Category string, InStock boolean, StockCount long",
+    "Order": "ID string, UserID string, Total double, ItemCount long, Status string", "Transaction": "ID string, Amount double, Location string, Timestamp long, UserID string",
+    "TestCar": "speedUp boolean, Speed double, maxSpeed double, SpeedIncrement double", "DistanceRecord": "TotalDistance double",
 }
 
 
