@@ -76,7 +76,9 @@ def neighbourhood(line: str, mask: int) -> tuple[np.ndarray, np.ndarray]:
         else:
             keys.append(_mix(gone[at], -1)), roles.append(np.full(len(at), 2, np.int8))
     keys, roles = np.concatenate(keys), np.concatenate(roles)
-    _, first = np.unique(np.stack([keys, roles.astype(np.uint64)]), axis=1, return_index=True)
+    order = np.lexsort((roles, keys))
+    keys, roles = keys[order], roles[order]
+    first = np.append(True, (keys[1:] != keys[:-1]) | (roles[1:] != roles[:-1]))
     return keys[first].view(np.int64), roles[first]
 
 
