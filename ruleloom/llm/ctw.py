@@ -6,7 +6,6 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,31 +177,23 @@ class Nodes:
         return state.step(self.zeros, self.ones, self.stay).at(self.child)
 
 
-def tokens(bodies: list[bytes]) -> tuple[list[bytes], list[np.ndarray], bytes]:
-    """Distinct words, each text's words as positions in them, and all texts as coded: EDGE repeated, the words with a
-    blank between two, EDGE."""
-    ids = WordIds()
-    get, cut, coded = ids.__getitem__, [], []
-    for b in bodies:
-        w = words(b)
-        cut.append(np.fromiter(map(get, w), np.int64, len(w)))
-        coded.append(EDGE * DEPTH + b" ".join(w) + EDGE)
-    return list(ids), cut, b"".join(coded)
+def coded(texts: list[list[bytes]]) -> tuple[bytes, np.ndarray]:
+    """Texts (their words) as coded: EDGE repeated, the words with a blank between two, EDGE; and how many bytes of each count."""
+    out = [b" ".join(w) for w in texts]
+    return b"".join([EDGE * DEPTH + x + EDGE for x in out]), np.fromiter(map(len, out), np.int64, len(out)) + 1
 
 
 class Windows:
     """The window of each coded byte of a block."""
 
-    def __init__(self, cut: list[np.ndarray], distinct: list[bytes], coded: bytes, depth: int):
-        size = np.append(np.fromiter(map(len, distinct), np.int64, len(distinct)), 0) + 1
-        # A text's words, each with what closes it; a text without words has an end only.
-        self.n_bytes = np.array([size[c].sum() if len(c) else 1 for c in cut], np.int64)
+    def __init__(self, texts: list[list[bytes]], depth: int):
+        joined, self.n_bytes = coded(texts)
         ends = np.cumsum(self.n_bytes + DEPTH)
-        coded_at = np.ones(len(coded), bool)
+        coded_at = np.ones(len(joined), bool)
         for d in range(DEPTH):
             coded_at[ends - self.n_bytes - DEPTH + d] = False
         # Byte by byte of the integers, so that nothing wider than a byte is made on the way.
-        raw = np.frombuffer(coded, np.uint8)
+        raw = np.frombuffer(joined, np.uint8)
         window = np.zeros((len(raw), 8), np.uint8)
         for d in range(depth + 1):
             window[d:, 0 if d == 0 else depth + 1 - d] = raw[: len(raw) - d]
@@ -224,11 +215,36 @@ class Windows:
         return both, count
 
     def by_text(self, distinct: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Sum over the bytes of each text of a value of its window, given for the distinct windows."""
-        at = pc.index_in(pa.array(self.window), value_set=pa.array(distinct)).to_numpy()
+        """Sum over the bytes of each text of a value of its window, given for the distinct windows in order."""
+        at = places(distinct, self.window)
         return np.add.reduceat(value[at], np.cumsum(self.n_bytes) - self.n_bytes) if len(at) else np.empty(0)
 
 
+def places(ordered_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each x, all of them there, is in a sorted array: by tables of slots, and by search where a slot is another's."""
+    tables, left = [], np.arange(len(ordered_), dtype=np.int32)
+    for mul in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)):
+        shift = np.uint64(62 - int(len(left)).bit_length())
+        slot = (ordered_[left] * mul) >> shift
+        table = np.zeros(1 << (64 - int(shift)), np.int32)
+        table[slot] = left
+        tables.append((table, mul, shift))
+        left = left[table[slot] != left]
+    (one, m1, s1), (two, m2, s2) = tables
+    out = np.empty(len(x), np.int32)
+    for i in range(0, len(x), 1 << 18):
+        part = x[i : i + (1 << 18)]
+        at = one[(part * m1) >> s1]
+        miss = np.flatnonzero(ordered_[at] != part)
+        ask = part[miss]
+        other = two[(ask * m2) >> s2]
+        wrong = np.flatnonzero(ordered_[other] != ask)
+        other[wrong] = np.searchsorted(ordered_, ask[wrong])
+        at[miss] = other
+        out[i : i + (1 << 18)] = at
+    return out
+
+
 def _runs(ordered_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of a sorted array and how often each occurs."""
     first = np.flatnonzero(np.append(np.ones(min(len(ordered_), 1), bool), ordered_[1:] != ordered_[:-1]))
@@ -283,10 +299,13 @@ def _sent(table: pa.Table) -> list[dict]:
 def _merged(sent: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys of messages, their numbers added up, and where each message's keys are among them."""
     keys = [unpack_sorted(r["keys"]) for r in sent]
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct = _runs(np.sort(np.concatenate(keys)))[0]
+    # Each message's keys are in order, so they are found one after the other.
+    where = [np.searchsorted(distinct, k) for k in keys]
     total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, at, np.concatenate([unpack_counts(r["numbers"]) for r in sent]))
-    return distinct, total, np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+    for at, r in zip(where, sent):
+        total[at] += unpack_counts(r["numbers"])
+    return distinct, total, where
 
 
 def score(docs: DataFrame, depth: int = USUAL, modulus: int = 7, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -315,15 +334,16 @@ def score(docs: DataFrame, depth: int = USUAL, modulus: int = 7, block_bytes: in
 
     def ask(key, table):
         me = key[0].as_py()
-        distinct, cut, coded = tokens(table.column("body").to_pylist())
+        texts, ids = list(map(words, table.column("body").to_pylist())), WordIds()
         learn = ~np.array(table.column("held_out").to_pylist(), bool)
-        n = np.bincount(np.concatenate(cut), np.repeat(learn, [len(c) for c in cut]), len(distinct)).astype(np.int64)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+        cut = [np.fromiter(map(ids.__getitem__, w), np.int64, len(w)) for w in texts]
+        n = np.bincount(np.concatenate(cut), np.repeat(learn, [len(c) for c in cut]), len(ids)).astype(np.int64)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
         keys, cuts, place = ordered(np.append(hashes, END), parts)
         counts = np.zeros(len(keys), np.int64)
         np.add.at(counts, place, np.append(n, learn.sum()))
         rows = [(0, p, me, pack_sorted(keys[a:b]), pack_counts(counts[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-        window, counts = Windows(cut, distinct, coded, depth).counted(learn)
+        window, counts = Windows(texts, depth).counted(learn)
         order, cuts = _split(owner(window, parts), parts)
         window, counts = window[order], counts[order]
         rows += [(1, p, me, pack_sorted(window[a:b]), pack_counts(counts[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
@@ -425,12 +445,13 @@ def score(docs: DataFrame, depth: int = USUAL, modulus: int = 7, block_bytes: in
     out_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 
     def finish(key, docs_, replies):
-        distinct, cut, coded = tokens(docs_.column("body").to_pylist())
+        texts, ids = list(map(words, docs_.column("body").to_pylist())), WordIds()
+        cut = [np.fromiter(map(ids.__getitem__, w), np.int64, len(w)) for w in texts]
         sent = _sent(replies)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
         place = ordered(np.append(hashes, END), parts)[2]
         c = np.concatenate([unpack_counts(r["numbers"]) for r in sent if r["kind"] == 0])[place]
-        w = Windows(cut, distinct, coded, depth)
+        w = Windows(texts, depth)
         window = _runs(w.of_texts(np.ones(len(cut), bool)))[0]
         order, _ = _split(owner(window, parts), parts)
         p = np.empty(len(order))
