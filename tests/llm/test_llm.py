@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ruleloom.llm import ctw, lines, minhash, mixing, pieces, ppm, queries, suffix, topk, warc
+from ruleloom.llm import common, ctw, lines, minhash, mixing, pieces, ppm, queries, suffix, topk, warc
 from ruleloom.llm.components import components
 from ruleloom.llm.exact_dedup import exact_dedup
 
@@ -25,6 +25,24 @@ ODD = [
 ]
 
 
+RELEASE = common.release
+
+
+@pytest.fixture(scope="module", autouse=True)
+def tables_are_small():
+    """Letting go of shuffle files after each table would take most of the time here."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(common, "release", lambda spark: None)
+        yield
+
+
+def test_written_tables_outlive_the_release_of_shuffle_files(spark):
+    df = common.written(spark.range(100).repartition(4).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")), "t")
+    RELEASE(spark)
+    assert sorted(tuple(r) for r in df.collect()) == [(k, sum(range(k, 100, 7))) for k in range(7)]
+    common.discard(df)
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and very long texts, ties, repeated rows; a column whose name clashes."""
