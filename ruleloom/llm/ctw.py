@@ -357,7 +357,7 @@ def score(docs: DataFrame, depth: int = USUAL, modulus: int = 7, block_bytes: in
         rows = [(0, r["sender"], key[0].as_py(), b"", pack_counts(total[w]), 0, 0) for r, w in zip(sent, where)]
         return _messages([*rows, (0, -1, key[0].as_py(), b"", b"", int(total.sum()), int((total > 0).sum()))])
 
-    known = written(dealt(asked.filter("kind = 0"), "to", parts).groupBy("to").applyInArrow(count_words, MESSAGE_DDL), "ctw-words")
+    known = written(asked.filter("kind = 0").groupBy("to").applyInArrow(count_words, MESSAGE_DDL), "ctw-words")
     train_tokens, vocabulary = (int(x or 0) for x in known.agg(F.sum("n"), F.sum("v")).first())
 
     def subtree(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -370,7 +370,7 @@ def score(docs: DataFrame, depth: int = USUAL, modulus: int = 7, block_bytes: in
         return _messages([(1, p, key[0].as_py(), pack_sorted(window[a:b]), pack_counts(total[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
 
     asked_windows = asked.filter("kind = 1")
-    totals = written(dealt(asked_windows, "to", parts).groupBy("to").applyInArrow(add_up, MESSAGE_DDL), "ctw-windows")
+    totals = written(asked_windows.groupBy("to").applyInArrow(add_up, MESSAGE_DDL), "ctw-windows")
 
     def up(key, table):
         """What a subtree owner's lowest nodes tell the owners of their nearest byte."""
@@ -381,7 +381,7 @@ def score(docs: DataFrame, depth: int = USUAL, modulus: int = 7, block_bytes: in
         keys = told[0][order]
         return _messages([(2, p, key[0].as_py(), pack(keys[a:b]), pack(numbers[:, a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
 
-    told = written(dealt(totals, "to", parts).groupBy("to").applyInArrow(up, MESSAGE_DDL), "ctw-nodes")
+    told = written(totals.groupBy("to").applyInArrow(up, MESSAGE_DDL), "ctw-nodes")
 
     def levels(sent: list[dict]) -> tuple[list[Nodes], list[int]]:
         """Levels CUT - 1 to 1 above what the senders tell."""
@@ -426,8 +426,8 @@ def score(docs: DataFrame, depth: int = USUAL, modulus: int = 7, block_bytes: in
         p = tree.predict(State(*state))
         return _messages([(1, r["sender"], key[0].as_py(), b"", pack_logs(p[w]), 0, 0) for r, w in zip(sent, where)])
 
-    states = dealt(told.groupBy("to").applyInArrow(down, MESSAGE_DDL), "to", parts)
-    predicted = dealt(totals, "to", parts).groupBy("to").cogroup(states.groupBy("to")).applyInArrow(predict, MESSAGE_DDL)
+    states = told.groupBy("to").applyInArrow(down, MESSAGE_DDL)
+    predicted = totals.groupBy("to").cogroup(states.groupBy("to")).applyInArrow(predict, MESSAGE_DDL)
 
     def reply(key, table, found):
         sent = _sent(table)
@@ -437,7 +437,7 @@ def score(docs: DataFrame, depth: int = USUAL, modulus: int = 7, block_bytes: in
         p[order] = np.concatenate([unpack_logs(r["numbers"]) for r in _sent(found)])
         return _messages([(1, r["sender"], key[0].as_py(), b"", pack_logs(p[w]), 0, 0) for r, w in zip(sent, where)])
 
-    answers = dealt(asked_windows, "to", parts).groupBy("to").cogroup(dealt(predicted, "to", parts).groupBy("to")).applyInArrow(reply, MESSAGE_DDL)
+    answers = asked_windows.groupBy("to").cogroup(predicted.groupBy("to")).applyInArrow(reply, MESSAGE_DDL)
     answers = written(answers, "ctw-answers")
     discard(asked, totals, told)
     answers = dealt(known.filter("to >= 0").unionByName(answers).select("kind", F.col("to").alias("block"), "sender", "numbers"), "block", blocks)
