@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from ..storage import shared_path
 def written(df: DataFrame, name: str, large: bool = True) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage is cut and survives lost executors.
 
-    Shuffle files are let go of after large tables; the small ones of a loop wait for the next.
+    Shuffle files are let go of after large tables; the small ones of a loop wait for the next. The driver's memory is
+    tidied after each: plans and broadcast tables of a loop would pile up in its heap otherwise.
     """
     spark, schema = df.sparkSession, df.schema
     path = shared_path(spark, name)
@@ -22,6 +25,8 @@ def written(df: DataFrame, name: str, large: bool = True) -> DataFrame:
     del df  # with the caller's expression gone, nothing names the job's shuffle files
     if large:
         release(spark)
+    else:
+        tidy(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -42,8 +47,39 @@ def release(spark: SparkSession) -> None:
     """
     spark.range(1).write.format("noop").mode("overwrite").save()
     spark.range(1).collect()
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage and gives memory that its JVM and Python have freed back to the system.
+
+    The C library keeps what they free (a few hundred MB in a long session) until it is told.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Returns the free native memory of the driver's JVM and Python; whether the JVM has a command for it (Linux, 17.0.9 on)."""
+    sc = spark.sparkContext
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # not the GNU library
+    jvm, new = sc._jvm, sc._gateway.new_array
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # The server's class is hidden from reflection, its interface is not.
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args, given, kinds = new(jvm.Object, 4), new(jvm.Object, 1), new(jvm.String, 1)
+        given[0], kinds[0] = new(jvm.String, 0), "[Ljava.lang.String;"
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = given, kinds
+        call.invoke(server, args)
+    except Py4JError:
+        return False
+    return True
 
 
 def fields(df: DataFrame, **columns: Column) -> DataFrame:

@@ -43,6 +43,31 @@ def test_written_tables_outlive_the_release_of_shuffle_files(spark):
     common.discard(df)
 
 
+def test_native_memory_that_the_driver_has_freed_goes_back(spark):
+    jvm = spark.sparkContext._jvm
+    pid = int(jvm.java.lang.management.ManagementFactory.getRuntimeMXBean().getName().partition("@")[0])
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", open(f"/proc/{pid}/smaps_rollup").read())[1]) / 1024
+    common.trim(spark)
+    before, many = held(), [jvm.java.util.zip.Deflater() for _ in range(1000)]  # about 250 KB each, by malloc
+    for d in many:
+        d.setInput(bytes(100)), d.finish(), d.deflate(bytearray(200))
+    for i, d in enumerate(many):
+        if i % 25:  # those that stay keep the C library from shrinking its areas
+            d.end()
+    kept = held()
+    assert common.trim(spark)
+    assert kept > before + 50 and held() < before + (kept - before) / 2, (before, kept, held())
+
+
+def test_driver_collects_its_garbage_after_small_tables_of_a_loop_too(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    df = common.written(spark.range(3), "t", large=False)
+    assert full() > before and df.count() == 3
+
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and very long texts, ties, repeated rows; a column whose name clashes."""
