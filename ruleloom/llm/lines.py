@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, fields, written
@@ -93,6 +93,15 @@ def _rows(docs: DataFrame) -> DataFrame:
     return fields(docs, doc=F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), key=F.xxhash64(docs["doc_id"].cast("long"), text), text=text)
 
 
+def _met(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """A join by sorting both sides.
+
+    Spark sizes a side by its files and does not see what halves, variants or packed columns add: sides of many times the
+    threshold would be broadcast through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed, kept (the text of the lines that stay).
 
@@ -126,7 +135,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # A distinct line goes by its first place here; h1 tells whether a half is that of one line only.
     halved = distinct.select("first.doc", "first.key", "first.line", "h1", F.posexplode("halves").alias("i", "half"))
     shared = halved.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select(F.col("half").alias("shared_half"))
-    masks = halved.join(shared, halved.half == shared.shared_half).groupBy("doc", "key", "line").agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << x) for x in range(4)]), F.col("i") + 1)).alias("mask"))
+    masks = _met(halved, shared, halved.half == shared.shared_half).groupBy("doc", "key", "line").agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << x) for x in range(4)]), F.col("i") + 1)).alias("mask"))
     wanted = masks.groupBy(F.col("doc").alias("of"), F.col("key").alias("of_key")).agg(F.collect_list(F.struct("line", "mask")).alias("wanted"))
     found_schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("mask", pa.int32()), ("text", pa.string())])
 
@@ -140,7 +149,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 if rows:
                     yield batch(found_schema, *zip(*rows))
 
-    found = src.join(wanted, (src.doc == wanted.of) & (src.key == wanted.of_key)).select("doc", "key", "text", "wanted")
+    found = _met(src, wanted, (src.doc == wanted.of) & (src.key == wanted.of_key)).select("doc", "key", "text", "wanted")
     found = found.mapInArrow(fetch, "doc long, key long, line int, mask int, text string")
     found = written(found.dropDuplicates(["doc", "key", "line"]), "candidate-lines")
     variant_schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("role", pa.int8()), ("variant", pa.int64())])
@@ -159,15 +168,15 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     least = lambda role: F.min(F.when(F.col("role") == role, place))
     groups = variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), least(0).alias("of_0"), least(1).alias("of_1"), least(2).alias("of_2"))
     groups = groups.filter("n > 1 and (of_0 is not null or (of_1 is not null and of_2 is not null))").withColumnRenamed("variant", "group_key")
-    met = variants.join(groups, variants.variant == groups.group_key)
+    met = _met(variants, groups, variants.variant == groups.group_key)
     other = F.when(F.col("role") == 0, F.col("of_0")).when(F.col("role") == 1, F.col("of_2")).otherwise(F.col("of_1"))
     pairs = met.select(place.alias("mine"), other.alias("other")).filter(F.col("other") < F.col("mine")).distinct()
     one, two = found.select(place.alias("at_1"), F.col("text").alias("x")), found.select(place.alias("at_2"), F.col("text").alias("y"))
-    pairs = pairs.join(one, F.col("mine") == F.col("at_1")).join(two, F.col("other") == F.col("at_2"))
+    pairs = _met(_met(pairs, one, F.col("mine") == F.col("at_1")), two, F.col("other") == F.col("at_2"))
     near = pairs.filter(F.levenshtein("x", "y", 1) >= 0).groupBy("mine").agg(F.min("other").alias("near"))
-    ahead = distinct.select("h1", "h2", "first").join(near, F.col("first") == F.col("mine"), "left")
+    ahead = _met(distinct.select("h1", "h2", "first"), near, F.col("first") == F.col("mine"), "left")
     ahead = ahead.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.coalesce("near", "first").alias("ahead"))
-    gone = lines.join(ahead, (lines.h1 == ahead.a1) & (lines.h2 == ahead.a2)).filter(F.col("ahead") < place)
+    gone = _met(lines, ahead, (lines.h1 == ahead.a1) & (lines.h2 == ahead.a2)).filter(F.col("ahead") < place)
     gone = gone.groupBy(F.col("doc").alias("of"), F.col("key").alias("of_key")).agg(F.collect_set("line").alias("gone"))
     # Written, so that what led here is off the disks before whole texts are dealt out.
     gone = written(gone, "gone-lines")
@@ -183,5 +192,5 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     rows.append((doc, len(parts), len(parts) - len(stay), "\n".join(stay)))
                 yield batch(out_schema, *(zip(*rows) if rows else [[]] * 4))
 
-    out = src.join(gone, (src.doc == gone.of) & (src.key == gone.of_key), "left").select("doc", "text", "gone").mapInArrow(rebuild, "doc long, n_lines long, n_removed long, kept string")
+    out = _met(src, gone, (src.doc == gone.of) & (src.key == gone.of_key), "left").select("doc", "text", "gone").mapInArrow(rebuild, "doc long, n_lines long, n_removed long, kept string")
     return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_lines", "n_removed", "kept")

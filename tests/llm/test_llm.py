@@ -730,6 +730,21 @@ def test_lines_of_null_and_repeated_ids(spark):
     ])
 
 
+def test_lines_are_joined_without_broadcasts(spark):
+    """Spark sizes a table by its files and sees nothing of what an explode adds: no side may go through the driver."""
+    texts = {i: f"the line number {i % 7} that comes again\na second line {i}\nand a third one of its own {i * 977}" for i in range(40)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    seen = store.executionsCount()
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in lines.line_dedup(d).collect()}
+    bus.waitUntilEmpty(30_000)
+    ran = store.executionsList(seen, 1000)
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size())]
+    assert got == brute_lines(texts, 1)
+    assert any("SortMergeJoin" in x for x in plans) and not any("BroadcastExchange" in x for x in plans)
+
+
 def test_lines_odd(odd, none):
     assert len(lines.line_dedup(odd).collect()) == len(ODD) and lines.line_dedup(none).count() == 0
 
