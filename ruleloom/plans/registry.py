@@ -839,18 +839,20 @@ def stream_windowed_count(s, d):
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 3) AS running, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n FROM events")
 def state_running_total(s, d):
-    """A stateful operator over a running stream: typed state for each user, whole batches at a time."""
+    """A stateful operator over a running stream: typed state for each user, whole batches at a time.
+
+    Null values add nothing, and a total of nothing else is null; pandas does not tell them from NaN, so they are counted.
+    """
 
     def step(held, rows):
-        rows = rows.sort_values("event_id")
-        total, n = held or (0.0, 0)
-        running = total + rows["value"].cumsum()
-        rows = rows.assign(running=running, n=n + np.arange(1, len(rows) + 1))
-        return (float(running.iloc[-1]), n + len(rows)), rows[["event_id", "running", "n"]]
-
-    source = streams.read_events(s, f"{d}/events.parquet*").select("user_id", "event_id", "value")
-    out = streams.drained(state.stateful_batches(source, "user_id", step, "event_id long, running double, n long", "total double, n long"))
-    return out.select("event_id", r("running", 3).alias("running"), "n")
+        total, given, n = held or (0.0, 0, 0)
+        running = total + rows["value"].where(rows["given"], 0.0).to_numpy().cumsum()
+        rows = rows.assign(running=running, given=given + rows["given"].cumsum(), n=n + np.arange(1, len(rows) + 1))
+        return (float(running[-1]), int(rows["given"].iloc[-1]), n + len(rows)), rows[["event_id", "running", "given", "n"]]
+
+    source = streams.read_events(s, f"{d}/events.parquet*").select("user_id", "event_id", "value", F.col("value").isNotNull().alias("given"))
+    out = streams.drained(state.stateful_batches(source, "user_id", step, "event_id long, running double, given long, n long", "total double, given long, n long", order=["event_id"]))
+    return out.select("event_id", F.when(F.col("given") > 0, r(F.coalesce("running", F.lit(float("nan"))), 3)).alias("running"), "n")
 
 
 def _store(s, d):

@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..errors import CatalogError
 
+PART_ROWS = 10_000
+
 
 class StateTable:
     """key, value (text), created_ms, updated_ms, ttl_ms as a table; every change gives a new one.
@@ -83,19 +85,32 @@ def snapshots(spark, root: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found or [])
 
 
-def stateful_batches(df: DataFrame, key: str, step: Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]], output: str, held: str, ttl_ms: int | None = None) -> DataFrame:
+def stateful_batches(df: DataFrame, key: str, step: Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]], output: str, held: str, ttl_ms: int | None = None, order: list[str] | None = None) -> DataFrame:
     """step(state of the key or None, its events of a batch) -> (state, rows), over a running stream.
 
     held: the state's fields, as a DDL. The state lies typed in Spark's state store; a key's events of a batch come in one
-    or more parts, each a frame. With ttl_ms, state is dropped when a key has been idle that long in processing time.
+    or more parts, each a frame, in any order. With order they come sorted by these columns, nulls last, within and across
+    parts (so a key's events of a batch are held in memory); batches come as they arrive. With ttl_ms, state is dropped when
+    a key has been idle that long in processing time.
     """
 
+    def in_order(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """All sorted, again in parts: one frame of all would be held several times on its way out."""
+        given = [x for x in parts if len(x)]
+        if not given:
+            return
+        rows = pd.concat(given, ignore_index=True)
+        del given
+        rows = rows.sort_values(order, kind="stable", ignore_index=True)
+        for at in range(0, len(rows), PART_ROWS):
+            yield rows.iloc[at : at + PART_ROWS].reset_index(drop=True)
+
     def run(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         now = state.get if state.exists else None
-        for part in parts:
+        for part in in_order(parts) if order else parts:
             if len(part):
                 now, rows = step(now, part)
                 yield rows

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,9 +12,9 @@ from ruleloom.lang import ir, printer
 from ruleloom.lang.parser import parse_condition, parse_program, parse_rules
 from ruleloom.operators import joins, windows
 from ruleloom.operators.datastream import DataStream, json_number
-from ruleloom.plans import backward, catalog, compiler, tms
+from ruleloom.plans import backward, catalog, compiler, registry, tms
 from ruleloom.plans.forward import Forward, fused, settles_at_once
-from ruleloom.sources import memory
+from ruleloom.sources import memory, streams
 from ruleloom.streaming import state, watermark
 
 TEXT = '''
@@ -200,6 +201,40 @@ def test_streaming_queries(spark, tmp_path):
     assert len(drain(joins.interval_join(one.filter("event_id < 3"), two.filter("event_id < 4"), ["user"], "ts", 2000), "j")) == 6
 
 
+def test_running_total_over_parts_in_any_order(spark, tmp_path):
+    """A user's events lie in several files and come in several parts, the later ones first."""
+    rows = [(i, i % 3, None if i % 3 == 0 and i < 30 or i % 10 == 9 else float(i * 7919 % 500) / 4) for i in range(240)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, value double")
+    for k in range(4):
+        df.filter(F.col("event_id") % 4 == 3 - k).orderBy(F.desc("event_id")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    keep = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(keep)
+    spark.conf.set(keep, 7)
+    try:
+        got = {r.event_id: (r.running, r.n) for r in registry.QUERIES["state_running_total"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set(keep, held)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == {i: (total, n) for i, total, n in con.execute(registry.SQL["state_running_total"]).fetchall()} and got[0] == (None, 1)
+
+
+def test_state_meets_batches_and_ordered_parts(spark, tmp_path):
+    """State goes on from batch to batch; within one, a key's events come in order."""
+    src, ddl = str(tmp_path / "in"), "k long, at long, v long"
+    for batch in (range(50, 90), range(40)):
+        spark.createDataFrame([(0, -i, i) for i in batch], ddl).repartition(3).write.mode("append").parquet(src + f"/{batch.start == 0:d}")
+
+    def step(held, rows):
+        assert rows["at"].is_monotonic_increasing
+        n = (held or (0,))[0] + 1
+        return (n,), rows.assign(n=n)[["v", "n"]]
+
+    stream = streams.read_events(spark, f"{src}/*", spark.read.schema(ddl).parquet(f"{src}/*").schema, files_per_batch=2)
+    out = streams.drained(state.stateful_batches(stream, "k", step, "v long, n long", "n long", order=["at"])).collect()
+    assert sorted(r.v for r in out) == [*range(40), *range(50, 90)] and {r.n for r in out} == {1, 2, 3}
+
+
 def test_state_table(spark, tmp_path):
     of = lambda *x: spark.createDataFrame(list(x), "key string, value string")
     s = state.StateTable.empty(spark).put(of(("a", "1"), ("b", "2")), 0, 100).update(of(("a", "3")), 50)
